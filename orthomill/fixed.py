@@ -101,3 +101,14 @@ FOLDS = 5
 IDENTITY_TRANSFORM = [1.0, 0.0, 0.0, 0.0, -1.0, 0.0]
 DEFAULT_CRS = "EPSG:32643"
 EXPORT_CRS = "EPSG:32644"
+
+# Tags that name the producer of a mask or measurement.
+SEG_TAG = "swin"
+DET_TAG = "yolo"
+DEPTH_TAG = "depth"
+REFINED_TAG = "geosam"
+REFINED_REGION_TAG = "geosam_region"
+
+# Error texts of a tile's diagnostics.
+LOAD_ERROR = "load_error: "
+GATE_ERROR = "gatekeeper_rejected_low_variance"

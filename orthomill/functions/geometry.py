@@ -143,36 +143,71 @@ def to_wkt(rings: Column) -> Column:
     return F.when(rings.isNull(), F.lit(None)).when(_no_rings(rings), F.lit("POLYGON EMPTY")).otherwise(body)
 
 
-_NUM = r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?"
-_PAIR = rf"\s*{_NUM}\s+{_NUM}\s*"
-_RING = rf"\s*\({_PAIR}(?:,{_PAIR})*\)\s*"
-_POLYGON = rf"\(({_RING}(?:,{_RING})*)\)"
+def _tidy(text: Column) -> Column:
+    """Text with single blanks, and none around brackets and commas."""
+    return F.regexp_replace(F.regexp_replace(F.trim(text), r"\s+", " "), r" ?([(),]) ?", "$1")
 
 
-def _parse_ring(text: Column) -> Column:
-    def pair(t: Column) -> Column:
-        parts = F.split(F.trim(t), r"\s+")
-        return point(F.get(parts, 0), F.get(parts, 1))
-    return F.transform(F.split(F.regexp_replace(text, r"[()]", ""), ","), pair)
+def _as_json(body: Column) -> Column:
+    """Nested coordinate text between the outer brackets as a JSON array text."""
+    points = F.replace(F.replace(body, F.lit(","), F.lit("],[")), F.lit(" "), F.lit(","))
+    rings = F.regexp_replace(F.regexp_replace(points, r"\((?!\()", "[["), r"(?<![)\]])\)", "]]")
+    rings = F.translate(rings, "()", "[]")
+    return F.concat(F.lit("["), rings, F.lit("]"))
 
 
-def _parse_body(text: Column) -> Column:
-    return F.transform(F.split(text, r"\)\s*,\s*\("), _parse_ring)
+def _parse(text: Column, kind: str, schema: str) -> Column:
+    body = F.regexp_extract(_tidy(text), rf"(?i)^{kind}\((\(.*\))\)$", 1)
+    separated = F.regexp_replace(body, r"(\)+),(\(+)", "$1|$2")
+    return F.from_json(F.when(body != "", F.replace(_as_json(separated), F.lit("|"), F.lit(","))), schema)
+
+
+def _points(coordinates: Column) -> Column:
+    return F.transform(coordinates, lambda ring: F.transform(
+        ring, lambda p: F.struct(F.get(p, 0).alias("x"), F.get(p, 1).alias("y"))))
+
+
+def _well_formed(coordinates: Column) -> Column:
+    return F.forall(coordinates, lambda ring: F.forall(
+        ring, lambda p: (F.size(p) == 2) & F.get(p, 0).isNotNull() & F.get(p, 1).isNotNull()))
 
 
 def from_wkt(text: Column) -> Column:
-    """Rings of a POLYGON text; null where the text is not a well-formed polygon."""
-    body = F.regexp_extract(text, rf"(?i)^\s*POLYGON\s*{_POLYGON}\s*$", 1)
-    return F.when(text.isNull() | (body == ""), F.lit(None)).otherwise(_parse_body(body))
+    """Rings of a POLYGON text; null where the text is not a well-formed polygon.
+
+    The text is rewritten to a nested JSON array, which the engine's own parser reads.
+    """
+    parsed = _parse(text, "POLYGON", "array<array<array<double>>>")
+    return F.when(_well_formed(parsed), _points(parsed))
 
 
 def parts_from_wkt(text: Column) -> Column:
     """Polygon parts of a POLYGON or MULTIPOLYGON text (array of rings); null if malformed."""
-    multi = rf"(?i)^\s*MULTIPOLYGON\s*\((\s*{_POLYGON}(?:\s*,\s*{_POLYGON})*)\s*\)\s*$"
-    body = F.regexp_extract(text, multi, 1)
-    many = F.transform(F.split(body, r"\)\s*\)\s*,\s*\(\s*\("), _parse_body)
-    single = from_wkt(text)
-    return F.when(body != "", many).when(single.isNotNull(), F.array(single))
+    many = _parse(text, "MULTIPOLYGON", "array<array<array<array<double>>>>")
+    single = _parse(text, "POLYGON", "array<array<array<double>>>")
+    parts = F.coalesce(many, F.when(single.isNotNull(), F.array(single)))
+    return F.when(F.forall(parts, _well_formed), F.transform(parts, _points))
+
+
+# --- flat form for Arrow batches ---------------------------------------------
+
+def flat_rings(rings: Column) -> list[Column]:
+    """Rings as three plain arrays: all x, all y, and the ring sizes."""
+    pts = F.flatten(rings)
+    return [F.transform(pts, lambda p: p["x"]), F.transform(pts, lambda p: p["y"]),
+            F.transform(rings, lambda ring: F.size(ring))]
+
+
+def rings_from_flat(flat: Column) -> Column:
+    """Inverse of :func:`flat_rings` for a struct with fields ``xs``, ``ys``, ``sizes``."""
+    pts = F.zip_with(flat["xs"], flat["ys"], lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+    sizes = flat["sizes"]
+
+    def ring(size: Column, i: Column) -> Column:
+        before = F.aggregate(F.slice(sizes, F.lit(1), i), F.lit(0), lambda acc, v: acc + v)
+        return F.slice(pts, before + 1, size)
+
+    return F.when(flat.isNotNull() & sizes.isNotNull(), F.transform(sizes, ring))
 
 
 # --- predicates --------------------------------------------------------------

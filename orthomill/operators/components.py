@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from orthomill.operators.skew import lookup_unique
-from orthomill.session import cut_lineage
+from orthomill.operators.skew import HEAVY_MIN_ROWS, lookup_unique
+from orthomill.session import cut_lineage, spread
 
 #: Cells get the number row * ROW_STEP + col, so the smallest number is first in row-major order.
 ROW_STEP = 1 << 31
@@ -24,7 +24,8 @@ def connected_components(edges: DataFrame, scope: Sequence[str] = (), max_rounds
     smallest node. Alternates the large-star and small-star steps, which turn any
     graph into stars around the smallest nodes in a logarithmic number of rounds;
     every round ends in a checkpoint. The centre of a large star is a hot key:
-    its lookup goes through :func:`lookup_unique`.
+    its lookup goes through :func:`lookup_unique`, unless the whole edge table is
+    too small to hold a hot key at all.
     """
     scope = list(scope)
     keys = [*scope, "u"]
@@ -34,16 +35,21 @@ def connected_components(edges: DataFrame, scope: Sequence[str] = (), max_rounds
     for _ in range(max_rounds):
         if before[0] == 0:
             break
+        def look_up(rows: DataFrame, table: DataFrame, total: int = before[0]) -> DataFrame:
+            if 2 * total <= HEAVY_MIN_ROWS:
+                return rows.join(table, keys)
+            return lookup_unique(rows, table, keys, "_deg")
+
         swapped = current.select(*scope, F.col("v").alias("u"), F.col("u").alias("v"))
         both = current.unionByName(swapped)
         lows = both.groupBy(*keys).agg(F.min("v").alias("_m"), F.count(F.lit(1)).alias("_deg")) \
             .withColumn("_m", F.least("_m", "u"))
-        large = lookup_unique(both.filter(F.col("v") > F.col("u")), lows, keys, "_deg") \
+        large = look_up(both.filter(F.col("v") > F.col("u")), lows) \
             .select(*scope, F.col("v").alias("u"), F.col("_m").alias("v")) \
             .filter(F.col("u") != F.col("v")).distinct()
         down = large.select(*scope, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         centre = down.groupBy(*keys).agg(F.min("v").alias("_m"), F.count(F.lit(1)).alias("_deg"))
-        leaves = lookup_unique(down, centre, keys, "_deg") \
+        leaves = look_up(down, centre) \
             .select(*scope, F.col("v").alias("u"), F.col("_m").alias("v"))
         roots = centre.select(*scope, "u", F.col("_m").alias("v"))
         current = cut_lineage(leaves.unionByName(roots).filter(F.col("u") != F.col("v")).distinct())
@@ -121,7 +127,7 @@ def label_cells(mask: DataFrame, keys: Sequence[str] = ("source_id",), value: st
         pdf["_local"] = _label(pdf["row"].to_numpy(), pdf["col"].to_numpy(), pdf["_value"].to_numpy(), eight)
         return pdf
 
-    local = blocked.groupBy(*group).applyInPandas(label_block, schema)
+    local = spread(blocked, *group).groupBy(*group).applyInPandas(label_block, schema)
     if chunk is None:
         return local.select(*keys, "row", "col", F.col("_value").alias(value), F.col("_local").alias("component"))
 

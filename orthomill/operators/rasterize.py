@@ -113,27 +113,31 @@ def near_segments(lines: DataFrame, keys: Sequence[str], distance: Column, heigh
     )
 
 
-def burn(cells: DataFrame, keys: Sequence[str], order: str | Sequence[str], overlap: str = "first",
+def burn(cells: DataFrame, keys: Sequence[str], order: str, overlap: str = "first",
          value: str = "class_id") -> DataFrame:
     """One class per cell where shapes overlap.
 
-    ``first``: the shape first in ``order`` wins (layers in name order). ``last``:
-    the shape last in ``order`` wins (later shapes paint over). Cells not
+    ``first``: the lowest ``order`` wins (layers in name order). ``last``: the highest
+    wins (later shapes paint over). ``order`` is an integer and classes are bytes, so
+    both fit one number and the aggregate stays a hash aggregate. Cells not
     returned are background 0.
     """
     if overlap not in ("first", "last"):
         raise ValueError("overlap must be 'first' or 'last'")
-    rank = F.struct(*([order] if isinstance(order, str) else order), value)
-    pick = F.min_by if overlap == "first" else F.max_by
-    return cells.groupBy(*keys, "row", "col").agg(pick(F.col(value), rank).alias(value))
+    ranked = F.col(order).cast("long") * 256 + F.col(value)
+    pick = F.min if overlap == "first" else F.max
+    return cells.groupBy(*keys, "row", "col").agg(pick(ranked).alias("_r")).select(
+        *keys, "row", "col", (F.col("_r") % 256).cast("int").alias(value))
 
 
-def rasterize(shapes: DataFrame, keys: Sequence[str], order: str | Sequence[str], overlap: str = "first",
+def rasterize(shapes: DataFrame, keys: Sequence[str], shape_id: str, order: str, overlap: str = "first",
               height: Column | None = None, width: Column | None = None) -> DataFrame:
-    """Burn polygons given in pixel space; see :func:`scan_spans` and :func:`burn`."""
-    extra = [order] if isinstance(order, str) else list(order)
-    spans = scan_spans(shapes, [*keys, *extra, "class_id"], height, width)
-    return burn(expand_spans(spans), keys, extra, overlap)
+    """Burn polygons given in pixel space; see :func:`scan_spans` and :func:`burn`.
+
+    ``shape_id`` tells the polygons apart; ``order`` may be the same column.
+    """
+    spans = scan_spans(shapes, list(dict.fromkeys([*keys, shape_id, order, "class_id"])), height, width)
+    return burn(expand_spans(spans.drop(*({shape_id} - {order}))), keys, order, overlap)
 
 
 def buffer_distance(layer: Column, geom_type: Column, geographic: Column | bool = False) -> Column:
@@ -178,4 +182,4 @@ def export_raster(polygons: DataFrame, order: str = "ord") -> DataFrame:
     placed = polygons.withColumn("rings", F.transform("rings", lambda ring: F.transform(
         ring, lambda p: F.struct(((p["x"] - frame["min_x"]) * sx).alias("x"),
                                  ((frame["max_y"] - p["y"]) * sy).alias("y")))))
-    return rasterize(placed, [], order, "last", F.lit(frame["height"]), F.lit(frame["width"]))
+    return rasterize(placed, [], order, order, "last", F.lit(frame["height"]), F.lit(frame["width"]))

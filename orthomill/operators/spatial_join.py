@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from orthomill.functions import geometry as geo
 from orthomill.operators.skew import HEAVY_MIN_ROWS, salted_join
@@ -78,13 +79,13 @@ def box_join(left: DataFrame, right: DataFrame, cell: float, keys: Sequence[str]
     ).drop("_gx", "_gy")
 
 
-def _ring_edges(rings: list) -> np.ndarray:
-    parts = []
-    for ring in rings:
-        pts = np.array([(p["x"], p["y"]) for p in ring], dtype=float)
-        if len(pts) > 1:
-            parts.append(np.hstack([pts[:-1], pts[1:]]))
-    return np.vstack(parts) if parts else np.empty((0, 4))
+def _ring_edges(xs: np.ndarray, ys: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Edges of flat rings as rows ``x1, y1, x2, y2``."""
+    if len(xs) < 2:
+        return np.empty((0, 4))
+    inside = np.ones(len(xs) - 1, dtype=bool)
+    inside[np.cumsum(sizes)[:-1] - 1] = False
+    return np.column_stack([xs[:-1], ys[:-1], xs[1:], ys[1:]])[inside]
 
 
 def _crossing_heights(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -105,9 +106,11 @@ def _widths(edges: np.ndarray, y: float) -> list[tuple[float, float]]:
     return list(zip(xs[0::2], xs[1::2]))
 
 
-def overlap_area(rings_a: list, rings_b: list) -> float:
-    """Area shared by two polygons: slabs between all vertex and crossing heights, exact for straight edges."""
-    a, b = _ring_edges(rings_a), _ring_edges(rings_b)
+def overlap_area(a: np.ndarray, b: np.ndarray) -> float:
+    """Area shared by two polygons given as edges: slabs between all vertex and crossing heights.
+
+    Exact for straight edges, since no two edges cross inside a slab.
+    """
     if len(a) == 0 or len(b) == 0:
         return 0.0
     heights = np.unique(np.concatenate([a[:, 1], a[:, 3], b[:, 1], b[:, 3], _crossing_heights(a, b)]))
@@ -120,14 +123,15 @@ def overlap_area(rings_a: list, rings_b: list) -> float:
     return total
 
 
-@F.pandas_udf("double")
-def _overlap(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([0.0 if p is None or q is None else overlap_area(p, q) for p, q in zip(a, b)])
+@F.pandas_udf(DoubleType())
+def _overlap(ax: pd.Series, ay: pd.Series, an: pd.Series, bx: pd.Series, by: pd.Series, bn: pd.Series) -> pd.Series:
+    return pd.Series([0.0 if a[0] is None or b[0] is None else overlap_area(_ring_edges(*a), _ring_edges(*b))
+                      for a, b in zip(zip(ax, ay, an), zip(bx, by, bn))])
 
 
 def polygon_iou(a: Column, b: Column) -> Column:
     """IoU of two polygons; 0 where either is null or empty. Meant for pairs that share a box."""
-    shared = _overlap(a, b)
+    shared = _overlap(*geo.flat_rings(a), *geo.flat_rings(b))
     union = geo.polygon_area(a) + geo.polygon_area(b) - shared
     return F.coalesce(F.when(union > 0, shared / union), F.lit(0.0))
 

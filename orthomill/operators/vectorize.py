@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from orthomill import fixed
 from orthomill.functions import geometry as geo
 from orthomill.operators.components import connected_components, label_cells
-from orthomill.session import cut_lineage
+from orthomill.session import cut_lineage, spread
 
-RING = ArrayType(StructType([StructField("x", DoubleType()), StructField("y", DoubleType())]))
-RINGS = ArrayType(RING)
+FLAT = StructType([StructField("xs", ArrayType(DoubleType())), StructField("ys", ArrayType(DoubleType())),
+                   StructField("sizes", ArrayType(IntegerType()))])
 
 # Directions with y pointing down: 0 right, 1 down, 2 left, 3 up. The interior lies to the right.
 _STEP_X = np.array([1, 0, -1, 0])
@@ -96,7 +96,7 @@ def stitch_rings(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     the tile. :func:`trace_rings` handles rasters of any size.
     """
     keys = list(keys)
-    fields = [edges.schema[k] for k in keys] + [edges.schema["component"], StructField("rings", RINGS)]
+    fields = [edges.schema[k] for k in keys] + [edges.schema["component"], *FLAT.fields]
 
     def stitch(pdf: pd.DataFrame) -> pd.DataFrame:
         x, y, d = (pdf[n].to_numpy().astype(np.int64) for n in ("x", "y", "dir"))
@@ -108,11 +108,13 @@ def stitch_rings(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
         out = []
         for comp, parts in rings.items():
             parts.sort(key=lambda p: (_signed_area(p) < 0, p[0][1], p[0][0]))
-            out.append({**head, "component": comp,
-                        "rings": [[{"x": float(a), "y": float(b)} for a, b in part] for part in parts]})
-        return pd.DataFrame(out, columns=[*keys, "component", "rings"])
+            pts = np.array([p for part in parts for p in part], dtype=float)
+            out.append({**head, "component": comp, "xs": pts[:, 0], "ys": pts[:, 1],
+                        "sizes": np.array([len(part) for part in parts], dtype=np.int32)})
+        return pd.DataFrame(out, columns=[*keys, "component", "xs", "ys", "sizes"])
 
-    return edges.groupBy(*keys).applyInPandas(stitch, StructType(fields))
+    flat = spread(edges, *keys).groupBy(*keys).applyInPandas(stitch, StructType(fields))
+    return flat.select(*keys, "component", geo.rings_from_flat(F.struct("xs", "ys", "sizes")).alias("rings"))
 
 
 def trace_rings(edges: DataFrame, keys: Sequence[str], max_rounds: int = 48) -> DataFrame:
@@ -216,7 +218,7 @@ def is_valid(rings: Column) -> Column:
 
 def sanitize(parts: DataFrame, keys: Sequence[str], column: str = "parts") -> DataFrame:
     """Polygon parts to one polygon per key: invalid parts dropped, the largest kept, nothing left = no row."""
-    exploded = parts.select(*keys, F.explode(column).alias("rings")).filter(is_valid(F.col("rings")))
+    exploded = parts.select(*keys, F.explode_outer(column).alias("rings")).filter(is_valid(F.col("rings")))
     rank = F.struct(geo.polygon_area(F.col("rings")).alias("a"), geo.to_wkt(F.col("rings")).alias("t"))
     return exploded.groupBy(*keys).agg(F.max_by("rings", rank).alias("rings"))
 
@@ -251,21 +253,25 @@ def simplify_ring(pts: np.ndarray, tolerance: float) -> np.ndarray:
 
 
 def simplify(polygons: DataFrame, tolerance: float, column: str = "rings") -> DataFrame:
-    """Douglas-Peucker on every ring; 0 leaves the polygons alone."""
+    """Douglas-Peucker on every ring; 0 leaves the polygons alone. Only the rings go through Python."""
     if tolerance <= 0:
         return polygons
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            pdf[column] = [
-                None if rings is None else [
-                    [{"x": float(a), "y": float(b)} for a, b in simplify_ring(
-                        np.array([(p["x"], p["y"]) for p in ring], dtype=float).reshape(-1, 2), tolerance)]
-                    for ring in rings]
-                for rings in pdf[column]]
-            yield pdf
-
-    return polygons.mapInPandas(run, polygons.schema)
+    @F.pandas_udf(FLAT)
+    def run(xs: pd.Series, ys: pd.Series, sizes: pd.Series) -> pd.DataFrame:
+        out = []
+        for x, y, n in zip(xs, ys, sizes):
+            if x is None:
+                out.append((None, None, None))
+                continue
+            ends = np.cumsum(n)
+            rings = [simplify_ring(np.column_stack([x[b - k:b], y[b - k:b]]), tolerance) for b, k in zip(ends, n)]
+            flat = np.vstack(rings) if rings else np.empty((0, 2))
+            out.append((flat[:, 0], flat[:, 1], np.array([len(r) for r in rings], dtype=np.int32)))
+        return pd.DataFrame(out, columns=["xs", "ys", "sizes"])
+
+    return polygons.withColumn("_flat", run(*geo.flat_rings(F.col(column)))) \
+        .withColumn(column, geo.rings_from_flat(F.col("_flat"))).drop("_flat")
 
 
 def outer_vertices(rings: Column) -> Column:

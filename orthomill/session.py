@@ -58,3 +58,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unused path in the shared folder for a written table."""
     return f"{shared_dir(spark).rstrip('/')}/scratch/{name}-{uuid.uuid4().hex}"
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by ``keys`` at full shuffle parallelism.
+
+    Used ahead of Python groups, whose cost does not follow their bytes: a small
+    shuffle would otherwise be merged into very few tasks.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
