@@ -168,7 +168,7 @@ def _ring_ids(links: DataFrame, scope: Sequence[str]) -> DataFrame:
 
 def ring_polygons(corners: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Corner table of :func:`trace_rings` as polygons; for shapes whose rings fit a row."""
-    pts = F.transform(F.array_sort(F.collect_list(F.struct("pos", F.col("x").cast("double"), F.col("y").cast("double")))),
+    pts = F.transform(F.array_sort(F.collect_list(F.struct("pos", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")))),
                       lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
     closed = corners.groupBy(*keys, "component", "ring").agg(pts.alias("pts"))
     ring = F.concat("pts", F.slice("pts", 1, 1))

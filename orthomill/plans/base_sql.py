@@ -97,3 +97,21 @@ cname AS (
   SELECT * FROM (VALUES (0, 'background'), (1, 'building'), (2, 'road'), (3, 'vegetation'), (4, 'water'),
     (5, 'other')) v(class_id, class_name))
 """
+
+IDEC = """
+idec AS (
+  SELECT vec_id AS tile_id, (vec_id * 7 % 100) / 100e0 AS accept_val, vec_id % 2 = 0 AS refine_flag,
+         label % 6 AS class_id, (vec_id % 97) / 96e0 AS confidence_val
+  FROM embeddings)
+"""
+
+LOGITS = PX.strip() + """,
+lg AS (
+  SELECT source_id AS tile_id, r, c, b0, b1, b2,
+         [((b0 * 3) % 23) / 10e0, ((b0 * 10 + b1) % 23) / 10e0, ((b0 * 17 + b1 * 2) % 23) / 10e0,
+          ((b0 * 24 + b1 * 3) % 23) / 10e0, ((b0 * 31 + b1 * 4) % 23) / 10e0, ((b0 * 38 + b1 * 5) % 23) / 10e0] AS z
+  FROM px),
+sm0 AS (SELECT *, list_max(z) AS zm FROM lg),
+sm1 AS (SELECT *, [exp(z[1] - zm), exp(z[2] - zm), exp(z[3] - zm), exp(z[4] - zm), exp(z[5] - zm), exp(z[6] - zm)] AS ez FROM sm0),
+sm AS (SELECT *, list_position(z, zm) - 1 AS class_id, list_sum(ez) AS es FROM sm1)
+"""

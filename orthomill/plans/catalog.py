@@ -1,6 +1,6 @@
 """All registered queries; importing this module fills the registry."""
 
-from orthomill.plans import queries_geometry, queries_tiling  # noqa: F401
+from orthomill.plans import queries_fusion, queries_geometry, queries_tiling  # noqa: F401
 from orthomill.plans.registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]

@@ -158,3 +158,18 @@ def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").select(
         F.col("doc_id").alias("tile_id"), F.col("quality").alias("original_class"),
         F.col("toxic").alias("corrected_class"), F.lit(False).alias("processed"))
+
+
+def image_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fusion decisions per 8x8 image."""
+    key = F.col("vec_id")
+    return table(spark, sf_dir, "embeddings").select(
+        key.alias("tile_id"), ((key * 7 % 100) / 100.0).alias("accept_val"), (key % 2 == 0).alias("refine_flag"),
+        (F.col("label") % 6).cast("int").alias("class_id"), ((key % 97) / 96.0).alias("confidence_val"))
+
+
+def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class scores per pixel of the 8x8 images."""
+    scores = [((F.col("b0") * (7 * k + 3) + F.col("b1") * k) % 23) / 10.0 for k in range(6)]
+    return pixels(spark, sf_dir).select(
+        F.col("source_id").alias("tile_id"), "row", "col", "b0", "b1", "b2", F.array(*scores).alias("logits"))
