@@ -25,19 +25,19 @@ def global_row_number(df: DataFrame, order_by: Sequence[str | Column], name: str
     ranged = df.repartitionByRange(*([partitions] if partitions else []), *order_by)
     ranged = cut_lineage(
         ranged.sortWithinPartitions(*order_by)
-        .withColumn("_part", F.spark_partition_id())
-        .withColumn("_pos", F.monotonically_increasing_id().bitwiseAND(F.lit(_POSITION_BITS)))
+        .withColumn("_gr_part", F.spark_partition_id())
+        .withColumn("_gr_pos", F.monotonically_increasing_id().bitwiseAND(F.lit(_POSITION_BITS)))
     )
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("_gr_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        ranged.groupBy("_part").agg((F.max("_pos") + 1).alias("_n"))
-        .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .select("_part", "_before")
+        ranged.groupBy("_gr_part").agg((F.max("_gr_pos") + 1).alias("_n"))
+        .withColumn("_gr_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+        .select("_gr_part", "_gr_before")
     )
     return (
-        ranged.join(F.broadcast(offsets), "_part")
-        .withColumn(name, F.col("_before") + F.col("_pos"))
-        .drop("_part", "_pos", "_before")
+        ranged.join(F.broadcast(offsets), "_gr_part")
+        .withColumn(name, F.col("_gr_before") + F.col("_gr_pos"))
+        .drop("_gr_part", "_gr_pos", "_gr_before")
     )
 
 
@@ -54,12 +54,12 @@ def blocked_row_number(df: DataFrame, group: Sequence[str], block: str, within:
     outer = Window.partitionBy(*group).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         df.groupBy(*group, block).agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_before", F.coalesce(F.sum("_n").over(outer), F.lit(0)))
+        .withColumn("_gr_before", F.coalesce(F.sum("_n").over(outer), F.lit(0)))
         .drop("_n")
     )
     return (
         df.withColumn("_rn", F.row_number().over(inner) - 1)
         .join(offsets, [*group, block])
-        .withColumn(name, F.col("_rn") + F.col("_before"))
-        .drop("_rn", "_before")
+        .withColumn(name, F.col("_rn") + F.col("_gr_before"))
+        .drop("_rn", "_gr_before")
     )

@@ -115,3 +115,7 @@ sm0 AS (SELECT *, list_max(z) AS zm FROM lg),
 sm1 AS (SELECT *, [exp(z[1] - zm), exp(z[2] - zm), exp(z[3] - zm), exp(z[4] - zm), exp(z[5] - zm), exp(z[6] - zm)] AS ez FROM sm0),
 sm AS (SELECT *, list_position(z, zm) - 1 AS class_id, list_sum(ez) AS es FROM sm1)
 """
+
+HEIGHT_STATS = """
+hts AS (SELECT tile_id, avg(z) AS zm FROM pts GROUP BY 1)
+"""
