@@ -8,6 +8,7 @@ then closed holes. A transform is ``array<double>`` ``[a,b,c,d,e,f]`` with
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,6 +17,11 @@ RING_TYPE = "array<struct<x:double,y:double>>"
 RINGS_TYPE = f"array<{RING_TYPE}>"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def point(x: Column, y: Column) -> Column:
     """Point struct."""
     return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
@@ -91,8 +97,8 @@ def _no_rings(rings: Column) -> Column:
 
 def polygon_area(rings: Column) -> Column:
     """Outer area minus holes; 0 for a null or empty polygon."""
-    areas = F.transform(rings, ring_area)
-    return F.when(_no_rings(rings), F.lit(0.0)).otherwise(2.0 * F.get(areas, 0) - _total(areas))
+    net = let(F.transform(rings, ring_area), lambda areas: 2.0 * F.get(areas, 0) - _total(areas))
+    return F.when(_no_rings(rings), F.lit(0.0)).otherwise(net)
 
 
 def polygon_length(rings: Column) -> Column:
@@ -102,14 +108,17 @@ def polygon_length(rings: Column) -> Column:
 
 def polygon_stats(rings: Column) -> Column:
     """Area, perimeter, closed vertex count of the outer ring and compactness 4*pi*A/P^2."""
-    area, length = polygon_area(rings), polygon_length(rings)
-    return F.struct(
-        area.alias("area"),
-        length.alias("perimeter"),
-        F.when(_no_rings(rings), F.lit(0)).otherwise(F.size(F.get(rings, 0))).alias("num_vertices"),
-        F.when(length > 0, F.lit(4.0 * math.pi) * area / (length * length)).otherwise(F.lit(0.0))
-        .alias("compactness"),
-    )
+    def fields(m: Column) -> Column:
+        area, length = m["area"], m["length"]
+        return F.struct(
+            area.alias("area"),
+            length.alias("perimeter"),
+            F.when(_no_rings(rings), F.lit(0)).otherwise(F.size(F.get(rings, 0))).alias("num_vertices"),
+            F.when(length > 0, F.lit(4.0 * math.pi) * area / (length * length)).otherwise(F.lit(0.0))
+            .alias("compactness"),
+        )
+
+    return let(F.struct(polygon_area(rings).alias("area"), polygon_length(rings).alias("length")), fields)
 
 
 def bounds(rings: Column) -> Column:
@@ -148,18 +157,23 @@ def _tidy(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.trim(text), r"\s+", " "), r" ?([(),]) ?", "$1")
 
 
-def _as_json(body: Column) -> Column:
-    """Nested coordinate text between the outer brackets as a JSON array text."""
-    points = F.replace(F.replace(body, F.lit(","), F.lit("],[")), F.lit(" "), F.lit(","))
-    rings = F.regexp_replace(F.regexp_replace(points, r"\((?!\()", "[["), r"(?<![)\]])\)", "]]")
-    rings = F.translate(rings, "()", "[]")
-    return F.concat(F.lit("["), rings, F.lit("]"))
+def _swap(text: Column, *pairs: tuple[str, str]) -> Column:
+    for old, new in pairs:
+        text = F.replace(text, F.lit(old), F.lit(new))
+    return text
 
 
-def _parse(text: Column, kind: str, schema: str) -> Column:
-    body = F.regexp_extract(_tidy(text), rf"(?i)^{kind}\((\(.*\))\)$", 1)
-    separated = F.regexp_replace(body, r"(\)+),(\(+)", "$1|$2")
-    return F.from_json(F.when(body != "", F.replace(_as_json(separated), F.lit("|"), F.lit(","))), schema)
+def _parse(text: Column, kind: str, depth: int) -> Column:
+    """Coordinates of a tidy WKT text as nested arrays; null if the text is something else.
+
+    Brackets and separators are rewritten to JSON, outermost separators first,
+    and the engine's JSON parser does the rest.
+    """
+    schema = "array<" * depth + "double" + ">" * depth
+    body = F.when(F.upper(F.substring(text, 1, len(kind) + 1)) == f"{kind}(", F.substr(text, F.lit(len(kind) + 1)))
+    marked = _swap(body, (")),((", "@"), ("),(", "#"), (",", "],["), (" ", ","), ("@", "]]],[[["), ("#", "]],[["),
+                   ("(" * (depth - 1), "[" * depth), (")" * (depth - 1), "]" * depth))
+    return F.from_json(marked, schema)
 
 
 def _points(coordinates: Column) -> Column:
@@ -173,20 +187,17 @@ def _well_formed(coordinates: Column) -> Column:
 
 
 def from_wkt(text: Column) -> Column:
-    """Rings of a POLYGON text; null where the text is not a well-formed polygon.
-
-    The text is rewritten to a nested JSON array, which the engine's own parser reads.
-    """
-    parsed = _parse(text, "POLYGON", "array<array<array<double>>>")
-    return F.when(_well_formed(parsed), _points(parsed))
+    """Rings of a POLYGON text; null where the text is not a well-formed polygon."""
+    return let(_parse(_tidy(text), "POLYGON", 3), lambda c: F.when(_well_formed(c), _points(c)))
 
 
 def parts_from_wkt(text: Column) -> Column:
     """Polygon parts of a POLYGON or MULTIPOLYGON text (array of rings); null if malformed."""
-    many = _parse(text, "MULTIPOLYGON", "array<array<array<array<double>>>>")
-    single = _parse(text, "POLYGON", "array<array<array<double>>>")
-    parts = F.coalesce(many, F.when(single.isNotNull(), F.array(single)))
-    return F.when(F.forall(parts, _well_formed), F.transform(parts, _points))
+    def coordinates(tidy: Column) -> Column:
+        single = _parse(tidy, "POLYGON", 3)
+        return F.coalesce(_parse(tidy, "MULTIPOLYGON", 4), F.when(single.isNotNull(), F.array(single)))
+
+    return let(let(_tidy(text), coordinates), lambda c: F.when(F.forall(c, _well_formed), F.transform(c, _points)))
 
 
 # --- flat form for Arrow batches ---------------------------------------------

@@ -212,14 +212,19 @@ def polygonize(cells: DataFrame, keys: Sequence[str], transform: str | None = No
 
 def is_valid(rings: Column) -> Column:
     """Closed rings of at least four points around a positive area."""
-    ok = F.forall(rings, lambda ring: (F.size(ring) >= 4) & (F.element_at(ring, 1) == F.element_at(ring, -1)))
-    return F.coalesce((F.size(rings) > 0) & ok & (geo.polygon_area(rings) > 0), F.lit(False))
+    return F.coalesce(_closed(rings) & (geo.polygon_area(rings) > 0), F.lit(False))
+
+
+def _closed(rings: Column) -> Column:
+    return (F.size(rings) > 0) & F.forall(
+        rings, lambda ring: (F.size(ring) >= 4) & (F.element_at(ring, 1) == F.element_at(ring, -1)))
 
 
 def sanitize(parts: DataFrame, keys: Sequence[str], column: str = "parts") -> DataFrame:
     """Polygon parts to one polygon per key: invalid parts dropped, the largest kept, nothing left = no row."""
-    exploded = parts.select(*keys, F.explode_outer(column).alias("rings")).filter(is_valid(F.col("rings")))
-    rank = F.struct(geo.polygon_area(F.col("rings")).alias("a"), geo.to_wkt(F.col("rings")).alias("t"))
+    exploded = parts.select(*keys, F.posexplode_outer(column).alias("pos", "rings")) \
+        .withColumn("_area", geo.polygon_area(F.col("rings"))).filter((F.col("_area") > 0) & _closed(F.col("rings")))
+    rank = F.struct("_area", (-F.col("pos")).alias("first"))
     return exploded.groupBy(*keys).agg(F.max_by("rings", rank).alias("rings"))
 
 

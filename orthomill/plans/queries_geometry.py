@@ -9,6 +9,7 @@ from orthomill.functions import geometry as geo
 from orthomill.operators import components, rasterize, spatial_join, tiling, vectorize, views
 from orthomill.plans.base_sql import LAYER, MASKS, RAS
 from orthomill.plans.registry import query, with_ctes
+from orthomill.session import spread
 from orthomill.sources import layers
 from orthomill.sources import testbed as tb
 
@@ -117,7 +118,9 @@ def c7(spark, sf):
         return F.format_string("((%d %d, %d %d, %d %d, %d %d, %d %d))", x, y, x + s, y, x + s, y + s, x, y + s, x, y)
 
     text = F.concat(F.lit("MULTIPOLYGON ("), F.concat_ws(", ", part(0), part(1), part(2)), F.lit(")"))
-    parts = tb.table(spark, sf, "orders").select("o_orderkey", geo.parts_from_wkt(text).alias("parts"))
+    # Parsing costs far more than the bytes suggest; the grouping by key then needs no second shuffle.
+    parts = spread(tb.table(spark, sf, "orders"), "o_orderkey").select(
+        "o_orderkey", geo.parts_from_wkt(text).alias("parts"))
     return vectorize.sanitize(parts, ["o_orderkey"]).select(
         "o_orderkey", geo.polygon_area(F.col("rings")).alias("area"))
 
