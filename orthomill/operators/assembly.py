@@ -51,21 +51,14 @@ def tile_polygons(decisions: DataFrame, mask: DataFrame, seg_confidence: DataFra
     """
     columns = [tile, "class_id", "confidence", "source_masks", "rings", "area", "perimeter", "valid"]
 
-    def placed(cells: DataFrame) -> tuple[DataFrame, str | None]:
-        if transforms is None:
-            return cells, None
-        return cells.join(transforms.select(tile, "transform"), tile), "transform"
-
     covered, parts = None, []
     if refined is not None:
         cells = refined_cells(decisions, refined, tile).withColumn("_on", F.lit(1))
-        located, column = placed(cells.select(tile, "cand", "row", "col", "_on"))
-        shapes = polygonize(located, [tile, "cand"], column, "_on", min_area, tolerance)
+        shapes = polygonize(cells.select(tile, "cand", "row", "col", "_on"), [tile, "cand"], transforms, "_on", min_area, tolerance)
         info = decisions.select(tile, "class_id", F.col("confidence_val").alias("confidence"))
         covered = shapes.join(info, tile).withColumn("source_masks", F.array(F.lit(fixed.REFINED_TAG)))
         parts.append(covered.select(*columns))
-    located, column = placed(segmentation_cells(decisions, mask, covered, tile))
-    shapes = polygonize(located, [tile], column, "class_id", min_area, tolerance)
+    shapes = polygonize(segmentation_cells(decisions, mask, covered, tile), [tile], transforms, "class_id", min_area, tolerance)
     parts.append(shapes.join(seg_confidence.select(tile, "confidence"), tile, "left")
                  .withColumn("confidence", F.coalesce("confidence", F.lit(fixed.DEFAULT_CONFIDENCE)))
                  .withColumn("source_masks", F.array(F.lit(fixed.SEG_TAG))).select(*columns))

@@ -15,22 +15,71 @@ from orthomill.session import cut_lineage, spread
 
 #: Cells get the number row * ROW_STEP + col, so the smallest number is first in row-major order.
 ROW_STEP = 1 << 31
+#: Scopes with up to this many edges are solved as one bounded group.
+FOLD_LIMIT = 200_000
 
 
-def connected_components(edges: DataFrame, scope: Sequence[str] = (), max_rounds: int = 64) -> DataFrame:
+def connected_components(edges: DataFrame, scope: Sequence[str] = (), fold_limit: int = FOLD_LIMIT,
+                         max_rounds: int = 64) -> DataFrame:
     """Component of every node that has an edge: ``(*scope, node, component)``.
 
-    ``edges`` has columns ``u`` and ``v`` (undirected). The component is its
-    smallest node. Alternates the large-star and small-star steps, which turn any
-    graph into stars around the smallest nodes in a logarithmic number of rounds;
-    every round ends in a checkpoint. The centre of a large star is a hot key:
-    its lookup goes through :func:`lookup_unique`, unless the whole edge table is
-    too small to hold a hot key at all.
+    ``edges`` has columns ``u`` and ``v`` (undirected); the component is its smallest
+    node. Scopes with at most ``fold_limit`` edges are each solved as one bounded
+    group; the others, and a table without scope, go through
+    :func:`components_in_rounds`.
+    """
+    scope = list(scope)
+    table = cut_lineage(edges.filter(F.col("u") != F.col("v")).select(*scope, "u", "v").distinct())
+    if not scope:
+        return components_in_rounds(table, scope, max_rounds)
+    large = table.groupBy(*scope).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > fold_limit).select(*scope)
+    if large.isEmpty():
+        return _fold(table, scope)
+    return _fold(table.join(large, scope, "left_anti"), scope).unionByName(
+        components_in_rounds(table.join(large, scope, "left_semi"), scope, max_rounds))
+
+
+def _fold(table: DataFrame, scope: list[str]) -> DataFrame:
+    fields = [table.schema[s] for s in scope] + [StructField("node", LongType()), StructField("component", LongType())]
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        nodes, ends = np.unique(np.concatenate([pdf["u"].to_numpy(), pdf["v"].to_numpy()]), return_inverse=True)
+        a, b = ends[:len(pdf)], ends[len(pdf):]
+        found = pd.DataFrame({"node": nodes, "component": nodes[_lowest_reachable(len(nodes), a, b)]})
+        for name in scope:
+            found[name] = pdf[name].iloc[0]
+        return found[[*scope, "node", "component"]]
+
+    return spread(table, *scope).groupBy(*scope).applyInPandas(solve, StructType(fields))
+
+
+def _lowest_reachable(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Lowest node reachable from each of ``n`` nodes along edges ``a``-``b``: hooking and pointer jumping."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[a], label[b])
+        if np.array_equal(low, label[a]) and np.array_equal(low, label[b]):
+            return label
+        for end in (a, b):
+            np.minimum.at(label, label[end], low)
+            np.minimum.at(label, end, low)
+        while not np.array_equal(label[label], label):
+            label = label[label]
+
+
+def components_in_rounds(edges: DataFrame, scope: Sequence[str] = (), max_rounds: int = 64) -> DataFrame:
+    """Components of a graph of any size by joins; ``edges`` is distinct and free of loops.
+
+    Alternates the large-star and small-star steps, which turn any graph into
+    stars around the smallest nodes in a logarithmic number of rounds; every round
+    ends in a checkpoint. The centre of a large star is a hot key: its lookup goes
+    through :func:`lookup_unique`, unless the whole edge table is too small to hold
+    a hot key at all.
     """
     scope = list(scope)
     keys = [*scope, "u"]
     hashed = F.sum(F.xxhash64(*scope, "u", "v").cast("decimal(38,0)"))
-    current = cut_lineage(edges.filter(F.col("u") != F.col("v")).select(*scope, "u", "v").distinct())
+    current = edges
     before = current.agg(F.count(F.lit(1)), hashed).first()
     for _ in range(max_rounds):
         if before[0] == 0:
@@ -83,23 +132,7 @@ def _label(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, eight: bool)
     order = np.argsort(number, kind="stable")
     rank = np.empty(len(rows), dtype=np.int64)
     rank[order] = np.arange(len(rows))
-    label = rank.copy()
-    while True:
-        low = np.minimum(label[a], label[b])
-        if np.array_equal(low, label[a]) and np.array_equal(low, label[b]):
-            break
-        parents = label.copy()
-        np.minimum.at(parents, order[label[a]], low)
-        np.minimum.at(parents, order[label[b]], low)
-        np.minimum.at(parents, a, low)
-        np.minimum.at(parents, b, low)
-        while True:
-            jumped = parents[order[parents]]
-            if np.array_equal(jumped, parents):
-                break
-            parents = jumped
-        label = parents
-    return number[order[label]]
+    return number[order[_lowest_reachable(len(rows), rank[a], rank[b])[rank]]]
 
 
 def label_cells(mask: DataFrame, keys: Sequence[str] = ("source_id",), value: str = "class_id",

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orthomill.functions import ids
-from orthomill.operators.components import component_boxes, label_cells
+from orthomill.operators.components import ROW_STEP, component_boxes, label_cells
+from orthomill.operators.ordering import blocked_row_number
 
 
 def _sampled(position: Column, scale: Column) -> Column:
@@ -88,13 +89,12 @@ def islands(closed: DataFrame, min_share: float | None = None, source: str = "so
     ``min_share`` only islands larger than that share of the source's largest stay.
     """
     cells = label_cells(closed.withColumn("class_id", F.lit(1)), [source], "class_id", 4, chunk)
-    table = component_boxes(cells, [source]).drop("class_id") \
-        .withColumn("island_no", F.row_number().over(Window.partitionBy(source).orderBy("component"))) \
-        .withColumn("island_id", ids.island_id(F.col("island_no")))
+    boxes = component_boxes(cells, [source]).drop("class_id").withColumn("_line", F.floor(F.col("component") / ROW_STEP))
+    table = blocked_row_number(boxes, [source], "_line", ["component"], "_no").drop("_line") \
+        .withColumn("island_id", ids.island_id(F.col("_no") + 1)).drop("_no")
     if min_share is not None:
-        largest = F.max("pixels").over(Window.partitionBy(source))
-        table = table.withColumn("_largest", largest).filter(F.col("pixels") > F.col("_largest") * min_share) \
-            .drop("_largest")
+        largest = table.groupBy(source).agg((F.max("pixels") * min_share).alias("_least"))
+        table = table.join(largest, source).filter(F.col("pixels") > F.col("_least")).drop("_least")
     return cells.drop("class_id"), table
 
 

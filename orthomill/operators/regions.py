@@ -105,9 +105,8 @@ def region_polygons(masks: DataFrame, regions: DataFrame, canvas: DataFrame,
     A canvas can be far larger than a tile, so components are labelled block-wise
     and rings traced by joins.
     """
-    cells = masks.select("region_id", "row", "col").withColumn("_on", F.lit(1)) \
-        .join(canvas.select("region_id", "transform"), "region_id")
-    shapes = polygonize(cells, ["region_id"], "transform", "_on", min_area, tolerance, whole_tile=False)
+    cells = masks.select("region_id", "row", "col").withColumn("_on", F.lit(1))
+    shapes = polygonize(cells, ["region_id"], canvas, "_on", min_area, tolerance, whole_tile=False)
     quality = masks.groupBy("region_id").agg(F.coalesce(F.max("quality"), F.lit(0.8)).alias("confidence"))
     return shapes.drop("_on").join(regions.select("region_id", "class_id"), "region_id").join(quality, "region_id") \
         .withColumn("source_masks", F.array(F.lit(fixed.REFINED_REGION_TAG)))

@@ -12,7 +12,7 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, S
 
 from orthomill import fixed
 from orthomill.functions import geometry as geo
-from orthomill.operators.components import connected_components, label_cells
+from orthomill.operators.components import FOLD_LIMIT, connected_components, label_cells
 from orthomill.session import cut_lineage, spread
 
 FLAT = StructType([StructField("xs", ArrayType(DoubleType())), StructField("ys", ArrayType(DoubleType())),
@@ -23,9 +23,11 @@ _STEP_X = np.array([1, 0, -1, 0])
 _STEP_Y = np.array([0, 1, 0, -1])
 
 
-def boundary_edges(labelled: DataFrame, keys: Sequence[str]) -> DataFrame:
+def boundary_edges(labelled: DataFrame, keys: Sequence[str], value: str | None = None) -> DataFrame:
     """Directed unit edges ``(*keys, component, x, y, dir)`` between a component and anything else.
 
+    The component's class goes along if ``value`` names it.
+
     Each cell contributes its four sides; a side shared by two cells of the same
     component occurs once in each direction and cancels in the sum.
     """
@@ -33,14 +35,15 @@ def boundary_edges(labelled: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.lit(kind).alias("k"), x.alias("x"), y.alias("y"), F.lit(sign).alias("s"))
     r, c = F.col("row"), F.col("col")
     sides = F.array(side(0, c, r, 1), side(0, c, r + 1, -1), side(1, c + 1, r, 1), side(1, c, r, -1))
+    carried = [*keys, "component", *([value] if value else [])]
     summed = (
-        labelled.select(*keys, "component", F.explode(sides).alias("e"))
-        .groupBy(*keys, "component", "e.k", "e.x", "e.y").agg(F.sum("e.s").alias("s")).filter("s != 0")
+        labelled.select(*carried, F.explode(sides).alias("e"))
+        .groupBy(*carried, "e.k", "e.x", "e.y").agg(F.sum("e.s").alias("s")).filter("s != 0")
     )
     horizontal = F.col("k") == 0
     forward = F.col("s") > 0
     return summed.select(
-        *keys, "component",
+        *carried,
         F.when(horizontal & ~forward, F.col("x") + 1).otherwise(F.col("x")).alias("x"),
         F.when(~horizontal & ~forward, F.col("y") + 1).otherwise(F.col("y")).alias("y"),
         (F.when(forward, 0).otherwise(2) + F.when(horizontal, 0).otherwise(1)).cast("int").alias("dir"))
@@ -93,28 +96,32 @@ def stitch_rings(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Polygons ``(*keys, component, rings)`` in pixel space, outer ring first.
 
     One group per key: use it for tile-sized masks, whose boundary is bounded by
-    the tile. :func:`trace_rings` handles rasters of any size.
+    the tile. :func:`trace_rings` handles rasters of any size. Further columns of
+    ``edges`` are taken to be constant within a component.
     """
     keys = list(keys)
-    fields = [edges.schema[k] for k in keys] + [edges.schema["component"], *FLAT.fields]
+    kept = [c for c in edges.columns if c not in ("x", "y", "dir")]
+    fields = [edges.schema[c] for c in kept] + FLAT.fields
 
     def stitch(pdf: pd.DataFrame) -> pd.DataFrame:
         x, y, d = (pdf[n].to_numpy().astype(np.int64) for n in ("x", "y", "dir"))
         component = pdf["component"].to_numpy()
         rings: dict[int, list] = {}
+        member: dict[int, int] = {}
         for edge, pts in _rings(x, y, d, _successors(component, x, y, d)):
             rings.setdefault(component[edge], []).append(pts)
-        head = {k: pdf[k].iloc[0] for k in keys}
-        out = []
-        for comp, parts in rings.items():
+            member[component[edge]] = edge
+        flat = {"xs": [], "ys": [], "sizes": []}
+        for parts in rings.values():
             parts.sort(key=lambda p: (_signed_area(p) < 0, p[0][1], p[0][0]))
             pts = np.array([p for part in parts for p in part], dtype=float)
-            out.append({**head, "component": comp, "xs": pts[:, 0], "ys": pts[:, 1],
-                        "sizes": np.array([len(part) for part in parts], dtype=np.int32)})
-        return pd.DataFrame(out, columns=[*keys, "component", "xs", "ys", "sizes"])
+            flat["xs"].append(pts[:, 0])
+            flat["ys"].append(pts[:, 1])
+            flat["sizes"].append(np.array([len(part) for part in parts], dtype=np.int32))
+        return pdf[kept].iloc[list(member.values())].reset_index(drop=True).assign(**flat)
 
     flat = spread(edges, *keys).groupBy(*keys).applyInPandas(stitch, StructType(fields))
-    return flat.select(*keys, "component", geo.rings_from_flat(F.struct("xs", "ys", "sizes")).alias("rings"))
+    return flat.select(*kept, geo.rings_from_flat(F.struct("xs", "ys", "sizes")).alias("rings"))
 
 
 def trace_rings(edges: DataFrame, keys: Sequence[str], max_rounds: int = 48) -> DataFrame:
@@ -166,6 +173,20 @@ def _ring_ids(links: DataFrame, scope: Sequence[str]) -> DataFrame:
         F.col("node").alias("u"), F.col("component").alias("ring"))
 
 
+def component_polygons(edges: DataFrame, keys: Sequence[str], value: str, fold_limit: int = FOLD_LIMIT) -> DataFrame:
+    """Polygons of components of any size: bounded ones stitched as one group each, others traced by joins."""
+    shape = [*keys, "component"]
+    edges = cut_lineage(edges)
+    large = edges.groupBy(*shape).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > fold_limit).select(*shape)
+    if large.isEmpty():
+        return stitch_rings(edges, shape)
+    small = stitch_rings(edges.join(large, shape, "left_anti"), shape)
+    big = cut_lineage(edges.join(large, shape, "left_semi"))
+    classes = big.groupBy(*shape).agg(F.first(value).alias(value))
+    traced = ring_polygons(trace_rings(big.drop(value), keys), keys).join(classes, shape)
+    return small.unionByName(traced)
+
+
 def ring_polygons(corners: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Corner table of :func:`trace_rings` as polygons; for shapes whose rings fit a row."""
     pts = F.transform(F.array_sort(F.collect_list(F.struct("pos", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")))),
@@ -183,31 +204,32 @@ def geo_reference(rings: Column, transform: Column) -> Column:
         ring, lambda p: geo.pixel_to_geo(p["x"], p["y"], transform)))
 
 
-def polygonize(cells: DataFrame, keys: Sequence[str], transform: str | None = None, value: str = "class_id",
+def polygonize(cells: DataFrame, keys: Sequence[str], transforms: DataFrame | None = None, value: str = "class_id",
                min_area: float = fixed.MIN_POLYGON_AREA, tolerance: float = fixed.SIMPLIFY_TOLERANCE,
                whole_tile: bool = True, chunk: int = 256) -> DataFrame:
-    """Class cells of tile masks to polygons with area, perimeter and validity.
+    """Class cells of tile masks to polygons with pixel count, area, perimeter and validity.
 
     4-connected; holes are kept; area is tested before simplification, measures
-    are taken after it. With ``whole_tile`` a key's mask is tile-sized; otherwise
-    components are labelled block-wise and rings traced by joins.
+    are taken after it. ``transforms`` holds one ``transform`` per key (or per
+    leading key); without it the result stays in pixel space. With ``whole_tile`` a
+    key's mask is tile-sized; otherwise components are labelled block-wise and rings
+    traced by joins.
     """
     keys = list(keys)
     labelled = label_cells(cells.filter(F.col(value) > 0), keys, value, 4, None if whole_tile else chunk)
-    classes = labelled.groupBy(*keys, "component").agg(F.first(value).alias(value), F.count(F.lit(1)).alias("pixels"))
-    edges = boundary_edges(labelled, keys)
-    shapes = stitch_rings(edges, keys) if whole_tile else ring_polygons(trace_rings(edges, keys), keys)
-    shapes = shapes.join(classes, [*keys, "component"])
-    if transform is not None:
-        placements = cells.groupBy(*keys).agg(F.first(transform).alias("_transform"))
-        shapes = shapes.join(placements, keys).withColumn("rings", geo_reference(F.col("rings"), F.col("_transform"))) \
-            .drop("_transform")
-    kept = shapes.filter(geo.polygon_area(F.col("rings")) >= min_area)
-    if tolerance > 0:
-        kept = simplify(kept, tolerance)
+    if whole_tile:
+        shapes = stitch_rings(boundary_edges(labelled, keys, value), keys)
+    else:
+        shapes = component_polygons(boundary_edges(labelled, keys, value), keys, value)
+    shapes = shapes.withColumn("pixels", geo.polygon_area(F.col("rings")).cast("long"))
+    if transforms is not None:
+        shared = [k for k in keys if k in transforms.columns]
+        shapes = shapes.join(transforms.select(*shared, F.col("transform").alias("_transform")), shared) \
+            .withColumn("rings", geo_reference(F.col("rings"), F.col("_transform"))).drop("_transform")
+    kept = simplify(shapes.filter(geo.polygon_area(F.col("rings")) >= min_area), tolerance)
     return kept.withColumn("area", geo.polygon_area(F.col("rings"))) \
         .withColumn("perimeter", geo.polygon_length(F.col("rings"))) \
-        .withColumn("valid", is_valid(F.col("rings")))
+        .withColumn("valid", _closed(F.col("rings")) & (F.col("area") > 0))
 
 
 def is_valid(rings: Column) -> Column:

@@ -215,9 +215,9 @@ FROM sz LEFT JOIN nb USING (source_id, root) WHERE pred > 0 AND pixels >= 3""").
 """, ""))
 def c12(spark, sf):
     affine = F.array(*[F.lit(v) for v in (0.5, 0.0, 1000.0, 0.0, -0.5, 2000.0)])
-    cells = tb.masks(spark, sf).select("source_id", "row", "col", F.col("pred").alias("class_id"),
-                                       affine.alias("transform"))
-    shapes = vectorize.polygonize(cells, ["source_id"], "transform", min_area=0.75, tolerance=0.0)
+    cells = tb.masks(spark, sf).select("source_id", "row", "col", F.col("pred").alias("class_id"))
+    transforms = tb.table(spark, sf, "embeddings").select(F.col("vec_id").alias("source_id"), affine.alias("transform"))
+    shapes = vectorize.polygonize(cells, ["source_id"], transforms, min_area=0.75, tolerance=0.0)
     return shapes.select(
         "source_id", "class_id", F.floor(F.col("component") / components.ROW_STEP).alias("first_row"),
         (F.col("component") % components.ROW_STEP).alias("first_col"), "area", "perimeter", "valid")

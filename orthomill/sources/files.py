@@ -47,8 +47,8 @@ def latest_artifacts(files: DataFrame, kind: str = "kind") -> DataFrame:
 def collect_tile_outputs(spark: SparkSession, path: str, recursive: bool = False) -> tuple[DataFrame, DataFrame]:
     """Tile output documents under ``path`` and, apart from them, the files that could not be read."""
     texts = (
-        spark.read.option("wholetext", True).option("pathGlobFilter", "*_output.json")
-        .option("recursiveFileLookup", str(recursive).lower()).text(path)
+        spark.read.option("pathGlobFilter", "*_output.json")
+        .option("recursiveFileLookup", str(recursive).lower()).text(path, wholetext=True)
         .select(F.col("_metadata.file_path").alias("path"), "value")
     )
     return parse_tile_outputs(texts)
