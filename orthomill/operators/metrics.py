@@ -14,24 +14,20 @@ def class_iou(pixels: DataFrame, num_classes: int = fixed.NUM_CLASSES, keys: Seq
               pred: str = "pred", target: str = "target") -> DataFrame:
     """IoU of every class per key; null where a class occurs in neither mask.
 
-    Pixels are reduced to a confusion table on the map side; classes are then
-    counted from its few rows.
+    One pass: hits, predictions and truths of all classes are counted side by
+    side, so a key sends one row per task to the shuffle.
     """
     keys = list(keys)
-    confusion = pixels.groupBy(*keys, pred, target).agg(F.count(F.lit(1)).alias("n"))
-    n, zero = F.col("n"), F.lit(0).cast("long")
-    both = F.when(F.col(pred) == F.col(target), n).otherwise(zero)
-    parts = F.array(
-        F.struct(F.col(pred).cast("int").alias("class_id"), both.alias("tp"), n.alias("p"), zero.alias("t")),
-        F.struct(F.col(target).cast("int").alias("class_id"), zero.alias("tp"), zero.alias("p"), n.alias("t")))
-    seen = confusion.select(*keys, F.explode(parts).alias("c")).select(*keys, "c.*")
-    absent = confusion.select(*keys).distinct() if keys else confusion.sparkSession.range(1).select()
-    spine = absent.withColumn("class_id", F.explode(F.array(*[F.lit(c) for c in range(num_classes)]))) \
-        .select(*keys, "class_id", *[zero.alias(c) for c in ("tp", "p", "t")])
-    sums = seen.filter((F.col("class_id") >= 0) & (F.col("class_id") < num_classes)).unionByName(spine) \
-        .groupBy(*keys, "class_id").agg(F.sum("tp").alias("tp"), F.sum("p").alias("p"), F.sum("t").alias("t"))
+    p, t = F.col(pred), F.col(target)
+    counts = []
+    for c in range(num_classes):
+        counts += [F.count_if((p == c) & (t == c)).alias(f"tp{c}"), F.count_if(p == c).alias(f"p{c}"),
+                   F.count_if(t == c).alias(f"t{c}")]
+    rows = F.array(*[F.struct(F.lit(c).alias("class_id"), F.col(f"tp{c}").alias("tp"), F.col(f"p{c}").alias("p"),
+                              F.col(f"t{c}").alias("t")) for c in range(num_classes)])
     union = F.col("p") + F.col("t") - F.col("tp")
-    return sums.withColumn("iou", F.when(union > 0, F.col("tp") / union))
+    return pixels.groupBy(*keys).agg(*counts).select(*keys, F.explode(rows).alias("c")).select(*keys, "c.*") \
+        .withColumn("iou", F.when(union > 0, F.col("tp") / union))
 
 
 def mean_iou(ious: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

@@ -132,16 +132,20 @@ def weighted_draw(weighted: DataFrame, tile: str = "tile_id", weight: int = fixe
     return draws.select("draw", position.alias("_pos")).join(numbered.select("_pos", tile), "_pos").select("draw", tile)
 
 
-def box_labels(mask: DataFrame, height: Column, width: Column, tile: str = "tile_id",
-               min_area: int = fixed.BOX_LABEL_MIN_AREA) -> DataFrame:
+def box_labels(mask: DataFrame, height: int | None = None, width: int | None = None, sizes: DataFrame | None = None,
+               tile: str = "tile_id", min_area: int = fixed.BOX_LABEL_MIN_AREA) -> DataFrame:
     """Normalised boxes of the 8-connected components of classes 1 to 4, with the label line.
 
-    ``height`` and ``width`` may be columns of ``mask``. Label classes count from 0.
+    Tiles have one ``height`` and ``width``, or their own in ``sizes`` (tile, height,
+    width). Label classes count from 0.
     """
     foreground = mask.filter((F.col("class_id") >= 1) & (F.col("class_id") <= 4))
-    sizes = mask.groupBy(tile).agg(F.first(height).alias("_h"), F.first(width).alias("_w"))
     boxes = component_boxes(label_cells(foreground, [tile], "class_id", 8, None), [tile]) \
-        .filter(F.col("pixels") >= min_area).join(sizes, tile)
+        .filter(F.col("pixels") >= min_area)
+    if sizes is not None:
+        boxes = boxes.join(sizes.select(tile, F.col("height").alias("_h"), F.col("width").alias("_w")), tile)
+    else:
+        boxes = boxes.withColumn("_h", F.lit(height)).withColumn("_w", F.lit(width))
     bw, bh = F.col("max_col") - F.col("min_col") + 1, F.col("max_row") - F.col("min_row") + 1
     out = boxes.select(
         tile, (F.col("class_id") - 1).cast("int").alias("label"), ((F.col("min_col") + bw / 2) / F.col("_w")).alias("cx"),

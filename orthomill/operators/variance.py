@@ -13,8 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orthomill import fixed
+from orthomill.operators.medians import grouped_median
 from orthomill.operators.ordering import blocked_row_number
 from orthomill.operators.tiling import assign_windows
+from orthomill.session import cut_lineage
 
 _WIDE = "decimal(38,0)"
 
@@ -45,21 +47,25 @@ def global_variance(pixels: DataFrame, keys: Sequence[str]) -> DataFrame:
     return sums.select(*keys, _variance(F.col("n"), F.col("s"), F.col("q"), 9.0).alias("global_variance"))
 
 
-def tile_variance(pixels: DataFrame, keys: Sequence[str], window: int = fixed.LOCAL_WINDOW) -> DataFrame:
+def tile_variance(pixels: DataFrame, keys: Sequence[str], window: int = fixed.LOCAL_WINDOW,
+                  whole_tile: bool = True) -> DataFrame:
     """Global variance and median block variance per tile, in one pass over the pixels.
 
     ``row``/``col`` count from the tile's corner. Only full ``window`` x
     ``window`` blocks enter the median; a tile too small for any falls back to
-    its global variance.
+    its global variance. With ``whole_tile=False`` the keys are rasters of any size:
+    the block table is materialised and its median taken without one-task groups.
     """
     v = gray_sum()
     blocks = pixels.groupBy(*keys, F.expr(f"row div {window}").alias("_br"), F.expr(f"col div {window}").alias("_bc")) \
         .agg(F.count(F.lit(1)).alias("n"), F.sum(v).alias("s"), F.sum(v * v).alias("q"))
-    full = F.col("n") == window * window
-    block_var = _variance(F.col("n"), F.col("s"), F.col("q"), 9.0)
-    tiles = blocks.groupBy(*keys).agg(
-        F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"),
-        F.median(F.when(full, block_var)).alias("_local"))
+    block_var = F.when(F.col("n") == window * window, _variance(F.col("n"), F.col("s"), F.col("q"), 9.0))
+    sums = [F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q")]
+    if whole_tile:
+        tiles = blocks.groupBy(*keys).agg(*sums, F.median(block_var).alias("_local"))
+    else:
+        blocks = cut_lineage(blocks.withColumn("_var", block_var))
+        tiles = blocks.groupBy(*keys).agg(*sums).join(grouped_median(blocks, keys, "_var", "_local"), list(keys), "left")
     overall = _variance(F.col("n"), F.col("s"), F.col("q"), 9.0)
     return tiles.select(*keys, overall.alias("global_variance"),
                         F.coalesce(F.col("_local"), overall).alias("local_variance"))

@@ -314,7 +314,24 @@ def d17(spark, sf):
     return cells.groupBy("tile_id", "class_id").agg(F.count(F.lit(1)).alias("pixels"))
 
 
-@query("d17_tile_polygons")
+@query("d17_tile_polygons", with_ctes(MASKS, IDEC, """/*recursive*/
+reach AS (
+  SELECT source_id, pred, r * 100 + c AS root, r, c FROM msk
+  UNION
+  SELECT n.source_id, n.pred, p.root, n.r, n.c FROM reach p JOIN msk n ON n.source_id = p.source_id AND n.pred = p.pred
+   AND abs(n.r - p.r) + abs(n.c - p.c) = 1),
+comp AS (SELECT source_id, pred, r, c, min(root) AS root FROM reach GROUP BY ALL),
+nb AS (SELECT a.source_id, a.root, count(*) AS n FROM comp a JOIN comp b
+       ON a.source_id = b.source_id AND a.root = b.root AND abs(a.r - b.r) + abs(a.c - b.c) = 1 GROUP BY ALL),
+sz AS (SELECT source_id, root, pred, count(*) AS n FROM comp GROUP BY ALL),
+big AS (SELECT source_id, pred FROM comp GROUP BY ALL HAVING count(*) >= 10),
+ok AS (SELECT * FROM idec WHERE accept_val >= 0.3e0),
+refd AS (SELECT * FROM ok WHERE tile_id % 4 = 0 AND (tile_id % 10) / 10e0 > 0.3e0)""", select="""
+SELECT tile_id, class_id, round(confidence_val, 6) AS confidence, 'geosam' AS source, 32e0 AS area, 24e0 AS perimeter FROM refd
+UNION ALL
+SELECT source_id, pred, round(confidence_val, 6), 'swin', sz.n * 1e0, sz.n * 4e0 - coalesce(nb.n, 0)
+FROM sz JOIN ok ON tile_id = source_id JOIN big USING (source_id, pred) LEFT JOIN nb USING (source_id, root)
+WHERE pred BETWEEN 1 AND 5 AND sz.n >= 4 AND source_id NOT IN (SELECT tile_id FROM refd)"""))
 def d17_polygons(spark, sf):
     decisions, mask = tb.image_decisions(spark, sf), image_mask(spark, sf)
     confidence = decisions.select("tile_id", F.col("confidence_val").alias("confidence"))

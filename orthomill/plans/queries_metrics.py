@@ -359,14 +359,14 @@ SELECT source_id AS tile_id, (pred - 1) || ' ' || printf('%.6f %.6f %.6f %.6f',
        (c1 - c0 + 1) / 8, (r1 - r0 + 1) / 8) AS line FROM bx WHERE n >= 4"""))
 def f8(spark, sf):
     mask = tb.masks(spark, sf).select(F.col("source_id").alias("tile_id"), "row", "col", F.col("pred").alias("class_id"))
-    return mlprep.box_labels(mask, F.lit(8), F.lit(8), min_area=4).select("tile_id", "line")
+    return mlprep.box_labels(mask, 8, 8, min_area=4).select("tile_id", "line")
 
 
 @query("f8_label_totals", with_ctes(MASKS, REACH8, select="""
 SELECT pred - 1 AS label, count(*) AS boxes FROM bx WHERE n >= 4 GROUP BY 1"""))
 def f8_totals(spark, sf):
     mask = tb.masks(spark, sf).select(F.col("source_id").alias("tile_id"), "row", "col", F.col("pred").alias("class_id"))
-    return mlprep.label_totals(mlprep.box_labels(mask, F.lit(8), F.lit(8), min_area=4))
+    return mlprep.label_totals(mlprep.box_labels(mask, 8, 8, min_area=4))
 
 
 @query("f9_ground_truth_tiles", with_ctes(LAYER, """

@@ -127,6 +127,19 @@ def b10(spark, sf):
         F.round("local_variance", 6).alias("local_variance"))
 
 
+@query("b10_raster_variance", with_ctes(MPX, """
+g AS (SELECT source_id, r, c, b0 + b1 + b2 AS v FROM mpx),
+gl AS (SELECT source_id, CAST(count(*) * sum(v * v) - sum(v) * sum(v) AS DOUBLE) / (9 * CAST(count(*) AS DOUBLE) * count(*)) AS gv FROM g GROUP BY 1),
+blk AS (SELECT source_id, CAST(count(*) * sum(v * v) - sum(v) * sum(v) AS DOUBLE) / (9 * CAST(count(*) AS DOUBLE) * count(*)) AS bv
+        FROM g GROUP BY source_id, r // 5, c // 5 HAVING count(*) = 25),
+loc AS (SELECT source_id, median(bv) AS lv FROM blk GROUP BY 1)""", select="""
+SELECT source_id, round(gv, 6) AS global_variance, round(lv, 6) AS local_variance FROM gl JOIN loc USING (source_id)"""))
+def b10_rasters(spark, sf):
+    return variance.tile_variance(tb.mosaic_pixels(spark, sf), ["source_id"], 5, whole_tile=False).select(
+        "source_id", F.round("global_variance", 6).alias("global_variance"),
+        F.round("local_variance", 6).alias("local_variance"))
+
+
 @query("b11_variance_decision", with_ctes(VAR, select="""
 SELECT source_id, round(gv, 6) AS global_variance, round(lv, 6) AS local_variance,
        NOT (gv < 125e0 AND lv < 110e0) AS accepted,

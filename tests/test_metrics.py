@@ -140,7 +140,7 @@ def test_box_labels_use_eight_neighbours(spark):
     a[2, 2] = a[3, 3] = 2
     a[6, 6] = 5
     mask = spark.createDataFrame([("t", r, c, int(a[r, c])) for r in range(8) for c in range(8)], "tile_id string, row int, col int, class_id int")
-    got = mlprep.box_labels(mask, F.lit(8), F.lit(8), min_area=2).collect()
+    got = mlprep.box_labels(mask, 8, 8, min_area=2).collect()
     assert [r.line for r in got] == ["1 0.375000 0.375000 0.250000 0.250000"]
 
 

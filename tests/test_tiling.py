@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from orthomill.operators import tiling, variance
+from orthomill.operators import medians, tiling, variance
 from orthomill.operators.ordering import blocked_row_number, global_row_number
 
 
@@ -122,3 +122,20 @@ def test_row_numbers_survive_ties_and_hot_groups(spark):
     rows = blocked.collect()
     assert [r.row_no for r in rows] == list(range(len(rows)))
     assert [(r.b, r.id) for r in rows] == sorted((r.b, r.id) for r in rows)
+
+
+def test_grouped_median(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    groups = {"even": rng.normal(size=40), "odd": rng.normal(size=31), "same": np.full(9, 2.5), "one": np.array([4.0]),
+              "skewed": np.concatenate([np.full(30, 1.0), [1e9, 2.0, 3.0]]), "ties": rng.integers(0, 3, 50).astype(float)}
+    df = spark.createDataFrame([(k, float(v)) for k, vs in groups.items() for v in vs] + [("even", None)], "k string, v double")
+    got = {r.k: r["median"] for r in medians.grouped_median(df, ["k"], "v").collect()}
+    assert got == pytest.approx({k: float(np.median(v)) for k, v in groups.items()})
+
+
+def test_raster_variance_equals_tile_variance(spark):
+    rng = np.random.default_rng(12)
+    pixels = image_frame(spark, {"a": rng.integers(0, 256, (23, 17, 3)), "tiny": rng.integers(0, 256, (3, 3, 3))})
+    a = sorted(map(tuple, variance.tile_variance(pixels, ["source_id"], 5).collect()))
+    b = sorted(map(tuple, variance.tile_variance(pixels, ["source_id"], 5, whole_tile=False).collect()))
+    assert a == b
