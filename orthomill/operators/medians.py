@@ -11,15 +11,18 @@ from pyspark.sql import functions as F
 BINS = 4096
 
 
-def grouped_median(values: DataFrame, keys: Sequence[str], value: str, name: str = "median") -> DataFrame:
+def grouped_median(values: DataFrame, keys: Sequence[str], value: str, name: str = "median",
+                   weight: str | None = None) -> DataFrame:
     """Exact median of ``value`` per key without holding a group in one task.
 
     Equal values are counted first. A histogram of a fixed number of bins then
     tells which bin holds the middle ranks, and only the values of that bin are
-    ranked. ``values`` is read more than once: pass a materialised table.
+    ranked. ``values`` is read more than once: pass a materialised table. With
+    ``weight`` a row stands for that many equal values.
     """
     keys = list(keys)
-    counted = values.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    counted = values.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(
+        (F.sum(weight) if weight else F.count(F.lit(1))).alias("_c"))
     span = counted.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.sum("_c").alias("_n"))
     place = F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * BINS)) \
         .otherwise(F.lit(0))

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orthomill import fixed
+from orthomill.operators.medians import grouped_median
 from orthomill.operators.variance import _variance, luma
+from orthomill.session import cut_lineage
 
 
 def detector_override(decisions: DataFrame, det_summary: DataFrame, tile: str = "tile_id") -> DataFrame:
@@ -74,25 +76,31 @@ def low_confidence_rule(decisions: DataFrame, limit: float = fixed.LOW_CONFIDENC
     return decisions.withColumn("class_id", F.when(unsure, F.lit(5)).otherwise(F.col("class_id")))
 
 
-def _height_measures(samples: DataFrame, tile: str, source: str) -> DataFrame:
+def _height_measures(samples: DataFrame, tile: str, source: str, bounded: bool) -> DataFrame:
     """Height statistics from ``(tile, z, n)`` with n samples of each height."""
     z, n = F.col("z"), F.col("n")
-    sums = samples.groupBy(tile).agg(
-        F.sum("n").alias("_n"), F.sum(z * n).alias("_s"), F.sum(z * z * n).alias("_q"),
-        F.percentile(z, F.lit(0.5), n).alias("z_median"), F.min(z).alias("z_min"), F.max(z).alias("z_max"))
+    sums = [F.sum("n").alias("_n"), F.sum(z * n).alias("_s"), F.sum(z * z * n).alias("_q"),
+            F.min(z).alias("z_min"), F.max(z).alias("z_max")]
+    if bounded:
+        stats = samples.groupBy(tile).agg(*sums, F.percentile(z, F.lit(0.5), n).alias("z_median"))
+    else:
+        samples = cut_lineage(samples)
+        stats = samples.groupBy(tile).agg(*sums).join(grouped_median(samples, [tile], "z", "z_median", "n"), tile)
     mean = F.col("_s") / F.col("_n")
     spread = F.greatest(F.col("_q") / F.col("_n") - mean * mean, F.lit(0.0))
-    return sums.select(tile, mean.alias("z_mean"), "z_median", F.sqrt(spread).alias("z_std"), "z_min", "z_max",
-                       F.lit(source).alias("source"))
+    return stats.select(tile, mean.alias("z_mean"), "z_median", F.sqrt(spread).alias("z_std"), "z_min", "z_max",
+                        F.lit(source).alias("source"))
 
 
 def heights_from_points(points: DataFrame, mask: DataFrame, transform: Column | None = None,
-                        tile: str = "tile_id") -> DataFrame:
+                        tile: str = "tile_id", bounded: bool = True) -> DataFrame:
     """Height statistics of the points that fall on mask cells.
 
     Points are counted per (cell, height) before the join, and per height after
     it, so a tile with very many points is combined early; the exact median sees
-    one entry per distinct height.
+    one entry per distinct height. Heights stored with a fixed step have few
+    distinct values; otherwise pass ``bounded=False``, and no tile's heights meet in
+    one task.
     """
     if transform is None:
         col, row = F.col("x"), F.col("y")
@@ -102,15 +110,15 @@ def heights_from_points(points: DataFrame, mask: DataFrame, transform: Column |
     counted = points.groupBy(tile, F.floor(row).alias("row"), F.floor(col).alias("col"), "z").agg(
         F.count(F.lit(1)).alias("n"))
     inside = counted.join(mask.select(tile, "row", "col").distinct(), [tile, "row", "col"], "left_semi")
-    return _height_measures(inside.groupBy(tile, "z").agg(F.sum("n").alias("n")), tile, "las")
+    return _height_measures(inside.groupBy(tile, "z").agg(F.sum("n").alias("n")), tile, "las", bounded)
 
 
 def heights_from_elevation(dsm: DataFrame, dtm: DataFrame, mask: DataFrame, tile: str = "tile_id") -> DataFrame:
-    """Height statistics of surface minus terrain on mask cells."""
+    """Height statistics of surface minus terrain on mask cells; a tile's cells are bounded by its size."""
     cell = [tile, "row", "col"]
     z = (F.col("surface") - F.col("terrain")).alias("z")
     inside = dsm.join(dtm, cell).join(mask.select(*cell).distinct(), cell, "left_semi").select(tile, z)
-    return _height_measures(inside.groupBy(tile, "z").agg(F.count(F.lit(1)).alias("n")), tile, "dsm_dtm")
+    return _height_measures(inside.groupBy(tile, "z").agg(F.count(F.lit(1)).alias("n")), tile, "dsm_dtm", True)
 
 
 def with_heights(spine: DataFrame, *sources: DataFrame, tile: str = "tile_id") -> DataFrame:

@@ -16,9 +16,9 @@ def windowed_preprocess(pixels: DataFrame, rasters: DataFrame, size: int = fixed
                         factor: int = 32, valid_above: int = 0, source: str = "source_id") -> DataFrame:
     """Every usable window of every raster with its variances, verdict, transform and bounds.
 
-    Slivers and windows off the valid islands are dropped before any pixel is
-    assigned to them; the pixels are read once for the islands (sampled rows and
-    columns only) and once for the variances.
+    The pixels are read once for the islands, where only sampled rows and columns go
+    on, and once for the variances, where tasks send block sums. Slivers and windows
+    off the islands drop out in the join of the window table with the statistics.
     """
     windows = tiling.drop_slivers(tiling.padded_windows(rasters, size, stride, source))
     sampled = morphology.valid_first_band(morphology.overview(pixels, rasters, factor, source=source), valid_above)

@@ -243,3 +243,25 @@ def test_windows_on_islands(spark):
     edge = spark.createDataFrame([("a", 4, 0), ("b", 0, 0)], "source_id string, row int, col int")
     got = morphology.windows_on_islands(windows, edge, 50, 50, 10).filter("source_id = 'a'").collect()
     assert {(r.row_off, r.col_off) for r in got} == {(0, 0), (50, 0)}  # touching counts
+
+
+def test_pixel_space_is_the_inverse_of_the_transform(spark):
+    affine = F.array(*[F.lit(v) for v in (0.5, 0.1, 1000.0, 0.2, -0.5, 2000.0)])
+    df = spark.createDataFrame([(square(1.0, 2.0, 5.0, 7.0),)], f"rings {geo.RINGS_TYPE}")
+    back = df.select(rasterize.to_pixel_space(vectorize.geo_reference(F.col("rings"), affine), affine).alias("r")).first().r
+    assert [(pytest.approx(p.x), pytest.approx(p.y)) for p in back[0]] == square(1.0, 2.0, 5.0, 7.0)[0]
+
+
+def test_buffers(spark):
+    names = [("Road", "LineString"), ("Water_Body_Line", ""), ("Waterbody_Point", ""), ("Utility", "Point"), ("Bridge", "Polygon")]
+    df = spark.createDataFrame(names, "layer string, kind string")
+    got = [r.d for r in df.select(rasterize.buffer_distance(F.col("layer"), F.col("kind")).alias("d")).collect()]
+    assert got == [3.0, 3.0, 5.0, 5.0, 0.0]
+    degrees = df.select(rasterize.buffer_distance(F.col("layer"), F.col("kind"), True).alias("d")).first().d
+    assert degrees == pytest.approx(3.0 / 111000.0)
+    line = spark.createDataFrame([(1, [[(2.5, 2.5), (8.5, 2.5)], [(5.0, 9.0)]])], f"id int, rings {geo.RINGS_TYPE}")
+    got = {(r.row, r.col) for r in rasterize.near_segments(line, ["id"], F.lit(1.0), F.lit(10), F.lit(9)).collect()}
+    def near(r, c):
+        x, y = c + 0.5, r + 0.5
+        return np.hypot(x - min(max(x, 2.5), 8.5), y - 2.5) <= 1 or np.hypot(x - 5, y - 9) <= 1
+    assert got == {(r, c) for r in range(10) for c in range(9) if near(r, c)}
