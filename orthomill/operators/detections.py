@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from orthomill import fixed
 from orthomill.functions import arrays
 from orthomill.functions import geometry as geo
-from orthomill.operators.skew import lookup_unique
+from orthomill.operators.skew import HEAVY_MIN_ROWS, lookup_unique, salted_join
 from orthomill.session import cut_lineage
 
 BOX = ["x1", "y1", "x2", "y2"]
@@ -61,58 +61,62 @@ def _fold(boxes: DataFrame, keys: list[str], iou_max: float) -> DataFrame:
 def suppress_in_rounds(boxes: DataFrame, keys: Sequence[str], iou_max: float, max_rounds: int = 100_000) -> DataFrame:
     """Greedy suppression for groups of any size; ``boxes`` holds distinct boxes per key.
 
-    Boxes that overlap by more than ``iou_max`` differ in size by a bounded
-    factor, so each box is listed in the grid cells of its own size class and the
-    next few coarser ones, and such a pair always shares a cell. In each round
-    the best undecided box of every cell is found; a box that is best in all its
-    cells is kept and removes what it overlaps. A cell has at most one kept box
-    per round, so a round's work is linear in the boxes left.
+    Boxes that overlap by more than ``iou_max`` differ in size by a bounded factor.
+    Each box is at home in the grid cells of its own size class and visits the
+    cells of the next few coarser classes, so such a pair meets where the larger
+    box is at home. A box wins a round if it is the best of its home cells and
+    better than the residents of the cells it visits; then nothing better that is
+    undecided can overlap it, and it is kept and removes what it overlaps. A cell
+    has one resident winner at most and few visiting ones, so a round's work is
+    linear in the boxes left, and distant winners are found in the same round.
     """
     keys = list(keys)
     reach = max(0, math.ceil(math.log2(1.0 / iou_max)))
     level = F.ceil(F.log2(F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"), F.lit(1e-9)))).cast("int")
-    me = F.struct((-F.col("confidence")).alias("minus"), *BOX)
+    cell = [*keys, "_m", "_gx", "_gy"]
+    box = [*keys, *BOX]
 
     def listed(df: DataFrame) -> DataFrame:
         sized = df.withColumn("_m", F.explode(F.sequence(level, level + reach))) \
-            .withColumn("_side", F.pow(F.lit(2.0), F.col("_m")))
+            .withColumn("_home", F.col("_m") == level).withColumn("_side", F.pow(F.lit(2.0), F.col("_m")))
         for axis in ("x", "y"):
             low = F.floor(F.col(f"{axis}1") / F.col("_side")).cast("long")
             high = F.floor(F.col(f"{axis}2") / F.col("_side")).cast("long")
             sized = sized.withColumn(f"_g{axis}", F.explode(F.sequence(low, high)))
         return sized.drop("_side")
 
-    n_cells = F.aggregate(
-        F.sequence(level, level + reach), F.lit(0).cast("long"),
-        lambda acc, m: acc + (F.floor(F.col("x2") / F.pow(F.lit(2.0), m)) - F.floor(F.col("x1") / F.pow(F.lit(2.0), m)) + 1)
-        * (F.floor(F.col("y2") / F.pow(F.lit(2.0), m)) - F.floor(F.col("y1") / F.pow(F.lit(2.0), m)) + 1))
-    cell = [*keys, "_m", "_gx", "_gy"]
-    undecided = cut_lineage(boxes.withColumn("_cells", n_cells).withColumn("_me", me))
+    undecided = cut_lineage(boxes.withColumn("_me", F.struct((-F.col("confidence")).alias("minus"), *BOX)))
     kept: list[DataFrame] = []
-    for round_no in range(max_rounds):
-        if undecided.isEmpty():
+    for _ in range(max_rounds):
+        n_left = undecided.count()
+        if n_left == 0:
             break
+        # A box lies in at most four cells per size class, which bounds what any cell can hold.
+        hot_cells = n_left * 4 * (reach + 1) > HEAVY_MIN_ROWS
         cells = listed(undecided)
-        best = cells.groupBy(*cell).agg(F.min(F.struct("_me", "_cells")).alias("_b"), F.count(F.lit(1)).alias("_w"))
-        winners = cut_lineage(
-            best.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_won"))
-            .filter(F.col("_won") == F.col("_b._cells"))
-            .select(*keys, *[F.col(f"_b._me.{c}").alias(c) for c in BOX],
-                    (-F.col("_b._me.minus")).alias("confidence")))
+        best = cells.groupBy(*cell).agg(
+            F.min("_me").alias("_best"), F.min(F.when(F.col("_home"), F.col("_me"))).alias("_resident"),
+            F.count(F.lit(1)).alias("_w"))
+        judged = lookup_unique(cells, best, cell, "_w") if hot_cells else cells.join(best, cell)
+        leads = F.when(F.col("_home"), F.col("_me") == F.col("_best")) \
+            .otherwise(F.col("_resident").isNull() | (F.col("_me") < F.col("_resident")))
+        winners = cut_lineage(judged.groupBy(*box, "confidence").agg(F.bool_and(leads).alias("_won")).filter("_won").drop("_won"))
         kept.append(winners)
-        near = listed(winners).select(*cell, F.struct(*BOX).alias("_winner"))
-        weighted = near.join(best.select(*cell, "_w"), cell)
-        gone = lookup_unique(cells, weighted, cell, "_w") \
-            .filter(geo.box_iou({c: F.col(c) for c in BOX}, F.col("_winner")) > iou_max) \
-            .select(*keys, *BOX).distinct()
-        undecided = cut_lineage(
-            undecided.join(winners.select(*keys, *BOX), [*keys, *BOX], "left_anti")
-            .join(gone, [*keys, *BOX], "left_anti"))
+        near = listed(winners).select(*cell, "_home", F.struct(*BOX).alias("_winner"))
+        residents, visitors = (near.filter(c).drop("_home") for c in (F.col("_home"), ~F.col("_home")))
+        at_home = cells.filter("_home")
+        if hot_cells:
+            met = lookup_unique(cells, residents.join(best.select(*cell, "_w"), cell), cell, "_w").drop("_w") \
+                .unionByName(salted_join(at_home, visitors, cell))
+        else:
+            met = cells.join(residents, cell).unionByName(at_home.join(visitors, cell))
+        gone = met.filter(geo.box_iou({c: F.col(c) for c in BOX}, F.col("_winner")) > iou_max).select(*box).distinct()
+        undecided = cut_lineage(undecided.join(winners.select(*box).unionByName(gone), box, "left_anti"))
         if len(kept) >= 16:
             kept = [cut_lineage(_union(kept))]
     else:
         raise RuntimeError("suppression did not settle")
-    return _union(kept) if kept else boxes.select(*keys, *BOX, "confidence").limit(0)
+    return _union(kept) if kept else boxes.select(*box, "confidence").limit(0)
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
