@@ -156,14 +156,13 @@ def d7(spark, sf):
                          F.round("confidence_val", 5).alias("confidence_val"))
 
 
-@query("d8_default_decision", with_ctes(DEC, select="""
+@query("d8_default_decision", with_ctes(IDEC, select="""
 SELECT o.o_orderkey AS tile_id, coalesce(accept_val, 0.5e0) AS accept_val, coalesce(refine_flag, true) AS refine_flag,
        coalesce(class_id, 1) AS class_id, round(coalesce(confidence_val, 0.5e0), 6) AS confidence_val
-FROM orders o LEFT JOIN (SELECT * FROM dec WHERE tile_id % 4 <> 0) d ON d.tile_id = o.o_orderkey"""))
+FROM orders o LEFT JOIN idec d ON d.tile_id = o.o_orderkey"""))
 def d8(spark, sf):
     spine = tb.table(spark, sf, "orders").select(F.col("o_orderkey").alias("tile_id"))
-    some = tb.decisions(spark, sf).filter("tile_id % 4 <> 0")
-    return fusion.with_default_decision(spine, some).withColumn("confidence_val", F.round("confidence_val", 6))
+    return fusion.with_default_decision(spine, tb.image_decisions(spark, sf)).withColumn("confidence_val", F.round("confidence_val", 6))
 
 
 OVER = DEC.strip() + ",\n" + DETS.strip() + """,
@@ -184,16 +183,15 @@ def d9(spark, sf):
 
 
 @query("d10_burned_boxes", with_ctes(MASKS, """
-bx AS (SELECT l_orderkey % 500 AS source_id, l_partkey % 12 - 2 AS x1, l_suppkey % 12 - 2 AS y1,
-              l_partkey % 12 - 2 + l_linenumber % 3 AS x2, l_suppkey % 12 - 2 + CAST(l_quantity AS BIGINT) % 4 AS y2 FROM lineitem
-       WHERE l_orderkey % 3 = 0),
+bx AS (SELECT l_orderkey % 500 AS source_id, l_partkey % 40 - 2 AS x1, l_suppkey % 40 - 2 AS y1,
+              l_partkey % 40 - 2 + l_linenumber % 3 AS x2, l_suppkey % 40 - 2 + CAST(l_quantity AS BIGINT) % 4 AS y2 FROM lineitem),
 hit AS (SELECT DISTINCT m.source_id, r, c FROM msk m JOIN bx USING (source_id)
         WHERE c BETWEEN greatest(x1, 0) AND least(greatest(x2, 0), 8) AND r BETWEEN greatest(y1, 0) AND least(greatest(y2, 0), 8))""", select="""
 SELECT source_id AS tile_id, CASE WHEN hit.r IS NULL THEN pred ELSE 1 END AS class_id, count(*) AS pixels
 FROM msk LEFT JOIN hit USING (source_id, r, c) GROUP BY ALL"""))
 def d10(spark, sf):
-    x, y = F.col("l_partkey") % 12 - 2, F.col("l_suppkey") % 12 - 2
-    boxes = tb.table(spark, sf, "lineitem").filter("l_orderkey % 3 = 0").select(
+    x, y = F.col("l_partkey") % 40 - 2, F.col("l_suppkey") % 40 - 2
+    boxes = tb.table(spark, sf, "lineitem").select(
         (F.col("l_orderkey") % 500).alias("tile_id"), x.alias("x1"), y.alias("y1"),
         (x + F.col("l_linenumber") % 3).alias("x2"), (y + F.col("l_quantity").cast("long") % 4).alias("y2"))
     mask = tb.masks(spark, sf).select(F.col("source_id").alias("tile_id"), "row", "col", F.col("pred").alias("class_id"))
@@ -304,12 +302,12 @@ def image_mask(spark, sf):
 
 
 @query("d17_polygon_cells", with_ctes(MASKS, IDEC, """
-ok AS (SELECT tile_id FROM idec WHERE accept_val >= 0.3e0 AND tile_id % 5 <> 0),
+ok AS (SELECT tile_id FROM idec WHERE accept_val >= 0.3e0 AND NOT refine_flag),
 n AS (SELECT source_id, pred, count(*) AS n FROM msk WHERE pred BETWEEN 1 AND 5 GROUP BY ALL)""", select="""
 SELECT source_id AS tile_id, pred AS class_id, n AS pixels FROM n WHERE n >= 10 AND source_id IN (SELECT tile_id FROM ok)"""))
 def d17(spark, sf):
     decisions = tb.image_decisions(spark, sf)
-    covered = decisions.filter("tile_id % 5 = 0")
+    covered = decisions.filter("refine_flag")
     cells = assembly.segmentation_cells(decisions, image_mask(spark, sf), covered)
     return cells.groupBy("tile_id", "class_id").agg(F.count(F.lit(1)).alias("pixels"))
 
@@ -326,7 +324,7 @@ nb AS (SELECT a.source_id, a.root, count(*) AS n FROM comp a JOIN comp b
 sz AS (SELECT source_id, root, pred, count(*) AS n FROM comp GROUP BY ALL),
 big AS (SELECT source_id, pred FROM comp GROUP BY ALL HAVING count(*) >= 10),
 ok AS (SELECT * FROM idec WHERE accept_val >= 0.3e0),
-refd AS (SELECT * FROM ok WHERE tile_id % 4 = 0 AND (tile_id % 10) / 10e0 > 0.3e0)""", select="""
+refd AS (SELECT * FROM ok WHERE (tile_id % 10) / 10e0 > 0.3e0)""", select="""
 SELECT tile_id, class_id, round(confidence_val, 6) AS confidence, 'geosam' AS source, 32e0 AS area, 24e0 AS perimeter FROM refd
 UNION ALL
 SELECT source_id, pred, round(confidence_val, 6), 'swin', sz.n * 1e0, sz.n * 4e0 - coalesce(nb.n, 0)
@@ -335,7 +333,7 @@ WHERE pred BETWEEN 1 AND 5 AND sz.n >= 4 AND source_id NOT IN (SELECT tile_id FR
 def d17_polygons(spark, sf):
     decisions, mask = tb.image_decisions(spark, sf), image_mask(spark, sf)
     confidence = decisions.select("tile_id", F.col("confidence_val").alias("confidence"))
-    refined = mask.filter("tile_id % 4 = 0 AND row < 4").select(
+    refined = mask.filter("row < 4").select(
         "tile_id", F.lit(0).alias("cand"), "row", "col", ((F.col("tile_id") % 10) / 10.0).alias("quality"))
     return assembly.tile_polygons(decisions, mask, confidence, refined, min_area=4.0, tolerance=0.0).select(
         "tile_id", "class_id", F.round("confidence", 6).alias("confidence"), F.get("source_masks", F.lit(0)).alias("source"),
@@ -393,10 +391,10 @@ def d20(spark, sf):
 
 @query("d21_aligned_metadata", """
 SELECT o_orderkey AS tile_id, coalesce(p_size, 1) * 1e0 AS pixel_w, coalesce(-p_size, -1) * 1e0 AS pixel_h
-FROM orders LEFT JOIN part ON p_partkey = o_orderkey AND p_partkey % 3 <> 0""")
+FROM orders LEFT JOIN part ON p_partkey = o_orderkey""")
 def d21(spark, sf):
     size = F.col("p_size").cast("double")
-    meta = tb.table(spark, sf, "part").filter("p_partkey % 3 <> 0").select(
+    meta = tb.table(spark, sf, "part").select(
         F.col("p_partkey").alias("tile_id"),
         F.array(size, F.lit(0.0), F.lit(0.0), F.lit(0.0), -size, F.lit(0.0)).alias("transform"))
     tiles = tb.table(spark, sf, "orders").select(F.col("o_orderkey").alias("tile_id"))
@@ -426,13 +424,13 @@ def d22(spark, sf):
 
 @query("d23_dominant_class", """
 WITH d AS (SELECT o_orderkey AS tile_id, o_orderkey % 6 AS class_id FROM orders),
-e AS (SELECT l_orderkey AS tile_id, l_linenumber % 6 AS class_id, max(l_discount) AS confidence FROM lineitem WHERE l_orderkey % 3 > 0 GROUP BY ALL),
+e AS (SELECT l_orderkey AS tile_id, l_linenumber % 6 AS class_id, max(l_discount) AS confidence FROM lineitem GROUP BY ALL),
 b AS (SELECT *, row_number() OVER (PARTITION BY tile_id ORDER BY confidence DESC, class_id) AS k FROM e)
 SELECT d.tile_id, coalesce(b.class_id, d.class_id) AS class_id FROM d LEFT JOIN b ON b.tile_id = d.tile_id AND k = 1
 WHERE coalesce(b.class_id, d.class_id) <> 0""")
 def d23(spark, sf):
     from orthomill.operators import views
-    polygons = tb.table(spark, sf, "lineitem").filter("l_orderkey % 3 > 0").select(
+    polygons = tb.table(spark, sf, "lineitem").select(
         F.col("l_orderkey").alias("tile_id"), (F.col("l_linenumber") % 6).alias("class_id"),
         F.col("l_discount").alias("confidence"))
     d = tb.decisions(spark, sf).select("tile_id", "class_id").join(views.class_distribution(polygons), "tile_id", "left")

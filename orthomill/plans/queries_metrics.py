@@ -44,11 +44,11 @@ def e2(spark, sf):
 
 
 MATCH = """
-p0 AS (SELECT c_custkey % 90 AS tile_id, c_custkey AS idx, (c_custkey * 13) % 40 AS x1, (c_custkey * 29) % 40 AS y1,
+p0 AS (SELECT c_custkey // 16 AS tile_id, c_custkey AS idx, (c_custkey * 13) % 40 AS x1, (c_custkey * 29) % 40 AS y1,
               (c_custkey * 13) % 40 + 8 + c_custkey % 6 AS x2, (c_custkey * 29) % 40 + 8 + c_custkey % 5 AS y2 FROM customer),
-g0 AS (SELECT o_orderkey % 95 AS tile_id, o_orderkey AS idx, (o_orderkey * 11) % 40 AS x1, (o_orderkey * 7) % 40 AS y1,
+g0 AS (SELECT o_orderkey // 160 AS tile_id, o_orderkey AS idx, (o_orderkey * 11) % 40 AS x1, (o_orderkey * 7) % 40 AS y1,
               (o_orderkey * 11) % 40 + 8 + o_orderkey % 5 AS x2, (o_orderkey * 7) % 40 + 8 + o_orderkey % 4 AS y2
-       FROM orders WHERE o_custkey % 10 = 0),
+       FROM orders),
 pr AS (SELECT a.tile_id, a.idx AS i, b.idx AS j,
               greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) AS n,
               (a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) AS tot
@@ -63,7 +63,7 @@ st AS (
          CASE WHEN hit THEN s ELSE s + iou END, n
   FROM (SELECT st.*, i, j, iou, list_contains(ui, i) OR list_contains(uj, j) AS hit FROM st JOIN od ON od.tile_id = st.tile_id AND od.k = st.k + 1) st),
 fin AS (SELECT tile_id, len(ui) AS m, s FROM st WHERE k = n),
-sp AS (SELECT i AS tile_id FROM range(100) t(i)),
+sp AS (SELECT DISTINCT o_orderkey // 150 AS tile_id FROM orders),
 pc AS (SELECT tile_id, count(*) AS np FROM p0 GROUP BY 1),
 gc AS (SELECT tile_id, count(*) AS ng FROM g0 GROUP BY 1),
 al AS (SELECT tile_id, coalesce(m, 0) AS m, coalesce(s, 0) AS s, coalesce(np, 0) AS np, coalesce(ng, 0) AS ng
@@ -79,9 +79,9 @@ def match_inputs(spark, sf):
     box = lambda x, y, w, h: [e.cast("double").alias(n) for n, e in (
         ("x1", x), ("y1", y), ("x2", x + w), ("y2", y + h))]
     pred = tb.table(spark, sf, "customer").select(
-        (k % 90).alias("tile_id"), k.alias("idx"), *box((k * 13) % 40, (k * 29) % 40, 8 + k % 6, 8 + k % 5))
-    gt = tb.table(spark, sf, "orders").filter("o_custkey % 10 = 0").select(
-        (o % 95).alias("tile_id"), o.alias("idx"), *box((o * 11) % 40, (o * 7) % 40, 8 + o % 5, 8 + o % 4))
+        F.expr("c_custkey div 16").alias("tile_id"), k.alias("idx"), *box((k * 13) % 40, (k * 29) % 40, 8 + k % 6, 8 + k % 5))
+    gt = tb.table(spark, sf, "orders").select(
+        F.expr("o_orderkey div 160").alias("tile_id"), o.alias("idx"), *box((o * 11) % 40, (o * 7) % 40, 8 + o % 5, 8 + o % 4))
     return pred, gt
 
 
@@ -90,7 +90,7 @@ SELECT tile_id, m AS matched, np AS total_pred, ng AS total_gt, round(pc, 6) AS
        round(CASE WHEN pc + rc > 0 THEN 2 * pc * rc / (pc + rc) ELSE 0 END, 6) AS f1, round(mi, 6) AS mean_iou FROM pf"""))
 def e3(spark, sf):
     pred, gt = match_inputs(spark, sf)
-    spine = tb.table(spark, sf, "orders").select((F.col("o_orderkey") % 100).alias("tile_id")).distinct()
+    spine = tb.table(spark, sf, "orders").select(F.expr("o_orderkey div 150").alias("tile_id")).distinct()
     out = matching.match_metrics(spine, pred, gt, matching.match(pred, gt, cell=32.0))
     return out.select("tile_id", "matched", "total_pred", "total_gt",
                       *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1", "mean_iou")])
@@ -164,7 +164,7 @@ def e9(spark, sf):
 def run_predictions(spark, sf):
     """Run detail over the decisions, with polygon counts from line items; some tiles have no decision."""
     d = tb.decisions(spark, sf)
-    polygons = tb.table(spark, sf, "lineitem").filter("l_orderkey % 3 > 0").select(
+    polygons = tb.table(spark, sf, "lineitem").select(
         F.col("l_orderkey").alias("tile_id"), (F.col("l_linenumber") % 6).alias("class_id"),
         F.col("l_discount").alias("confidence"))
     counts = polygons.groupBy("tile_id").agg(F.count(F.lit(1)).alias("num_polygons"))
@@ -178,7 +178,7 @@ def run_predictions(spark, sf):
 
 
 DETAIL = DEC.strip() + """,
-np AS (SELECT l_orderkey AS tile_id, count(*) AS n, count(DISTINCT l_linenumber % 6) AS k FROM lineitem WHERE l_orderkey % 3 > 0 GROUP BY 1),
+np AS (SELECT l_orderkey AS tile_id, count(*) AS n, count(DISTINCT l_linenumber % 6) AS k FROM lineitem GROUP BY 1),
 rd AS (SELECT dec.tile_id, CASE WHEN dec.tile_id % 9 = 0 THEN 0 ELSE class_id END AS final_class, CASE WHEN dec.tile_id % 9 = 0 THEN 0 ELSE confidence_val END AS final_confidence,
               CASE WHEN dec.tile_id % 9 = 0 THEN 0 ELSE accept_val END AS swin_confidence, coalesce(n, 0) AS yolo_count, coalesce(k, 0) AS classes,
               CASE WHEN refine_flag AND dec.tile_id % 9 > 0 THEN 'refine' ELSE 'accept' END AS action FROM dec LEFT JOIN np USING (tile_id))
@@ -274,11 +274,12 @@ def f2(spark, sf):
 
 
 @query("f2_mask_driven", with_ctes(PAIRS, select="""
-SELECT path FROM fp WHERE folder = 'ann' AND stem LIKE '%_mask' AND replace(stem, '_mask', '') IN (SELECT tile_id FROM tl WHERE tile_id LIKE '%7')"""))
+SELECT path FROM fp WHERE folder = 'ann' AND stem LIKE '%_mask' AND replace(stem, '_mask', '') IN (SELECT 't' || c_custkey FROM customer)"""))
 def f2_driven(spark, sf):
     masks = mask_files(spark, sf).filter("folder = 'ann' AND stem LIKE '%_mask'").select(
         F.regexp_replace("stem", "_mask$", "").alias("tile_id"), "path")
-    return mlprep.mask_driven(order_tiles(spark, sf).filter("tile_id LIKE '%7'"), masks).select("path")
+    tiles = tb.table(spark, sf, "customer").select(F.concat(F.lit("t"), "c_custkey").alias("tile_id"))
+    return mlprep.mask_driven(tiles, masks).select("path")
 
 
 @query("f3_k_fold", """
@@ -422,25 +423,25 @@ def f11(spark, sf):
 
 
 @query("f12_ground_truth_info", with_ctes(MASKS, """
-m AS (SELECT source_id, max(target) - min(target) AS mx FROM msk WHERE r < 1 AND c < 2 GROUP BY 1)""", select="""
+m AS (SELECT source_id, max(CASE WHEN source_id % 4 = 0 THEN 0 ELSE target END) AS mx FROM msk GROUP BY 1)""", select="""
 SELECT o_orderkey AS tile_id, coalesce(mx, 1) AS gt_label, coalesce(mx > 0, true) AS gt_has_object,
        CASE WHEN mx IS NULL THEN 0e0 ELSE 1e0 END AS gt_iou, mx IS NULL AS gt_needs_refinement FROM orders LEFT JOIN m ON source_id = o_orderkey"""))
 def f12(spark, sf):
     tiles = tb.table(spark, sf, "orders").select(F.col("o_orderkey").alias("tile_id"))
-    corner = tb.masks(spark, sf).filter("row < 1 AND col < 2").groupBy(F.col("source_id").alias("tile_id")).agg(
-        (F.max("target") - F.min("target")).alias("class_id"))
-    return mlprep.ground_truth_info(tiles, corner)
+    mask = tb.masks(spark, sf).select(
+        F.col("source_id").alias("tile_id"), F.when(F.col("source_id") % 4 == 0, 0).otherwise(F.col("target")).alias("class_id"))
+    return mlprep.ground_truth_info(tiles, mask)
 
 
 def records(spark, sf):
     """Fusion training records of the images."""
     tiles = tb.table(spark, sf, "embeddings").select(F.col("vec_id").alias("tile_id"))
     whole = F.flatten(F.array_repeat(F.col("embedding"), 12))
-    seg = tb.table(spark, sf, "embeddings").filter("vec_id % 7 > 0").select(
+    seg = tb.table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("tile_id"), whole.alias("seg_features"))
     dets = tb.detections(spark, sf).filter(F.col("confidence") >= fixed.DETECTION_CONFIDENCE_MIN)
     stats = fusion.segmentation_stats(fusion.classify_pixels(tb.logits(spark, sf)))
-    truth = mlprep.ground_truth_info(tiles, tb.masks(spark, sf).filter("source_id % 3 > 0").select(
+    truth = mlprep.ground_truth_info(tiles, tb.masks(spark, sf).select(
         F.col("source_id").alias("tile_id"), F.when(F.col("source_id") % 4 == 0, 0).otherwise(F.col("label") % 6)
         .alias("class_id")))
     pts = tb.points(spark, sf)
@@ -454,9 +455,9 @@ ss AS (SELECT tile_id, avg(1 / es) AS conf, count(*) FILTER (class_id = 1) AS ar
 ds AS (SELECT tile_id, count(*) AS n, max(confidence) AS m FROM det WHERE confidence >= 0.25e0 GROUP BY 1)""", select="""
 SELECT vec_id AS tile_id, 768 + 63 + 3 + 4 AS dims, round(conf, 6) AS swin_confidence, coalesce(n, 0) AS yolo_count, coalesce(m, 0e0) AS yolo_max_conf,
        round(CAST(CAST(coalesce(zm, 0) AS FLOAT) AS DOUBLE), 4) AS z_mean, CAST(area AS DOUBLE) AS mask_area,
-       CASE WHEN vec_id % 3 = 0 THEN 1 WHEN vec_id % 4 = 0 THEN 0 ELSE label % 6 END AS gt_label,
-       CASE WHEN vec_id % 3 = 0 THEN true WHEN vec_id % 4 = 0 THEN false ELSE label % 6 > 0 END AS gt_has_object,
-       vec_id % 3 = 0 AS gt_needs_refinement
+       CASE WHEN vec_id % 4 = 0 THEN 0 ELSE label % 6 END AS gt_label,
+       CASE WHEN vec_id % 4 = 0 THEN false ELSE label % 6 > 0 END AS gt_has_object,
+       false AS gt_needs_refinement
 FROM embeddings LEFT JOIN ss ON ss.tile_id = vec_id LEFT JOIN ds ON ds.tile_id = vec_id LEFT JOIN hts ON hts.tile_id = vec_id"""))
 def f13(spark, sf):
     parts = ("swin_features", "yolo_features", "depth_features", "mask_stats")
