@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orthomill.llm import simhash
+from orthomill.llm import gam, simhash
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
@@ -41,3 +41,13 @@ def feedback_of(spark, sf) -> DataFrame:
 def op1(spark, sf):
     found = simhash.near_duplicate_notes(feedback_of(spark, sf))
     return found.select(F.col("tile_id").alias("doc_id"), F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def labels_of(spark, sf) -> DataFrame:
+    """Quality labels under the names of the feedback record."""
+    return spark.read.parquet(f"{sf}/labels.parquet").select(F.col("doc_id").alias("tile_id"), F.col("quality").alias("gt_label"))
+
+
+@query("op9_gam_quality")
+def op9(spark, sf):
+    return gam.grade_notes(feedback_of(spark, sf), labels_of(spark, sf)).withColumnRenamed("tile_id", "doc_id")
