@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orthomill.llm import gam, simhash
+from orthomill.llm import gam, line_frequency, simhash
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
@@ -51,3 +51,41 @@ def labels_of(spark, sf) -> DataFrame:
 @query("op9_gam_quality")
 def op9(spark, sf):
     return gam.grade_notes(feedback_of(spark, sf), labels_of(spark, sf)).withColumnRenamed("tile_id", "doc_id")
+
+
+@query("op3_line_frequency", r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents),
+ln AS (
+  SELECT rid, source, t, doc_id, i AS no, string_split(t, chr(10))[i] AS line
+  FROM d, range(1, 1000000) r(i) WHERE i <= len(string_split(t, chr(10)))),
+lw AS (
+  SELECT rid, source, t, no, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS words FROM ln),
+lx AS (SELECT *, lower(array_to_string(words, ' ')) AS norm FROM lw WHERE len(words) > 0),
+dup AS (SELECT rid, count(*) - count(DISTINCT line) AS n_dup_lines, sum(len(words)) AS n_words FROM lx GROUP BY rid),
+ws AS (SELECT rid, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),
+wins AS (SELECT rid, i, array_to_string(w[i:i + 7], ' ') AS win FROM ws, range(1, 1000000) r(i) WHERE i <= len(w) - 7),
+twice AS (SELECT *, count(*) OVER (PARTITION BY rid, win) AS n FROM wins),
+hit AS (SELECT rid, i, lead(i) OVER (PARTITION BY rid ORDER BY i) AS nxt FROM twice WHERE n > 1),
+rep AS (SELECT rid, sum(least(8, coalesce(nxt - i, 8))) AS n_repeat_words FROM hit GROUP BY rid),
+host AS (SELECT source, count(DISTINCT t) AS texts FROM d GROUP BY source),
+freq AS (
+  SELECT lx.source, norm FROM lx JOIN host ON lx.source IS NOT DISTINCT FROM host.source
+  GROUP BY lx.source, norm HAVING count(DISTINCT t) > 20 AND count(DISTINCT t) > 0.05e0 * any_value(texts)),
+rem AS (
+  SELECT rid, sum(len(words)) AS removed FROM lx JOIN freq ON lx.source IS NOT DISTINCT FROM freq.source AND lx.norm = freq.norm GROUP BY rid),
+b AS (
+  SELECT doc_id, CAST(coalesce(n_words, 0) AS BIGINT) AS n_words,
+         CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+         CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words,
+         CAST(coalesce(removed, 0) AS BIGINT) AS removed_words
+  FROM d LEFT JOIN dup USING (rid) LEFT JOIN rep USING (rid) LEFT JOIN rem USING (rid)),
+f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM b)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND (removed_words = 0 OR (n_words - removed_words >= 10 AND n_words - removed_words >= 0.2e0 * n_words)) AS kept,
+       removed_words
+FROM f""")
+def op3(spark, sf):
+    return line_frequency.judge_notes(feedback_of(spark, sf)).select(
+        F.col("tile_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words")
