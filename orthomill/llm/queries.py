@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orthomill.llm import gam, line_frequency, simhash
+from orthomill.llm import gam, line_frequency, mixing, simhash
+from orthomill.llm.tables import word_count
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
@@ -89,3 +90,9 @@ FROM f""")
 def op3(spark, sf):
     return line_frequency.judge_notes(feedback_of(spark, sf)).select(
         F.col("tile_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words")
+
+
+@query("op10_mix_sources")
+def op10(spark, sf):
+    sized = feedback_of(spark, sf).select("tile_id", "source_file", word_count(F.col("notes")).alias("size"))
+    return mixing.mix_records(sized).select(F.col("tile_id").alias("doc_id"), "size", "source_size", "target", "taken")
