@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orthomill.llm import gam, line_frequency, mixing, simhash
+from orthomill.llm import gam, line_frequency, mixing, pseudonyms, simhash
 from orthomill.llm.tables import word_count
 
 QUERIES: dict[str, Callable] = {}
@@ -96,3 +96,8 @@ def op3(spark, sf):
 def op10(spark, sf):
     sized = feedback_of(spark, sf).select("tile_id", "source_file", word_count(F.col("notes")).alias("size"))
     return mixing.mix_records(sized).select(F.col("tile_id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+@query("op4_feistel_pseudonyms")
+def op4(spark, sf):
+    return pseudonyms.pseudonymise_notes(feedback_of(spark, sf).select("tile_id", "notes")).withColumnsRenamed({"tile_id": "doc_id", "notes": "text"})
