@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orthomill.llm import gam, line_frequency, mixing, pseudonyms, simhash
+from orthomill.llm import gam, line_frequency, mixing, packing, pseudonyms, simhash
 from orthomill.llm.tables import word_count
 
 QUERIES: dict[str, Callable] = {}
@@ -101,3 +101,17 @@ def op10(spark, sf):
 @query("op4_feistel_pseudonyms")
 def op4(spark, sf):
     return pseudonyms.pseudonymise_notes(feedback_of(spark, sf).select("tile_id", "notes")).withColumnsRenamed({"tile_id": "doc_id", "notes": "text"})
+
+
+def packed(documents: DataFrame) -> DataFrame:
+    """The pieces of packed documents, with the ids' checksum in place of the ids."""
+    import public_tokenizers
+    pieces = packing.pack_notes(as_feedback(documents), public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select(
+        F.col("tile_id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), F.col("note_ids").alias("doc_tokens"),
+        F.col("window_id").alias("sequence_id"), "offset")
+
+
+@query("op6_sum_of_squares_packing")
+def op6(spark, sf):
+    return packed(spark.read.parquet(f"{sf}/documents.parquet"))
