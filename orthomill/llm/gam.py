@@ -222,9 +222,8 @@ def keep_good(feedback: DataFrame, labels: DataFrame, label: str = "gt_label", h
               fit_limit: int = FIT_ROWS) -> DataFrame:
     """The rows of ``feedback`` that ``grade_notes`` predicts as 1, all columns kept, each as often as it came in.
 
-    Each row is judged on its own text. Columns named like a feature are dealt with under other names, so they come back as they were.
+    Each row is judged on its own text. The row travels as one struct, so no column's name can clash.
     """
-    hidden = {c: f"_own_{c}" for c in feedback.columns if c in NOTE_FEATURES}
-    judged = _judged(feedback.withColumnsRenamed(hidden), labels, label, held_out, fit_limit)
-    kept = judged.filter(F.col("_score") >= threshold)
-    return kept.drop(*NOTE_FEATURES, "_score", "_held_out").withColumnsRenamed({v: k for k, v in hidden.items()}).select(*feedback.columns)
+    row = F.struct(*[F.col(f"`{c}`") for c in feedback.columns]).alias("_row")
+    judged = _judged(feedback.select("tile_id", "notes", row), labels, label, held_out, fit_limit, "notes")
+    return judged.filter(F.col("_score") >= threshold).select("_row.*")

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orthomill.llm.tables import let
+from orthomill.llm.tables import fresh, let
 
 #: What is looked at, in order of precedence. Every alternative starts at the edge of its run, so that a
 #: text is scanned in one pass however long its runs are.
@@ -229,5 +229,6 @@ def pseudonymise_notes(feedback: DataFrame, key: str = "feedback-notes", sign: i
     their check (card digits, octets, calendar) stay. The key is the caller's secret. Texts are taken whole;
     an empty table gives an empty table. A narrow step: no shuffle.
     """
-    done = feedback.withColumn("_done", pseudonymise(F.col("notes").cast("string"), key, sign))
-    return done.withColumns({"notes": F.col("_done.text"), "n_replaced": F.coalesce("_done.n_replaced", F.lit(0).cast("long"))}).drop("_done")
+    name = fresh(feedback, "_done")
+    done = feedback.withColumn(name, pseudonymise(F.col("notes").cast("string"), key, sign))
+    return done.withColumns({"notes": F.col(name)["text"], "n_replaced": F.coalesce(F.col(name)["n_replaced"], F.lit(0).cast("long"))}).drop(name)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orthomill.llm.components import connected
-from orthomill.llm.tables import stored
+from orthomill.llm.tables import fresh, stored
 
 BITS = 64
 #: The generator polynomial of the binary Golay code, bit 0 first.
@@ -205,6 +205,7 @@ def keep_first(feedback: DataFrame, **options) -> DataFrame:
     classes = near_duplicate_notes(feedback, **options)
     chosen = classes.filter(F.col("tile_id") == F.col("component_id")).select("tile_id").distinct()
     first = Window.partitionBy("tile_id").orderBy(F.xxhash64(F.col("notes")))
+    nth = fresh(feedback, "_nth")
     kept = (feedback.filter(F.col("tile_id").isNotNull()).join(chosen, "tile_id", "left_semi")
-            .withColumn("_nth", F.row_number().over(first)).filter("_nth = 1").drop("_nth"))
+            .withColumn(nth, F.row_number().over(first)).filter(F.col(nth) == 1).select(feedback.columns))
     return kept.unionByName(feedback.filter(F.col("tile_id").isNull()))
