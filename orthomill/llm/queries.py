@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orthomill.llm import gam, line_frequency, mixing, packing, pseudonyms, simhash
+from orthomill.llm import gam, line_frequency, mixing, packing, pseudonyms, repeats, simhash
 from orthomill.llm.tables import word_count
 
 QUERIES: dict[str, Callable] = {}
@@ -115,3 +115,9 @@ def packed(documents: DataFrame) -> DataFrame:
 @query("op6_sum_of_squares_packing")
 def op6(spark, sf):
     return packed(spark.read.parquet(f"{sf}/documents.parquet"))
+
+
+@query("op2_repeated_passages")
+def op2(spark, sf):
+    return repeats.repeated_spans(feedback_of(spark, sf)).select(
+        F.col("tile_id").alias("doc_id"), "start", "length", "words", F.col("kept_tile_id").alias("kept_doc_id"))
