@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orthomill.llm import gam, line_frequency, mixing, packing, pseudonyms, repeats, simhash
+from orthomill.llm import consensus, gam, hamming, line_frequency, mixing, packing, pseudonyms, repeats, simhash
 from orthomill.llm.tables import word_count
 
 QUERIES: dict[str, Callable] = {}
@@ -121,3 +121,21 @@ def op6(spark, sf):
 def op2(spark, sf):
     return repeats.repeated_spans(feedback_of(spark, sf)).select(
         F.col("tile_id").alias("doc_id"), "start", "length", "words", F.col("kept_tile_id").alias("kept_doc_id"))
+
+
+@query("op5_multi_index_hashing", """
+WITH q AS (SELECT vec_id AS doc_q, embedding AS a FROM embeddings WHERE vec_id % 100 = 0),
+d AS (
+  SELECT q.doc_q AS vec_id, e.vec_id AS neighbour_id,
+         CAST(list_sum(list_transform(range(1, 65), lambda i: CAST((q.a[i] > 0) <> (e.embedding[i] > 0) AS INTEGER))) AS INTEGER) AS distance
+  FROM q, embeddings e),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY distance, neighbour_id) AS INTEGER) AS rank FROM d)
+SELECT vec_id, rank, neighbour_id, distance FROM r WHERE rank <= 10""")
+def op5(spark, sf):
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("tile_id"), F.col("embedding").alias("swin_features"))
+    return hamming.nearest_tiles(vectors, vectors.filter("tile_id % 100 = 0")).withColumnRenamed("tile_id", "vec_id")
+
+
+@query("op7_consensus_extraction")
+def op7(spark, sf):
+    return consensus.extract_pages(spark.read.parquet(f"{sf}/pages.parquet")).withColumn("n_chars", F.char_length("text").cast("long"))
