@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orthomill.llm import consensus, gam, hamming, line_frequency, mixing, packing, pseudonyms, repeats, simhash
+from orthomill.llm import consensus, gam, hamming, line_frequency, mixing, packing, pseudonyms, repeats, simhash, warc
 from orthomill.llm.tables import word_count
 
 QUERIES: dict[str, Callable] = {}
@@ -139,3 +139,15 @@ def op5(spark, sf):
 @query("op7_consensus_extraction")
 def op7(spark, sf):
     return consensus.extract_pages(spark.read.parquet(f"{sf}/pages.parquet")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+@query("op8_warc_normaliser", """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes, sha256(h) AS payload_digest FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+FROM f""")
+def op8(spark, sf):
+    return warc.archive_pages(spark, spark.read.parquet(f"{sf}/pages.parquet"))
