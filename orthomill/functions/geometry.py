@@ -153,8 +153,9 @@ def to_wkt(rings: Column) -> Column:
 
 
 def _tidy(text: Column) -> Column:
-    """Text with single blanks, and none around brackets and commas."""
-    return F.regexp_replace(F.regexp_replace(F.trim(text), r"\s+", " "), r" ?([(),]) ?", "$1")
+    """Text with single blanks, none around brackets and commas, and without a Z or M mark of its dimensions."""
+    tidy = F.regexp_replace(F.regexp_replace(F.trim(text), r"\s+", " "), r" ?([(),]) ?", "$1")
+    return F.regexp_replace(tidy, r"(?i)^((?:MULTI)?POLYGON) ?(?:ZM|Z|M)(?=\()", "$1")
 
 
 def _swap(text: Column, *pairs: tuple[str, str]) -> Column:
@@ -183,11 +184,11 @@ def _points(coordinates: Column) -> Column:
 
 def _well_formed(coordinates: Column) -> Column:
     return F.forall(coordinates, lambda ring: F.forall(
-        ring, lambda p: (F.size(p) == 2) & F.get(p, 0).isNotNull() & F.get(p, 1).isNotNull()))
+        ring, lambda p: F.size(p).between(2, 4) & F.get(p, 0).isNotNull() & F.get(p, 1).isNotNull()))
 
 
 def from_wkt(text: Column) -> Column:
-    """Rings of a POLYGON text; null where the text is not a well-formed polygon."""
+    """Rings of a POLYGON text, heights and measures left out; null where the text is not a well-formed polygon."""
     return let(_parse(_tidy(text), "POLYGON", 3), lambda c: F.when(_well_formed(c), _points(c)))
 
 

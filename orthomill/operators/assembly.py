@@ -66,14 +66,26 @@ def tile_polygons(decisions: DataFrame, mask: DataFrame, seg_confidence: DataFra
 
 
 def diagnostics(spine: DataFrame, load_errors: DataFrame, gate: DataFrame, segmented: DataFrame, detected: DataFrame,
-                heights: DataFrame, decisions: DataFrame, tile: str = "tile_id") -> DataFrame:
+                heights: DataFrame, decisions: DataFrame, tile: str = "tile_id", polygons: DataFrame | None = None,
+                meta: DataFrame | None = None, timing: DataFrame | None = None) -> DataFrame:
     """Exactly one diagnostics row per tile of the spine ``(run_id, tile)``.
 
     A load error ends in ``error``, a gatekeeper rejection in ``skipped``, anything
-    else is ``complete``; errors and used models are listed in order.
+    else is ``complete``; errors and used models are listed in order. ``polygons`` (one row each) are counted for complete
+    tiles, ``meta`` gives ``bounds`` and ``crs``, ``timing`` a ``timing`` map of seconds per step (see :func:`timing_map`); what is not given is null.
     """
+    bounds = "struct<min_y:double,min_x:double,max_y:double,max_x:double>"
+    spark = spine.sparkSession
+    kind = spine.schema[tile].dataType.simpleString()
+    meta = spark.createDataFrame([], f"{tile} {kind}, bounds {bounds}, crs string") if meta is None else meta
+    timing = spark.createDataFrame([], f"{tile} {kind}, timing map<string,double>") if timing is None else timing
+    counts = (spark.createDataFrame([], f"{tile} {kind}, _n long") if polygons is None
+              else polygons.groupBy(tile).agg(F.count(F.lit(1)).alias("_n")))
     joined = (
         spine
+        .join(counts, tile, "left")
+        .join(meta.select(tile, "bounds", "crs"), tile, "left")
+        .join(timing.select(tile, "timing"), tile, "left")
         .join(load_errors.select(tile, F.col("message").alias("_load")), tile, "left")
         .join(gate.select(tile, F.col("keep").alias("_keep")), tile, "left")
         .join(segmented.select(tile).distinct().withColumn("_seg", F.lit(True)), tile, "left")
@@ -96,7 +108,9 @@ def diagnostics(spine: DataFrame, load_errors: DataFrame, gate: DataFrame, segme
             F.when(skipped, F.lit(fixed.GATE_ERROR)))).alias("errors"),
         F.when(done, used).otherwise(F.array().cast("array<string>")).alias("models_used"),
         F.when(done, F.col("fusion_decision")).alias("fusion_decision"),
-        F.when(done, F.col("depth_stats")).alias("depth_stats"))
+        F.when(done, F.col("depth_stats")).alias("depth_stats"), "timing", "bounds", "crs",
+        F.when(done, F.coalesce("_n", F.lit(0))).alias("num_polygons") if polygons is not None
+        else F.lit(None).cast("long").alias("num_polygons"))
 
 
 def timing_map(**steps: Column) -> Column:

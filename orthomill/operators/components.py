@@ -10,47 +10,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from orthomill.operators.skew import HEAVY_MIN_ROWS, lookup_unique
 from orthomill.session import cut_lineage, spread
 
 #: Cells get the number row * ROW_STEP + col, so the smallest number is first in row-major order.
 ROW_STEP = 1 << 31
-#: Scopes with up to this many edges are solved as one bounded group.
-FOLD_LIMIT = 200_000
 
 
-def connected_components(edges: DataFrame, scope: Sequence[str] = (), fold_limit: int = FOLD_LIMIT,
-                         max_rounds: int = 64) -> DataFrame:
+def connected_components(edges: DataFrame, scope: Sequence[str] = (), max_rounds: int = 64) -> DataFrame:
     """Component of every node that has an edge: ``(*scope, node, component)``.
 
-    ``edges`` has columns ``u`` and ``v`` (undirected); the component is its smallest
-    node. Scopes with at most ``fold_limit`` edges are each solved as one bounded
-    group; the others, and a table without scope, go through
-    :func:`components_in_rounds`.
+    ``edges`` has columns ``u`` and ``v`` (undirected); the component is its smallest node. Scopes of every size go
+    the same way, together: see :func:`components_in_rounds`.
     """
     scope = list(scope)
     table = cut_lineage(edges.filter(F.col("u") != F.col("v")).select(*scope, "u", "v").distinct())
-    if not scope:
-        return components_in_rounds(table, scope, max_rounds)
-    large = table.groupBy(*scope).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > fold_limit).select(*scope)
-    if large.isEmpty():
-        return _fold(table, scope)
-    return _fold(table.join(large, scope, "left_anti"), scope).unionByName(
-        components_in_rounds(table.join(large, scope, "left_semi"), scope, max_rounds))
-
-
-def _fold(table: DataFrame, scope: list[str]) -> DataFrame:
-    fields = [table.schema[s] for s in scope] + [StructField("node", LongType()), StructField("component", LongType())]
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        nodes, ends = np.unique(np.concatenate([pdf["u"].to_numpy(), pdf["v"].to_numpy()]), return_inverse=True)
-        a, b = ends[:len(pdf)], ends[len(pdf):]
-        found = pd.DataFrame({"node": nodes, "component": nodes[_lowest_reachable(len(nodes), a, b)]})
-        for name in scope:
-            found[name] = pdf[name].iloc[0]
-        return found[[*scope, "node", "component"]]
-
-    return spread(table, *scope).groupBy(*scope).applyInPandas(solve, StructType(fields))
+    return components_in_rounds(table, scope, max_rounds)
 
 
 def _lowest_reachable(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -72,9 +46,8 @@ def components_in_rounds(edges: DataFrame, scope: Sequence[str] = (), max_rounds
 
     Alternates the large-star and small-star steps, which turn any graph into
     stars around the smallest nodes in a logarithmic number of rounds; every round
-    ends in a checkpoint. The centre of a large star is a hot key: its lookup goes
-    through :func:`lookup_unique`, unless the whole edge table is too small to hold
-    a hot key at all.
+    ends in a checkpoint. The centre of a large star is a hot key: its lookup is an
+    equi-join of two plain exchanges, whose large partitions adaptive execution splits.
     """
     scope = list(scope)
     keys = [*scope, "u"]
@@ -84,21 +57,15 @@ def components_in_rounds(edges: DataFrame, scope: Sequence[str] = (), max_rounds
     for _ in range(max_rounds):
         if before[0] == 0:
             break
-        def look_up(rows: DataFrame, table: DataFrame, total: int = before[0]) -> DataFrame:
-            if 2 * total <= HEAVY_MIN_ROWS:
-                return rows.join(table, keys)
-            return lookup_unique(rows, table, keys, "_deg")
-
         swapped = current.select(*scope, F.col("v").alias("u"), F.col("u").alias("v"))
         both = current.unionByName(swapped)
-        lows = both.groupBy(*keys).agg(F.min("v").alias("_m"), F.count(F.lit(1)).alias("_deg")) \
-            .withColumn("_m", F.least("_m", "u"))
-        large = look_up(both.filter(F.col("v") > F.col("u")), lows) \
+        lows = both.groupBy(*keys).agg(F.min("v").alias("_m")).withColumn("_m", F.least("_m", "u"))
+        large = both.filter(F.col("v") > F.col("u")).join(lows, keys) \
             .select(*scope, F.col("v").alias("u"), F.col("_m").alias("v")) \
             .filter(F.col("u") != F.col("v")).distinct()
         down = large.select(*scope, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        centre = down.groupBy(*keys).agg(F.min("v").alias("_m"), F.count(F.lit(1)).alias("_deg"))
-        leaves = look_up(down, centre) \
+        centre = down.groupBy(*keys).agg(F.min("v").alias("_m"))
+        leaves = down.join(centre, keys) \
             .select(*scope, F.col("v").alias("u"), F.col("_m").alias("v"))
         roots = centre.select(*scope, "u", F.col("_m").alias("v"))
         current = cut_lineage(leaves.unionByName(roots).filter(F.col("u") != F.col("v")).distinct())

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from orthomill import fixed
 from orthomill.functions import arrays
 from orthomill.functions import geometry as geo
-from orthomill.operators.skew import HEAVY_MIN_ROWS, lookup_unique, salted_join
 from orthomill.session import cut_lineage
 
 BOX = ["x1", "y1", "x2", "y2"]
@@ -91,25 +90,18 @@ def suppress_in_rounds(boxes: DataFrame, keys: Sequence[str], iou_max: float, ma
         n_left = undecided.count()
         if n_left == 0:
             break
-        # A box lies in at most four cells per size class, which bounds what any cell can hold.
-        hot_cells = n_left * 4 * (reach + 1) > HEAVY_MIN_ROWS
         cells = listed(undecided)
         best = cells.groupBy(*cell).agg(
-            F.min("_me").alias("_best"), F.min(F.when(F.col("_home"), F.col("_me"))).alias("_resident"),
-            F.count(F.lit(1)).alias("_w"))
-        judged = lookup_unique(cells, best, cell, "_w") if hot_cells else cells.join(best, cell)
+            F.min("_me").alias("_best"), F.min(F.when(F.col("_home"), F.col("_me"))).alias("_resident"))
+        # A busy cell's rows are one side of equi-joins, whose large partitions adaptive execution splits.
+        judged = cells.join(best, cell)
         leads = F.when(F.col("_home"), F.col("_me") == F.col("_best")) \
             .otherwise(F.col("_resident").isNull() | (F.col("_me") < F.col("_resident")))
         winners = cut_lineage(judged.groupBy(*box, "confidence").agg(F.bool_and(leads).alias("_won")).filter("_won").drop("_won"))
         kept.append(winners)
         near = listed(winners).select(*cell, "_home", F.struct(*BOX).alias("_winner"))
         residents, visitors = (near.filter(c).drop("_home") for c in (F.col("_home"), ~F.col("_home")))
-        at_home = cells.filter("_home")
-        if hot_cells:
-            met = lookup_unique(cells, residents.join(best.select(*cell, "_w"), cell), cell, "_w").drop("_w") \
-                .unionByName(salted_join(at_home, visitors, cell))
-        else:
-            met = cells.join(residents, cell).unionByName(at_home.join(visitors, cell))
+        met = cells.join(residents, cell).unionByName(cells.filter("_home").join(visitors, cell))
         gone = met.filter(geo.box_iou({c: F.col(c) for c in BOX}, F.col("_winner")) > iou_max).select(*box).distinct()
         undecided = cut_lineage(undecided.join(winners.select(*box).unionByName(gone), box, "left_anti"))
         if len(kept) >= 16:

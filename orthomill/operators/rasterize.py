@@ -156,7 +156,10 @@ def buffer_distance(layer: Column, geom_type: Column, geographic: Column | bool
 
 def export_raster_frame(polygons: DataFrame, per_unit: int = 100, min_side: int = 256,
                         max_side: int = 4096) -> DataFrame:
-    """One row: bounds of all polygons and the size of the exported class raster."""
+    """One row: bounds of all polygons, size of the exported class raster and its transform (pixel to coordinate).
+
+    A side without extent has its smallest size, and one pixel covers one unit there.
+    """
     b = geo.bounds(F.col("rings"))
     frame = polygons.select(b.alias("b")).agg(
         F.min("b.x1").alias("min_x"), F.min("b.y1").alias("min_y"),
@@ -165,9 +168,15 @@ def export_raster_frame(polygons: DataFrame, per_unit: int = 100, min_side: int
     def side(extent: Column) -> Column:
         return F.least(F.greatest((extent * per_unit).cast("int"), F.lit(min_side)), F.lit(max_side))
 
-    return frame.withColumn("width", side(F.col("max_x") - F.col("min_x"))) \
+    sized = frame.withColumn("width", side(F.col("max_x") - F.col("min_x"))) \
         .withColumn("height", side(F.col("max_y") - F.col("min_y")))
 
+    def per_pixel(low: str, high: str, pixels: str) -> Column:
+        return F.when(F.col(high) > F.col(low), (F.col(high) - F.col(low)) / F.col(pixels)).otherwise(F.lit(1.0))
+
+    return sized.withColumn("transform", F.array(
+        per_pixel("min_x", "max_x", "width"), F.lit(0.0), F.col("min_x"), F.lit(0.0), -per_pixel("min_y", "max_y", "height"), F.col("max_y")))
+
 
 def export_raster(polygons: DataFrame, order: str = "ord") -> DataFrame:
     """Class cells of the exported raster; later polygons paint over earlier ones.
@@ -177,8 +186,7 @@ def export_raster(polygons: DataFrame, order: str = "ord") -> DataFrame:
     frame = export_raster_frame(polygons).first()
     if frame is None or frame["min_x"] is None:
         return polygons.sparkSession.createDataFrame([], "row long, col long, class_id int")
-    sx = frame["width"] / (frame["max_x"] - frame["min_x"])
-    sy = frame["height"] / (frame["max_y"] - frame["min_y"])
+    sx, sy = 1 / frame["transform"][0], -1 / frame["transform"][4]
     placed = polygons.withColumn("rings", F.transform("rings", lambda ring: F.transform(
         ring, lambda p: F.struct(((p["x"] - frame["min_x"]) * sx).alias("x"),
                                  ((frame["max_y"] - p["y"]) * sy).alias("y")))))

@@ -7,54 +7,29 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: The heavy-key list is broadcast, so its length is bounded whatever the input.
-HEAVY_KEY_LIMIT = 10_000
-HEAVY_MIN_ROWS = 1_000_000
+from orthomill.session import cut_lineage
 
+#: Rows of one key that one task is meant to hold; every key gets as many salts as its own count asks for.
+ROWS_PER_SALT = 1_000_000
 
-def heavy_keys(df: DataFrame, keys: Sequence[str], min_rows: int = HEAVY_MIN_ROWS) -> DataFrame:
-    """The heaviest keys with more than ``min_rows`` rows; at most ``HEAVY_KEY_LIMIT`` of them.
-
-    The count combines on the map side, so a hot key costs one row per task.
-    Keys left off the list are still joined, only without a salt.
-    """
-    return (
-        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-        .filter(F.col("_rows") > min_rows)
-        .orderBy(F.desc("_rows")).limit(HEAVY_KEY_LIMIT)
-        .select(*keys)
-    )
 
+def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
+    """Inner equi-join in which every key is spread by its own row counts on both sides.
 
-def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], salts: int = 32,
-                min_rows: int = HEAVY_MIN_ROWS) -> DataFrame:
-    """Inner equi-join that spreads heavy keys of ``left`` over ``salts`` partitions.
-
-    Rows of ``right`` under a heavy key are repeated once per salt; all other
-    rows keep salt 0, so light keys are shuffled once and not repeated.
+    A key with n rows on one side has ceil(n / ``rows_per_salt``) salts there. Its rows are dealt over their
+    own side's salts and repeated once per salt of the other side, so two rows meet under exactly one pair of salts. The
+    counts combine before the shuffle and are materialised once; both sides read the same table, and keys whose
+    salts are 1 on both sides, nearly all, are left out of it and cost nothing.
     """
     keys = list(keys)
-    heavy = F.broadcast(heavy_keys(left, keys, min_rows).withColumn("_heavy", F.lit(True)))
-    spread = F.pmod(F.xxhash64(*[F.col(c) for c in left.columns if c not in keys] or [F.lit(0)]),
-                    F.lit(salts)).cast("int")
-    salted_left = left.join(heavy, keys, "left").withColumn(
-        "_salt", F.when(F.col("_heavy"), spread).otherwise(F.lit(0))).drop("_heavy")
-    salted_right = right.join(heavy, keys, "left").withColumn(
-        "_salt", F.explode(F.when(F.col("_heavy"), F.sequence(F.lit(0), F.lit(salts - 1)))
-                           .otherwise(F.array(F.lit(0))))).drop("_heavy")
-    return salted_left.join(salted_right, [*keys, "_salt"]).drop("_salt")
-
-
-def lookup_unique(big: DataFrame, lookup: DataFrame, keys: Sequence[str], weight: str,
-                  min_rows: int = HEAVY_MIN_ROWS) -> DataFrame:
-    """Join ``big`` to a table that is unique on ``keys`` and knows each key's row count.
-
-    Keys with ``weight`` above ``min_rows`` are looked up by a broadcast of
-    bounded length and never shuffled; the rest takes the ordinary join.
-    """
-    keys = list(keys)
-    heavy = F.broadcast(
-        lookup.filter(F.col(weight) > min_rows).orderBy(F.desc(weight)).limit(HEAVY_KEY_LIMIT))
-    hot = big.join(heavy, keys)
-    cold = big.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(lookup, keys)
-    return hot.unionByName(cold)
+    counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_l")).join(right.groupBy(*keys).agg(F.count(F.lit(1)).alias("_r")), keys)
+    salts = cut_lineage(counts.select(*keys, *[
+        F.ceil(F.col(side) / rows_per_salt).cast("int").alias(side) for side in ("_l", "_r")]).filter("_l > 1 or _r > 1"))
+
+    def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
+        known = df.join(salts, keys, "left").withColumns({c: F.coalesce(c, F.lit(1)) for c in ("_l", "_r")})
+        mine = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns if c not in keys] or [F.lit(0)]), F.col(own))
+        return known.withColumn(f"_s{own}", mine.cast("int")).withColumn(
+            f"_s{other}", F.explode(F.sequence(F.lit(0), F.col(other) - 1))).drop("_l", "_r")
+
+    return dealt(left, "_l", "_r").join(dealt(right, "_r", "_l"), [*keys, "_s_l", "_s_r"]).drop("_s_l", "_s_r")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from orthomill.functions import geometry as geo
-from orthomill.operators.skew import HEAVY_MIN_ROWS, salted_join
+from orthomill.operators.skew import ROWS_PER_SALT, salted_join
 
 
 def shape_windows(shapes: DataFrame, keys: Sequence[str], size: int, stride: int,
@@ -52,12 +52,12 @@ def _cells(low: Column, high: Column, cell: float) -> Column:
 
 
 def box_join(left: DataFrame, right: DataFrame, cell: float, keys: Sequence[str] = (),
-             min_rows: int = HEAVY_MIN_ROWS) -> DataFrame:
+             rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
     """All pairs with intersecting boxes (``x1,y1,x2,y2`` each), each pair exactly once.
 
     Both sides are listed under the grid cells they cover and joined on the cell.
     A pair is kept only in the cell that holds the lower-left corner of its
-    overlap, so no de-duplication shuffle is needed. Busy cells are salted.
+    overlap, so no de-duplication shuffle is needed. Cells busy on either side are salted by their own counts.
     Right-hand columns other than ``keys`` get the prefix ``r_``.
     """
     keys = list(keys)
@@ -70,7 +70,7 @@ def box_join(left: DataFrame, right: DataFrame, cell: float, keys: Sequence[str]
     for name in right.columns:
         if name not in keys:
             renamed = renamed.withColumnRenamed(name, f"r_{name}")
-    pairs = salted_join(keyed(left), renamed, [*keys, "_gx", "_gy"], min_rows=min_rows)
+    pairs = salted_join(keyed(left), renamed, [*keys, "_gx", "_gy"], rows_per_salt)
     x = F.greatest("x1", "r_x1")
     y = F.greatest("y1", "r_y1")
     return pairs.filter(

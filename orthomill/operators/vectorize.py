@@ -12,7 +12,7 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, S
 
 from orthomill import fixed
 from orthomill.functions import geometry as geo
-from orthomill.operators.components import FOLD_LIMIT, connected_components, label_cells
+from orthomill.operators.components import connected_components, label_cells
 from orthomill.session import cut_lineage, spread
 
 FLAT = StructType([StructField("xs", ArrayType(DoubleType())), StructField("ys", ArrayType(DoubleType())),
@@ -156,6 +156,8 @@ def trace_rings(edges: DataFrame, keys: Sequence[str], max_rounds: int = 48) ->
         jumped = ranked.filter(F.col("v").isNotNull()).join(ahead, [*scope, "v"]) \
             .select(*scope, "ring", "u", F.col("_v").alias("v"), (F.col("steps") + F.col("_s")).alias("steps"))
         ranked = cut_lineage(ranked.filter(F.col("v").isNull()).unionByName(jumped))
+    else:
+        raise RuntimeError(f"ring order did not settle in {max_rounds} rounds")
     length = ranked.groupBy(*scope, "ring").agg(F.max("steps").alias("_len"))
     placed = base.withColumnRenamed("edge", "u").join(ranked.drop("v"), [*scope, "u"]) \
         .join(length, [*scope, "ring"]).withColumn("pos", F.col("_len") - F.col("steps"))
@@ -173,18 +175,13 @@ def _ring_ids(links: DataFrame, scope: Sequence[str]) -> DataFrame:
         F.col("node").alias("u"), F.col("component").alias("ring"))
 
 
-def component_polygons(edges: DataFrame, keys: Sequence[str], value: str, fold_limit: int = FOLD_LIMIT) -> DataFrame:
-    """Polygons of components of any size: bounded ones stitched as one group each, others traced by joins."""
-    shape = [*keys, "component"]
-    edges = cut_lineage(edges)
-    large = edges.groupBy(*shape).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > fold_limit).select(*shape)
-    if large.isEmpty():
-        return stitch_rings(edges, shape)
-    small = stitch_rings(edges.join(large, shape, "left_anti"), shape)
-    big = cut_lineage(edges.join(large, shape, "left_semi"))
-    classes = big.groupBy(*shape).agg(F.first(value).alias(value))
-    traced = ring_polygons(trace_rings(big.drop(value), keys), keys).join(classes, shape)
-    return small.unionByName(traced)
+def component_polygons(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Polygons of components, each stitched as a group of its own.
+
+    A polygon is one row with all its rings, so its boundary fits a task wherever the result fits a row. Boundaries beyond that
+    stay a table of vertices: :func:`trace_rings`.
+    """
+    return stitch_rings(edges, [*keys, "component"])
 
 
 def ring_polygons(corners: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -220,7 +217,7 @@ def polygonize(cells: DataFrame, keys: Sequence[str], transforms: DataFrame | No
     if whole_tile:
         shapes = stitch_rings(boundary_edges(labelled, keys, value), keys)
     else:
-        shapes = component_polygons(boundary_edges(labelled, keys, value), keys, value)
+        shapes = component_polygons(boundary_edges(labelled, keys, value), keys)
     shapes = shapes.withColumn("pixels", geo.polygon_area(F.col("rings")).cast("long"))
     if transforms is not None:
         shared = [k for k in keys if k in transforms.columns]

@@ -77,13 +77,31 @@ def progress_percent(done: Column, total: Column) -> Column:
     return F.coalesce(done / F.nullif(total, F.lit(0)) * 100, F.lit(0.0))
 
 
-def run_summary(diagnostics: DataFrame, run: str = "run_id") -> DataFrame:
-    """Counts and times per run; only status ``error`` counts as error, ``failed`` is separate."""
+def run_summary(diagnostics: DataFrame, run: str = "run_id", device: str | None = None,
+                versions: dict[str, str] | None = None) -> DataFrame:
+    """Counts and times per run; only status ``error`` counts as error, ``failed`` is separate.
+
+    ``device`` and ``model_versions`` are what the run was started with. A run is ``running`` while a tile is ``processing``, else ``complete``.
+    """
+    named = F.create_map(*[F.lit(x) for pair in (versions or {}).items() for x in pair]).cast("map<string,string>")
     return diagnostics.groupBy(run).agg(
         F.count(F.lit(1)).alias("num_tiles"), F.count_if(F.col("status") == "complete").alias("completed"),
         F.count_if(F.col("status") == "error").alias("errors"), F.count_if(F.col("status") == "failed").alias("failed"),
         F.sum("elapsed_s").alias("total_time_s"),
-        (F.sum("elapsed_s") / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("avg_time_per_tile"))
+        (F.sum("elapsed_s") / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("avg_time_per_tile"),
+        F.when(F.count_if(F.col("status") == "processing") > 0, "running").otherwise("complete").alias("status")) \
+        .withColumn("device", F.lit(device).cast("string")).withColumn("model_versions", named)
+
+
+def run_header(summary: DataFrame, regions: DataFrame, run: str = "run_id") -> DataFrame:
+    """A run's summary as the dashboard reads it: ``processed_tiles`` and how many regions ``(run, region_id, class_id, ...)`` it has.
+
+    The regions themselves stay a table under the run's id; a run has any number of them.
+    """
+    counts = regions.groupBy(run).agg(F.count(F.lit(1)).alias("num_regions"), F.count_distinct("class_id").alias("region_classes"))
+    return summary.join(counts, run, "left").withColumns({
+        "processed_tiles": F.col("completed"), "num_regions": F.coalesce("num_regions", F.lit(0)),
+        "region_classes": F.coalesce("region_classes", F.lit(0))})
 
 
 def throughput(diagnostics: DataFrame, run: str = "run_id", target_s: float = 180.0) -> DataFrame:

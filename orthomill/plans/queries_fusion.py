@@ -183,7 +183,7 @@ def d9(spark, sf):
 
 
 @query("d10_burned_boxes", with_ctes(MASKS, """
-bx AS (SELECT l_orderkey % 500 AS source_id, l_partkey % 40 - 2 AS x1, l_suppkey % 40 - 2 AS y1,
+bx AS (SELECT l_orderkey AS source_id, l_partkey % 40 - 2 AS x1, l_suppkey % 40 - 2 AS y1,
               l_partkey % 40 - 2 + l_linenumber % 3 AS x2, l_suppkey % 40 - 2 + CAST(l_quantity AS BIGINT) % 4 AS y2 FROM lineitem),
 hit AS (SELECT DISTINCT m.source_id, r, c FROM msk m JOIN bx USING (source_id)
         WHERE c BETWEEN greatest(x1, 0) AND least(greatest(x2, 0), 8) AND r BETWEEN greatest(y1, 0) AND least(greatest(y2, 0), 8))""", select="""
@@ -192,7 +192,7 @@ FROM msk LEFT JOIN hit USING (source_id, r, c) GROUP BY ALL"""))
 def d10(spark, sf):
     x, y = F.col("l_partkey") % 40 - 2, F.col("l_suppkey") % 40 - 2
     boxes = tb.table(spark, sf, "lineitem").select(
-        (F.col("l_orderkey") % 500).alias("tile_id"), x.alias("x1"), y.alias("y1"),
+        F.col("l_orderkey").alias("tile_id"), x.alias("x1"), y.alias("y1"),
         (x + F.col("l_linenumber") % 3).alias("x2"), (y + F.col("l_quantity").cast("long") % 4).alias("y2"))
     mask = tb.masks(spark, sf).select(F.col("source_id").alias("tile_id"), "row", "col", F.col("pred").alias("class_id"))
     return rules.burn_boxes(mask, boxes, 8, 8).groupBy("tile_id", "class_id").agg(F.count(F.lit(1)).alias("pixels"))
@@ -325,7 +325,7 @@ sz AS (SELECT source_id, root, pred, count(*) AS n FROM comp GROUP BY ALL),
 big AS (SELECT source_id, pred FROM comp GROUP BY ALL HAVING count(*) >= 10),
 ok AS (SELECT * FROM idec WHERE accept_val >= 0.3e0),
 refd AS (SELECT * FROM ok WHERE (tile_id % 10) / 10e0 > 0.3e0)""", select="""
-SELECT tile_id, class_id, round(confidence_val, 6) AS confidence, 'geosam' AS source, 32e0 AS area, 24e0 AS perimeter FROM refd
+SELECT tile_id, class_id, round(confidence_val, 6) AS confidence, 'geosam' AS source, 64e0 AS area, 32e0 AS perimeter FROM refd
 UNION ALL
 SELECT source_id, pred, round(confidence_val, 6), 'swin', sz.n * 1e0, sz.n * 4e0 - coalesce(nb.n, 0)
 FROM sz JOIN ok ON tile_id = source_id JOIN big USING (source_id, pred) LEFT JOIN nb USING (source_id, root)
@@ -333,7 +333,7 @@ WHERE pred BETWEEN 1 AND 5 AND sz.n >= 4 AND source_id NOT IN (SELECT tile_id FR
 def d17_polygons(spark, sf):
     decisions, mask = tb.image_decisions(spark, sf), image_mask(spark, sf)
     confidence = decisions.select("tile_id", F.col("confidence_val").alias("confidence"))
-    refined = mask.filter("row < 4").select(
+    refined = mask.select(
         "tile_id", F.lit(0).alias("cand"), "row", "col", ((F.col("tile_id") % 10) / 10.0).alias("quality"))
     return assembly.tile_polygons(decisions, mask, confidence, refined, min_area=4.0, tolerance=0.0).select(
         "tile_id", "class_id", F.round("confidence", 6).alias("confidence"), F.get("source_masks", F.lit(0)).alias("source"),
@@ -370,22 +370,30 @@ def d19(spark, sf):
 
 
 @query("d20_tile_diagnostics", with_ctes(DEC, HEIGHT, DETS, """
-dd AS (SELECT DISTINCT tile_id FROM det),
-j AS (SELECT dec.*, dec.tile_id % 11 = 0 AS failed, dec.tile_id % 7 = 0 AS dull, dd.tile_id IS NOT NULL AS has_det, zm
+dd AS (SELECT tile_id, count(*) AS boxes FROM det GROUP BY 1),
+j AS (SELECT dec.*, boxes, dec.tile_id % 11 = 0 AS failed, dec.tile_id % 7 = 0 AS dull, dd.tile_id IS NOT NULL AS has_det, zm
       FROM dec LEFT JOIN dd USING (tile_id) LEFT JOIN ht USING (tile_id))""", select="""
 SELECT tile_id, CASE WHEN failed THEN 'error' WHEN dull THEN 'skipped' ELSE 'complete' END AS status,
        CASE WHEN failed THEN 'load_error: no data' WHEN dull THEN 'gatekeeper_rejected_low_variance' ELSE '' END AS errors,
        CASE WHEN failed OR dull THEN '' ELSE concat_ws('+', CASE WHEN tile_id % 2 = 0 THEN 'swin' END, CASE WHEN has_det THEN 'yolo' END,
             CASE WHEN zm IS NOT NULL THEN 'depth' END) END AS models,
-       CASE WHEN NOT (failed OR dull) THEN class_id END AS class_id FROM j"""))
+       CASE WHEN NOT (failed OR dull) THEN class_id END AS class_id, CASE WHEN NOT (failed OR dull) THEN coalesce(boxes, 0) END AS num_polygons,
+       CASE WHEN tile_id % 5 > 0 THEN tile_id * 2e0 END AS max_x, CASE WHEN tile_id % 5 > 0 THEN 'EPSG:32643' END AS crs,
+       CASE WHEN tile_id % 3 > 0 THEN (tile_id % 3) / 2e0 END AS total_s FROM j"""))
 def d20(spark, sf):
     spine = tb.table(spark, sf, "orders").select(F.lit("r1").alias("run_id"), F.col("o_orderkey").alias("tile_id"))
     tiles = spine.select("tile_id")
     out = assembly.diagnostics(
         spine, tiles.filter("tile_id % 11 = 0").withColumn("message", F.lit("no data")),
         tiles.withColumn("keep", F.col("tile_id") % 7 != 0), tiles.filter("tile_id % 2 = 0"), tb.detections(spark, sf),
-        rules.with_heights(tiles, heights(spark, sf)), tb.decisions(spark, sf))
-    return out.select("tile_id", "status", F.array_join("errors", "+").alias("errors"),
+        rules.with_heights(tiles, heights(spark, sf)), tb.decisions(spark, sf), polygons=tb.detections(spark, sf).select("tile_id"),
+        meta=tiles.filter("tile_id % 5 > 0").select("tile_id", F.struct(
+            F.lit(0.0).alias("min_y"), F.lit(0.0).alias("min_x"), F.lit(1.0).alias("max_y"), (F.col("tile_id") * 2.0).alias("max_x")).alias("bounds"),
+            F.lit("EPSG:32643").alias("crs")),
+        timing=tiles.select("tile_id", assembly.timing_map(
+            load=F.lit(0.1), total=F.when(F.col("tile_id") % 3 > 0, (F.col("tile_id") % 3) / 2.0)).alias("timing")))
+    return out.select(
+        "num_polygons", F.col("bounds.max_x").alias("max_x"), "crs", F.col("timing")["total"].alias("total_s"),"tile_id", "status", F.array_join("errors", "+").alias("errors"),
                       F.array_join("models_used", "+").alias("models"), F.col("fusion_decision.class_id").alias("class_id"))
 
 
@@ -403,14 +411,14 @@ def d21(spark, sf):
 
 
 @query("d22_tile_outputs", with_ctes(DEC, DETS, HEIGHT, """
-pl AS (SELECT c_custkey % 700 AS tile_id, count(*) AS n, sum((5 + c_custkey % 20) ** 2) AS area FROM customer GROUP BY 1),
+pl AS (SELECT c_custkey // 20 AS tile_id, count(*) AS n, sum((5 + c_custkey % 20) ** 2) AS area FROM customer GROUP BY 1),
 ds AS (SELECT tile_id, count(*) AS boxes FROM det GROUP BY 1)""", select="""
 SELECT dec.tile_id, coalesce(n, 0) AS num_polygons, coalesce(area, 0e0) AS area, round(coalesce(confidence_val, 0), 6) AS swin_confidence,
        coalesce(boxes, 0) AS yolo_count, accept_val AS fusion_accept, CASE WHEN n > 0 THEN round(zm, 6) END AS z_mean
 FROM dec LEFT JOIN pl USING (tile_id) LEFT JOIN ds USING (tile_id) LEFT JOIN ht USING (tile_id)"""))
 def d22(spark, sf):
     polygons = tb.layer_polygons(spark, sf).select(
-        (F.col("feature_id") % 700).alias("tile_id"), (F.col("feature_id") % 6).alias("class_id"), "rings",
+        F.expr("feature_id div 20").alias("tile_id"), (F.col("feature_id") % 6).alias("class_id"), "rings",
         F.lit(0.5).alias("confidence"), F.array(F.lit("swin")).alias("source_masks"),
         ((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))).alias("area"), F.lit(0.0).alias("perimeter"))
     decisions = tb.decisions(spark, sf)

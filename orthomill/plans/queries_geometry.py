@@ -345,7 +345,7 @@ def c17(spark, sf):
 f AS (SELECT min(x1) AS mx, min(y1) AS my, max(x2) AS xx, max(y2) AS xy FROM lay),
 g AS (SELECT *, least(greatest((xx - mx) * 100, 256), 4096) AS w, least(greatest((xy - my) * 100, 256), 4096) AS h FROM f),
 p AS (SELECT feature_id, feature_id % 5 + 1 AS cls, (x1 - mx) * (w / (xx - mx)) AS px1, (x2 - mx) * (w / (xx - mx)) AS px2,
-             (xy - y2) * (h / (xy - my)) AS py1, (xy - y1) * (h / (xy - my)) AS py2 FROM lay, g WHERE feature_id < 1000000),
+             (xy - y2) * (h / (xy - my)) AS py1, (xy - y1) * (h / (xy - my)) AS py2 FROM lay, g),
 rr AS (SELECT feature_id, cls, px1, px2, unnest(range(CAST(ceil(py1 - 0.5e0) AS BIGINT), CAST(ceil(py2 - 0.5e0) AS BIGINT))) AS r FROM p),
 cc AS (SELECT feature_id, cls, r, unnest(range(CAST(ceil(px1 - 0.5e0) AS BIGINT), CAST(ceil(px2 - 0.5e0) AS BIGINT))) AS c FROM rr),
 b AS (SELECT r, c, max_by(cls, feature_id) AS cls FROM cc GROUP BY ALL)""", select="""

@@ -55,29 +55,33 @@ def a3(spark, sf):
 
 
 def tile_documents(spark, sf):
-    """Tile output documents: one per 1000-customer frame and layer, with missing and broken geometries."""
+    """Tile output documents of 50 shapes each: polygons, some with two parts or with heights, missing and broken geometries."""
     rings = geo.to_wkt(F.col("rings"))
     key = F.col("feature_id")
-    text = F.when(key % 10 == 3, F.lit(None)).when(key % 10 == 7, F.lit("POLYGON ((0 0, 1")).otherwise(rings)
+    body = F.substring(rings, F.lit(len("POLYGON ") + 1), F.length(rings))
+    two_parts = F.concat(F.lit("MULTIPOLYGON ("), body, F.lit(", ((900 900, 901 900, 901 901, 900 900)))"))
+    with_heights = F.concat(F.lit("POLYGON Z "), F.regexp_replace(body, "([0-9])(?=[,)])", "$1 12.5"))
+    text = F.when(key % 10 == 3, F.lit(None)).when(key % 10 == 7, F.lit("POLYGON ((0 0, 1")).when(key % 10 == 1, two_parts) \
+        .when(key % 10 == 2, with_heights).otherwise(rings)
     known = F.when(key % 8 != 5, (key % 7).cast("int"))
     item = F.struct(known.alias("class_id"), text.alias("geometry_wkt"),
                     F.when(key % 6 != 0, (key % 100) / 100.0).alias("confidence"),
                     F.array(F.lit("swin")).alias("source_masks"), F.lit(None).cast("double").alias("z_mean"),
                     geo.polygon_area(F.col("rings")).alias("area"), geo.polygon_length(F.col("rings")).alias("perimeter"))
-    return tb.layer_polygons(spark, sf).withColumn("tile_id", F.concat(F.lit("tile"), key % 200)) \
+    return tb.layer_polygons(spark, sf).withColumn("tile_id", F.concat(F.lit("tile"), F.expr("feature_id div 50"))) \
         .groupBy("tile_id").agg(F.collect_list(item).alias("polygons")) \
         .withColumn("num_polygons", F.size("polygons"))
 
 
 @query("a4_tile_outputs", with_ctes(LAYER, select="""
-SELECT 'tile' || (feature_id % 200) AS tile_id, count(*) AS polygons, count(*) FILTER (feature_id % 10 <> 3) AS with_geometry, false AS broken FROM lay GROUP BY 1
-UNION ALL SELECT NULL, n_nationkey, 0, true FROM nation WHERE n_nationkey < 3"""))
+SELECT 'tile' || (feature_id // 50) AS tile_id, count(*) AS polygons, count(*) FILTER (feature_id % 10 <> 3) AS with_geometry, false AS broken FROM lay GROUP BY 1
+UNION ALL SELECT NULL, n_nationkey, 0, true FROM nation"""))
 def a4(spark, sf):
     docs = tile_documents(spark, sf).select(
         F.concat(F.lit("out/tiles/"), "tile_id", F.lit("_output.json")).alias("path"),
         F.to_json(F.struct("tile_id", "polygons", "num_polygons")).alias("value"))
     nations = tb.table(spark, sf, "nation")
-    broken = nations.filter("n_nationkey < 3").select(
+    broken = nations.select(
         F.concat(F.lit("out/tiles/"), "n_nationkey", F.lit("_output.json")).alias("path"), F.lit('{"tile_id": "x", ').alias("value"))
     other = nations.select(F.concat(F.lit("out/"), "n_name", F.lit(".json")).alias("path"), F.lit("{}").alias("value"))
     good, bad = files.parse_tile_outputs(docs.unionByName(broken).unionByName(other))
@@ -107,7 +111,7 @@ def a6(spark, sf):
     box = F.array(F.array(key.cast("double"), key % 7 + 0.5), F.array(key + 1.0, key % 7 + 1.5))
     entry = F.struct(F.when(key % 50 != 0, F.concat(F.lit("R"), key)).alias("tile_id"), F.lit("region_01").alias("region"),
                      F.when(key % 2 == 0, box).alias("bbox"), F.when(key % 2 == 1, box).alias("bounds"))
-    docs = tb.table(spark, sf, "orders").groupBy((key % 100).alias("doc")).agg(
+    docs = tb.table(spark, sf, "orders").groupBy(F.expr("o_orderkey div 50").alias("doc")).agg(
         F.to_json(F.collect_list(entry)).alias("json"))
     tiles = files.split_metadata(docs)
     first = F.get("bounds", F.lit(0))
@@ -145,7 +149,7 @@ def a8(spark, sf):
 
 
 FEATURES = LAYER.strip() + ",\n" + NAMES.strip() + """,
-ft AS (SELECT feature_id, 'tile' || (feature_id % 200) AS tile_id, CASE WHEN feature_id % 8 <> 5 THEN feature_id % 7 ELSE 1 END AS class_id,
+ft AS (SELECT feature_id, 'tile' || (feature_id // 50) AS tile_id, CASE WHEN feature_id % 10 = 1 THEN 2 ELSE 1 END AS parts, CASE WHEN feature_id % 8 <> 5 THEN feature_id % 7 ELSE 1 END AS class_id,
               CASE WHEN feature_id % 6 <> 0 THEN (feature_id % 100) / 100e0 ELSE 0 END AS confidence, ((x2 - x1) * (y2 - y1)) * 1e0 AS area
        FROM lay WHERE feature_id % 10 NOT IN (3, 7)),
 fn AS (SELECT ft.*, coalesce(class_name, CAST(class_id AS VARCHAR)) AS class_name FROM ft LEFT JOIN cname USING (class_id))
@@ -153,9 +157,9 @@ fn AS (SELECT ft.*, coalesce(class_name, CAST(class_id AS VARCHAR)) AS class_nam
 
 
 @query("a9_features", with_ctes(FEATURES, select="""
-SELECT tile_id, class_id, class_name, confidence, area FROM fn"""))
+SELECT tile_id, class_id, class_name, confidence, area, parts FROM fn"""))
 def a9(spark, sf):
-    return sinks.features(tile_documents(spark, sf)).select("tile_id", "class_id", "class_name", "confidence", "area")
+    return sinks.features(tile_documents(spark, sf)).select("tile_id", "class_id", "class_name", "confidence", "area", F.size("parts").alias("parts"))
 
 
 @query("a10_class_layers", with_ctes(FEATURES, select="""
@@ -202,7 +206,7 @@ def stored_polygons(spark, sf):
     """Detected polygons of ten runs; some without geometry, class or confidence."""
     key = F.col("feature_id")
     return tb.layer_polygons(spark, sf).select(
-        F.concat(F.lit("run"), key % 10).alias("run_id"), F.concat(F.lit("tile"), key % 200).alias("tile_id"),
+        F.concat(F.lit("run"), key % 10).alias("run_id"), F.concat(F.lit("tile"), F.expr("feature_id div 50")).alias("tile_id"),
         F.when(key % 8 != 5, (key % 6).cast("int")).alias("class_id"), F.when(key % 6 != 0, F.lit(0.5)).alias("confidence"),
         F.lit(None).cast("double").alias("z_mean"), F.lit(1.5).alias("z_max"), F.lit(4.0).alias("area"),
         F.when(key % 9 != 4, F.col("rings")).alias("rings"), F.lit("EPSG:4326").alias("crs"))
@@ -236,9 +240,9 @@ def a14(spark, sf):
 
 
 @query("a15_merged_villages", with_ctes(FEATURES, select="""
-SELECT CASE WHEN feature_id % 2 = 0 THEN 'north' ELSE 'south' END AS village_name, CASE WHEN class_id > 5 THEN 'class_' || class_id ELSE class_name END AS source_layer,
-       count(*) AS features, count(*) FILTER (feature_id % 2 = 0) AS with_note
-FROM fn GROUP BY ALL""").replace("'tile' || (feature_id % 200) AS tile_id, CASE", "'tile' || (feature_id % 200) AS tile_id, CASE"))
+SELECT CASE WHEN feature_id // 50 % 2 = 0 THEN 'north' ELSE 'south' END AS village_name, CASE WHEN class_id > 5 THEN 'class_' || class_id ELSE class_name END AS source_layer,
+       count(*) AS features, count(*) FILTER (feature_id // 50 % 2 = 0) AS with_note
+FROM fn GROUP BY ALL"""))
 def a15(spark, sf):
     root = scratch_path(spark, "villages")
     rows = sinks.features(tile_documents(spark, sf))

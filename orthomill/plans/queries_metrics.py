@@ -142,10 +142,11 @@ def e7(spark, sf):
 
 @query("e8_run_summary", with_ctes(DIAG, select="""
 SELECT run_id, count(*) AS num_tiles, count(*) FILTER (status = 'complete') AS completed, count(*) FILTER (status = 'error') AS errors,
-       count(*) FILTER (status = 'failed') AS failed, round(sum(elapsed_s), 4) AS total_time_s, round(avg(elapsed_s), 4) AS avg_time_per_tile
-FROM diag GROUP BY 1"""))
+       count(*) FILTER (status = 'failed') AS failed, round(sum(elapsed_s), 4) AS total_time_s, round(avg(elapsed_s), 4) AS avg_time_per_tile,
+       'complete' AS status, 'cluster' AS device, 'v2' AS seg_version FROM diag GROUP BY 1"""))
 def e8(spark, sf):
-    return views.run_summary(tb.diagnostics(spark, sf)).withColumn(
+    summary = views.run_summary(tb.diagnostics(spark, sf), device="cluster", versions={"seg": "v2", "det": "v1"})
+    return summary.withColumn("seg_version", F.col("model_versions")["seg"]).drop("model_versions").withColumn(
         "total_time_s", F.round("total_time_s", 4)).withColumn("avg_time_per_tile", F.round("avg_time_per_tile", 4))
 
 
@@ -195,6 +196,17 @@ def e10(spark, sf):
         F.col("bounds.max_y").alias("max_y"))
 
 
+@query("e10_run_header", with_ctes(DIAG, """
+rg AS (SELECT strftime(ts, '%Y-%m-%d') AS run_id, count(*) AS num_regions, count(DISTINCT user_id % 6) AS region_classes FROM events WHERE event_type = 'purchase' GROUP BY 1)""", select="""
+SELECT run_id, count(*) AS num_tiles, count(*) FILTER (status = 'complete') AS processed_tiles, coalesce(max(num_regions), 0) AS num_regions,
+       coalesce(max(region_classes), 0) AS region_classes FROM diag LEFT JOIN rg USING (run_id) GROUP BY 1"""))
+def e10_header(spark, sf):
+    diag = tb.diagnostics(spark, sf)
+    regions = tb.table(spark, sf, "events").filter("event_type = 'purchase'").select(
+        F.date_format("ts", "yyyy-MM-dd").alias("run_id"), F.col("event_id").alias("region_id"), (F.col("user_id") % 6).alias("class_id"))
+    return views.run_header(views.run_summary(diag), regions).select("run_id", "num_tiles", "processed_tiles", "num_regions", "region_classes")
+
+
 @query("e11_class_chart", with_ctes(DETAIL, select="""
 SELECT final_class, count(*) AS tiles FROM rd WHERE final_class > 0 GROUP BY 1"""))
 def e11(spark, sf):
@@ -470,7 +482,7 @@ def f13(spark, sf):
 
 @query("f14_fusion_training")
 def f14(spark, sf):
-    rows = mlprep.checked_record(records(spark, sf)).withColumn("features", F.slice("features", 1, 64))
+    rows = mlprep.checked_record(records(spark, sf))
     _, table = fusion_train.cross_validate(rows, 2, hidden=8, max_iter=10)
     return table
 

@@ -22,20 +22,25 @@ def diagnostics_stream(spark, sf):
     return tb.diagnostics_of(events.withColumn("ts", F.col("ts").cast("timestamp")))
 
 
-@query("g1_run_progress", with_ctes(TILES, """
-tot AS (SELECT run_id, count(DISTINCT tile_id) + CASE WHEN right(run_id, 1) = '5' THEN 3 ELSE 0 END AS tiles_total FROM diag GROUP BY 1),
-dn AS (SELECT run_id, count(*) AS tiles_done FROM tt GROUP BY 1)""", select="""
-SELECT run_id, tiles_total, coalesce(tiles_done, 0) AS tiles_done,
-       CASE WHEN coalesce(tiles_done, 0) = 0 THEN 'IDLE' WHEN tiles_done < tiles_total THEN 'RUNNING' ELSE 'COMPLETED' END AS state
+@query("g1_run_progress", with_ctes(DIAG, """
+dg AS (SELECT * REPLACE (run_id || strftime(ts, ' %H-') || CAST(substr(tile_id, 6) AS BIGINT) % 4 AS run_id) FROM diag),
+tot AS (SELECT run_id, count(DISTINCT tile_id) + CASE WHEN right(run_id, 1) = '3' THEN 3 ELSE 0 END AS tiles_total FROM dg GROUP BY 1),
+bst AS (SELECT run_id, tile_id, max(CASE status WHEN 'complete' THEN 3 WHEN 'skipped' THEN 2 ELSE 1 END) AS k FROM dg WHERE status <> 'failed' GROUP BY 1, 2),
+dn AS (SELECT run_id, count(*) AS tiles_done, count(*) FILTER (k = 1) AS errors FROM bst GROUP BY 1)""", select="""
+SELECT run_id, tiles_total, coalesce(tiles_done, 0) AS tiles_done, coalesce(errors, 0) AS errors,
+       CASE WHEN coalesce(tiles_done, 0) = 0 THEN 'IDLE' WHEN tiles_done < tiles_total THEN 'RUNNING' WHEN errors = tiles_done THEN 'FAILED'
+            ELSE 'COMPLETED' END AS state
 FROM tot LEFT JOIN dn USING (run_id)"""))
 def g1(spark, sf):
-    stream = jobs.run_progress(jobs.unique_tiles(diagnostics_stream(spark, sf), "60 days"))
-    latest = jobs.run_updates(stream, ["run_id"], "progress")
-    runs = tb.diagnostics(spark, sf).groupBy("run_id").agg(F.countDistinct("tile_id").alias("n")).select(
-        "run_id", (F.col("n") + F.when(F.col("run_id").endswith("5"), 3).otherwise(0)).alias("tiles_total"))
-    # The state of a finished run also depends on its error count, which varies with arrival order; totals do not.
-    return jobs.with_run_state(latest.withColumn("errors", F.lit(-1).cast("long")), runs).select(
-        "run_id", "tiles_total", "tiles_done", "state")
+    def hourly(diagnostics):
+        part = F.regexp_extract("tile_id", r"(\d+)$", 1).cast("long") % 4
+        return diagnostics.withColumn("run_id", F.concat("run_id", F.date_format("ts", " HH-"), part))
+
+    states = jobs.run_updates(jobs.tile_states(hourly(diagnostics_stream(spark, sf)), "60 days"), ["day", "run_id", "tile_id"], "states")
+    runs = hourly(tb.diagnostics(spark, sf)).groupBy("run_id").agg(F.countDistinct("tile_id").alias("n")).select(
+        "run_id", (F.col("n") + F.when(F.col("run_id").endswith("3"), 3).otherwise(0)).alias("tiles_total"))
+    return jobs.with_run_state(jobs.run_progress(jobs.final_states(states)), runs).select(
+        "run_id", "tiles_total", "tiles_done", "errors", "state")
 
 
 @query("g2_terminal_tiles", with_ctes(TILES, select="SELECT * FROM tt"))
@@ -95,7 +100,8 @@ def g5(spark, sf):
 
 
 @query("g6_window_throughput", with_ctes(DIAG, select="""
-SELECT strftime(ts, '%Y-%m-%d %H') AS hour, count(*) AS tiles, round(count(*) / 3600, 9) AS tiles_per_s FROM diag WHERE status <> 'failed' GROUP BY 1"""))
+SELECT strftime(ts, '%Y-%m-%d %H') AS hour, count(DISTINCT tile_id) AS tiles, round(count(DISTINCT tile_id) / 3600, 9) AS tiles_per_s
+FROM diag WHERE status <> 'failed' GROUP BY 1"""))
 def g6(spark, sf):
     latest = jobs.run_updates(jobs.tile_throughput(diagnostics_stream(spark, sf)), ["window_start"], "throughput")
     return latest.select(F.date_format("window_start", "yyyy-MM-dd HH").alias("hour"), "tiles",

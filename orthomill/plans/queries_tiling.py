@@ -153,7 +153,7 @@ def b11(spark, sf):
 
 
 @query("b12_variance_summary", with_ctes(VAR, """
-spine AS (SELECT DISTINCT l_partkey % 600 AS source_id FROM lineitem),
+spine AS (SELECT vec_id AS source_id FROM embeddings UNION ALL SELECT -1 - vec_id FROM embeddings WHERE vec_id % 10 = 0),
 d AS (SELECT spine.source_id, CASE WHEN gv IS NULL THEN 'load_error' WHEN gv < 125e0 AND lv < 110e0
              THEN 'low_variance' ELSE 'accepted' END AS reason FROM spine LEFT JOIN st USING (source_id))""", select="""
 SELECT count(*) AS total, count(*) FILTER (reason = 'accepted') AS accepted,
@@ -161,7 +161,8 @@ SELECT count(*) AS total, count(*) FILTER (reason = 'accepted') AS accepted,
 FROM d"""))
 def b12(spark, sf):
     stats = variance.tile_variance(tb.pixels(spark, sf), ["source_id"], 3)
-    spine = tb.table(spark, sf, "lineitem").select((F.col("l_partkey") % 600).alias("source_id")).distinct()
+    images = tb.table(spark, sf, "embeddings").select(F.col("vec_id").alias("source_id"))
+    spine = images.unionByName(images.filter("source_id % 10 = 0").select((-1 - F.col("source_id")).alias("source_id")))  # no such images
     decided = variance.with_load_errors(variance.variance_decision(stats, 125.0, 110.0), spine, ["source_id"])
     return variance.variance_summary(decided)
 

@@ -10,27 +10,29 @@ from pyspark.sql import functions as F
 from orthomill import fixed
 from orthomill.functions import geometry as geo
 from orthomill.functions import ids
-from orthomill.operators.rasterize import export_raster
+from orthomill.operators.rasterize import export_raster, export_raster_frame
 
 QA_COLUMNS = ["tile_id", "precision", "recall", "f1", "mIoU", "num_bboxes", "avg_confidence"]
 
 
 def features(outputs: DataFrame, class_names: Sequence[str] | None = None) -> DataFrame:
-    """One row per polygon of the tile outputs, with parsed rings and defaults filled in.
+    """One row per geometry of the tile outputs, parsed and with defaults filled in.
 
-    Polygons without a readable, non-empty geometry are dropped.
+    POLYGON and MULTIPOLYGON texts, flat or with heights, are read: ``parts`` holds the rings of each part, ``rings`` those of all
+    parts (even-odd filling gives the same cells). Only what has no readable, non-empty geometry is dropped.
     """
     names = list(class_names or fixed.CLASS_NAMES[:fixed.NUM_CLASSES])
     p = F.col("p")
     rows = outputs.select(F.coalesce("tile_id", F.lit("unknown")).alias("tile_id"), F.explode("polygons").alias("p"))
-    parsed = rows.filter(p["geometry_wkt"].isNotNull()).withColumn("rings", geo.from_wkt(p["geometry_wkt"]))
+    parsed = rows.filter(p["geometry_wkt"].isNotNull()).withColumn("parts", geo.parts_from_wkt(p["geometry_wkt"])) \
+        .withColumn("rings", F.flatten("parts"))
     class_id = F.coalesce(p["class_id"], F.lit(fixed.DEFAULT_CLASS))
     return parsed.filter(F.size("rings") > 0).select(
         "tile_id", class_id.alias("class_id"), ids.class_name(class_id, names).alias("class_name"),
         F.coalesce(p["confidence"], F.lit(0.0)).alias("confidence"),
         F.coalesce(p["source_masks"], F.array().cast("array<string>")).alias("source_masks"),
         p["z_mean"].alias("z_mean"), F.coalesce(p["area"], F.lit(0.0)).alias("area"),
-        F.coalesce(p["perimeter"], F.lit(0.0)).alias("perimeter"), "rings")
+        F.coalesce(p["perimeter"], F.lit(0.0)).alias("perimeter"), "rings", "parts")
 
 
 def write_layers(rows: DataFrame, path: str, class_names: Sequence[str] | None = None) -> None:
@@ -62,10 +64,20 @@ def write_json_features(outputs: DataFrame, path: str) -> None:
 
 
 def write_class_raster(polygons: DataFrame, path: str, block: int = 256, order: str = "ord") -> None:
-    """Class raster of all polygons in blocks; a reader of one block opens one folder."""
+    """Class raster of all polygons in blocks; a reader of one block opens one folder.
+
+    Cells are gathered by block before the write, so a block is one file, not one per task. The raster's frame
+    (bounds, size and transform) goes beside it; see :func:`read_raster_frame`.
+    """
     export_raster(polygons, order).withColumn("crow", F.expr(f"row div {block}")) \
-        .withColumn("ccol", F.expr(f"col div {block}")) \
+        .withColumn("ccol", F.expr(f"col div {block}")).repartition("crow", "ccol") \
         .write.mode("overwrite").partitionBy("crow", "ccol").parquet(path)
+    export_raster_frame(polygons).write.mode("overwrite").parquet(f"{path.rstrip('/')}.frame")
+
+
+def read_raster_frame(spark: SparkSession, path: str) -> DataFrame:
+    """The one-row frame written beside a class raster."""
+    return spark.read.parquet(f"{path.rstrip('/')}.frame")
 
 
 def detection_rows(polygons: DataFrame, crs: str | None = None, default_crs: str = fixed.EXPORT_CRS) -> DataFrame:

@@ -44,6 +44,25 @@ def best_attempts(diagnostics: DataFrame) -> DataFrame:
         .select("run_id", "tile_id", "b.*")
 
 
+def tile_states(diagnostics: DataFrame, lateness: str = LATENESS) -> DataFrame:
+    """Best terminal state per run, tile and day of a stream: complete over skipped over error, then the latest attempt.
+
+    The result doesn't depend on the order of arrival; a day's state is dropped once the watermark has passed it.
+    :func:`final_states` merges the days.
+    """
+    rows = terminal_rows(diagnostics.withWatermark("ts", lateness) if diagnostics.isStreaming else diagnostics)
+    rank = F.when(F.col("status") == "complete", 3).when(F.col("status") == "skipped", 2).when(F.col("status") == "error", 1).otherwise(0)
+    return rows.groupBy(F.window("ts", "1 day").alias("w"), "run_id", "tile_id").agg(
+        F.max(F.struct(rank.alias("rank"), "attempt", "ts", "status")).alias("best")).select(
+        F.col("w.start").alias("day"), "run_id", "tile_id", "best")
+
+
+def final_states(states: DataFrame) -> DataFrame:
+    """One row per run and tile, the best of its days: ``run_id, tile_id, status, attempt, ts``."""
+    return states.groupBy("run_id", "tile_id").agg(F.max("best").alias("b")).select(
+        "run_id", "tile_id", "b.status", "b.attempt", "b.ts")
+
+
 def run_progress(tiles: DataFrame) -> DataFrame:
     """Finished tiles per run, by status (unique tiles in)."""
     return tiles.groupBy("run_id").agg(
@@ -75,10 +94,13 @@ def correction_counts(feedback: DataFrame, window: str = "1 day", lateness: str
 
 
 def tile_throughput(diagnostics: DataFrame, window: str = "1 hour", lateness: str = LATENESS) -> DataFrame:
-    """Tiles finished per time window, and per second of it."""
+    """Tiles finished per time window, and per second of it; a tile tried again within a window counts once."""
     rows = diagnostics.withWatermark("ts", lateness) if diagnostics.isStreaming else diagnostics
     span = F.timestamp_diff("SECOND", F.col("w.start"), F.col("w.end"))
-    return terminal_rows(rows).groupBy(F.window("ts", window).alias("w")).agg(F.count(F.lit(1)).alias("tiles")).select(
+    placed = terminal_rows(rows).withColumn("_start", F.window("ts", window)["start"])
+    keys = ["run_id", "tile_id", "_start"]
+    once = placed.dropDuplicatesWithinWatermark(keys) if diagnostics.isStreaming else placed.dropDuplicates(keys)
+    return once.groupBy(F.window("ts", window).alias("w")).agg(F.count(F.lit(1)).alias("tiles")).select(
         F.col("w.start").alias("window_start"), "tiles", (F.col("tiles") / span).alias("tiles_per_s"))
 
 

@@ -189,8 +189,8 @@ def test_box_join_under_skew(spark):
     a, b = boxes(60, 30), boxes(40, 0)
     schema = "id int, x1 double, y1 double, x2 double, y2 double"
     want = {(p[0], q[0]) for p in a for q in b if p[1] <= q[3] and p[3] >= q[1] and p[2] <= q[4] and p[4] >= q[2]}
-    for min_rows in (10**6, 5):
-        got = spatial_join.box_join(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema), 16.0, min_rows=min_rows)
+    for per_salt in (10**6, 5, 1):  # no salts, some keys salted, all salted
+        got = spatial_join.box_join(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema), 16.0, rows_per_salt=per_salt)
         rows = [(r.id, r.r_id) for r in got.collect()]
         assert len(rows) == len(set(rows)) and set(rows) == want
 
