@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from orthomill import fixed
 from orthomill.functions import geometry as geo
 from orthomill.operators.ordering import global_row_number
-from orthomill.operators.spatial_join import box_join
+from orthomill.operators.spatial_join import box_join, polygon_iou
 from orthomill.session import cut_lineage
 
 BOX = ["x1", "y1", "x2", "y2"]
@@ -18,43 +18,51 @@ BOX = ["x1", "y1", "x2", "y2"]
 FOLD_LIMIT = 2_000
 
 
-def _shapes(objects: DataFrame, keys: list[str]) -> DataFrame:
-    return objects.groupBy(*keys, *BOX).agg(F.count(F.lit(1)).alias("n"))
+def _shapes(objects: DataFrame, keys: list[str], shape: list[str]) -> DataFrame:
+    counted = objects.groupBy(*keys, *shape).agg(F.count(F.lit(1)).alias("n"))
+    if shape == BOX:
+        return counted
+    bounds = geo.bounds(F.col(shape[0]))
+    return counted.withColumn("_b", bounds).select("*", *[F.col("_b")[c].alias(c) for c in BOX]).drop("_b").filter(F.col("x1").isNotNull())
 
 
-def _candidates(pred: DataFrame, gt: DataFrame, keys: list[str], iou_min: float, cell: float) -> DataFrame:
-    """Pairs of distinct boxes with enough overlap: copies of a box are one row with a count."""
-    pairs = box_join(_shapes(pred, keys), _shapes(gt, keys), cell, keys)
-    iou = geo.box_iou({c: F.col(c) for c in BOX}, {c: F.col(f"r_{c}") for c in BOX})
+def _candidates(pred: DataFrame, gt: DataFrame, keys: list[str], iou_min: float, cell: float, shape: list[str]) -> DataFrame:
+    """Pairs of distinct shapes with enough overlap: copies of a shape are one row with a count."""
+    pairs = box_join(_shapes(pred, keys, shape), _shapes(gt, keys, shape), cell, keys)
+    if shape == BOX:
+        iou = geo.box_iou({c: F.col(c) for c in BOX}, {c: F.col(f"r_{c}") for c in BOX})
+    else:
+        iou = polygon_iou(F.col(shape[0]), F.col(f"r_{shape[0]}"))
     return pairs.withColumn("iou", iou).filter(F.col("iou") >= iou_min).select(
-        *keys, F.struct(*BOX).alias("p"), F.struct(*[F.col(f"r_{c}").alias(c) for c in BOX]).alias("g"), "iou",
+        *keys, F.struct(*shape).alias("p"), F.struct(*[F.col(f"r_{c}").alias(c) for c in shape]).alias("g"), "iou",
         F.col("n").alias("n_p"), F.col("r_n").alias("n_g"))
 
 
 def match(pred: DataFrame, gt: DataFrame, keys: Sequence[str] = ("tile_id",), iou_min: float = fixed.MATCH_IOU_MIN,
-          cell: float = 64.0, fold_limit: int = FOLD_LIMIT) -> DataFrame:
+          cell: float = 64.0, fold_limit: int = FOLD_LIMIT, rings: str | None = None) -> DataFrame:
     """Matched pairs per key as ``(*keys, iou, matches)``; ``pred``/``gt`` have ``keys, idx`` and a box.
 
-    Pairs are taken best IoU first; equal IoUs go to the lower prediction index,
+    With ``rings`` the objects are polygons in that column and their exact overlap counts. The pairs are worked out once. Pairs are taken best IoU first; equal IoUs go to the lower prediction index,
     then to the lower truth index. Keys with many pairs are matched in rounds with
     the same result, see :func:`match_in_rounds`.
     """
     if iou_min <= 0:
         raise ValueError("iou_min must be positive")
     keys = list(keys)
-    pairs = _candidates(pred, gt, keys, iou_min, cell)
+    shape = [rings] if rings else BOX
+    pairs = cut_lineage(_candidates(pred, gt, keys, iou_min, cell, shape))
     large = pairs.groupBy(*keys).agg(F.sum(F.col("n_p") * F.col("n_g")).alias("_n")) \
         .filter(F.col("_n") > fold_limit).select(*keys)
     if large.isEmpty():
-        return _fold(pairs, pred, gt, keys)
-    small = _fold(pairs.join(large, keys, "left_anti"), pred, gt, keys)
+        return _fold(pairs, pred, gt, keys, shape)
+    small = _fold(pairs.join(large, keys, "left_anti"), pred, gt, keys, shape)
     return small.unionByName(match_in_rounds(pairs.join(large, keys, "left_semi"), pred.join(large, keys, "left_semi"),
-                                             gt.join(large, keys, "left_semi"), keys))
+                                             gt.join(large, keys, "left_semi"), keys, shape=shape))
 
 
-def _fold(pairs: DataFrame, pred: DataFrame, gt: DataFrame, keys: list[str]) -> DataFrame:
-    p = pred.select(*keys, F.struct(*BOX).alias("p"), F.col("idx").alias("i"))
-    g = gt.select(*keys, F.struct(*BOX).alias("g"), F.col("idx").alias("j"))
+def _fold(pairs: DataFrame, pred: DataFrame, gt: DataFrame, keys: list[str], shape: list[str]) -> DataFrame:
+    p = pred.select(*keys, F.struct(*shape).alias("p"), F.col("idx").alias("i"))
+    g = gt.select(*keys, F.struct(*shape).alias("g"), F.col("idx").alias("j"))
     listed = pairs.select(*keys, "p", "g", "iou").join(p, [*keys, "p"]).join(g, [*keys, "g"]).groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct((-F.col("iou")).alias("minus"), "i", "j"))).alias("_pairs"))
     chosen = F.aggregate(
@@ -65,16 +73,16 @@ def _fold(pairs: DataFrame, pred: DataFrame, gt: DataFrame, keys: list[str]) ->
         *keys, (-F.col("m.minus")).alias("iou"), F.lit(1).cast("long").alias("matches"))
 
 
-def _queue(objects: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """Copies of each box in index order: ``(*keys, box, k, idx)``."""
-    numbered = global_row_number(objects.select(*keys, *BOX, "idx"), [*keys, *BOX, "idx"], "_pos")
-    first = numbered.groupBy(*keys, *BOX).agg(F.min("_pos").alias("_first"))
-    return cut_lineage(numbered.join(first, [*keys, *BOX]).select(
-        *keys, F.struct(*BOX).alias(name), (F.col("_pos") - F.col("_first")).alias("k"), "idx"))
+def _queue(objects: DataFrame, keys: list[str], name: str, shape: list[str]) -> DataFrame:
+    """Copies of each shape in index order: ``(*keys, shape, k, idx)``."""
+    numbered = global_row_number(objects.select(*keys, *shape, "idx"), [*keys, *shape, "idx"], "_pos")
+    first = numbered.groupBy(*keys, *shape).agg(F.min("_pos").alias("_first"))
+    return cut_lineage(numbered.join(first, [*keys, *shape]).select(
+        *keys, F.struct(*shape).alias(name), (F.col("_pos") - F.col("_first")).alias("k"), "idx"))
 
 
 def match_in_rounds(pairs: DataFrame, pred: DataFrame, gt: DataFrame, keys: Sequence[str],
-                    max_rounds: int = 1_000_000) -> DataFrame:
+                    max_rounds: int = 1_000_000, shape: Sequence[str] = tuple(BOX)) -> DataFrame:
     """Greedy matching by joins, for keys with any number of objects.
 
     Copies of a box form a queue in index order. In each round a pair of boxes
@@ -83,7 +91,7 @@ def match_in_rounds(pairs: DataFrame, pred: DataFrame, gt: DataFrame, keys: Sequ
     IoU, whole queues are matched at once; otherwise only the two heads.
     """
     keys = list(keys)
-    queue_p, queue_g = _queue(pred, keys, "p"), _queue(gt, keys, "g")
+    queue_p, queue_g = _queue(pred, keys, "p", list(shape)), _queue(gt, keys, "g", list(shape))
     edges = cut_lineage(pairs.select(*keys, "p", "g", "iou"))
 
     def fresh(side: str, count: str, queue: DataFrame) -> DataFrame:

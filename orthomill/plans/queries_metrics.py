@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from orthomill import fixed
+from orthomill.functions import geometry as geo
 from orthomill.operators import (detections, fusion, fusion_train, matching, metrics, mlprep, rasterize, rules,
                                  spatial_join, tiling, views)
 from orthomill.plans.base_sql import DEC, DETS, DIAG, FEEDBACK, HEIGHT_STATS, IDEC, LAYER, LOGITS, MASKS, PTS
@@ -96,6 +97,18 @@ def e3(spark, sf):
                       *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1", "mean_iou")])
 
 
+@query("e3_polygon_matching", with_ctes(MATCH, select="""
+SELECT tile_id, m AS matched, np AS total_pred, ng AS total_gt, round(pc, 6) AS precision, round(rc, 6) AS recall,
+       round(CASE WHEN pc + rc > 0 THEN 2 * pc * rc / (pc + rc) ELSE 0 END, 6) AS f1, round(mi, 6) AS mean_iou FROM pf"""))
+def e3_polygons(spark, sf):
+    corners = [F.col(c).cast("double") for c in ("x1", "y1", "x2", "y2")]
+    pred, gt = (side.withColumn("rings", geo.box_rings(*corners)).drop("x1", "y1", "x2", "y2") for side in match_inputs(spark, sf))
+    spine = tb.table(spark, sf, "orders").select(F.expr("o_orderkey div 150").alias("tile_id")).distinct()
+    out = matching.match_metrics(spine, pred, gt, matching.match(pred, gt, cell=32.0, rings="rings"))
+    return out.select("tile_id", "matched", "total_pred", "total_gt",
+                      *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1", "mean_iou")])
+
+
 @query("e4_pixel_accuracy", with_ctes(MASKS, select="""
 SELECT round(avg(CASE WHEN pred = target THEN 1e0 ELSE 0 END) * 100, 6) AS accuracy_pct FROM msk"""))
 def e4(spark, sf):

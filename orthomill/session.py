@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -20,6 +19,7 @@ def build_session(app: str = "orthomill", cores: str | int = "*", shuffle_partit
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", extra.pop("driver_memory", "12g"))
@@ -32,9 +32,8 @@ def build_session(app: str = "orthomill", cores: str | int = "*", shuffle_partit
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local master may fall back to a temporary folder; on a cluster a
-    missing setting is an error, since a machine-local folder would not
-    survive the loss of an executor.
+    Where it is not set, a session with a local master, which has one machine, gets a folder of its own; on a cluster a
+    missing setting is an error, since a machine-local folder would not survive the loss of an executor.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -42,9 +41,12 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    return os.path.join(tempfile.gettempdir(), "orthomill-checkpoints")
+    own = tempfile.mkdtemp(prefix="orthomill-checkpoints-")
+    spark.sparkContext.setCheckpointDir(own)
+    return own
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

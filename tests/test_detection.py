@@ -36,13 +36,12 @@ def random_boxes(n, seed, hot=0):
 DET = "tile_id int, x1 double, y1 double, x2 double, y2 double, confidence double, class_id int"
 
 
-@pytest.mark.parametrize("limit,heavy", [(0.2, 10**6), (0.45, 5)])
-def test_suppression_fold_and_rounds_agree_with_greedy(spark, monkeypatch, limit, heavy):
-    monkeypatch.setattr(detections, "HEAVY_MIN_ROWS", heavy)  # the second run looks busy cells up by broadcast
+@pytest.mark.parametrize("limit", [0.2, 0.45])
+def test_suppression_fold_and_rounds_agree_with_greedy(spark, limit):
     tiles = {1: random_boxes(16, 1), 2: random_boxes(30, 2, hot=15), 3: random_boxes(1, 3)}
     rows = [(t, *b, 0) for t, boxes in tiles.items() for b in boxes] + [(4, 0.0, 0.0, 5.0, 5.0, 0.1, 0)]
     df = spark.createDataFrame(rows, DET)
-    for fold_limit in (512, 0):  # everything folded, everything in rounds
+    for fold_limit in (512, 20, 0):  # everything folded, small and large groups in one table, everything in rounds
         got = detections.suppress(df, 0.25, limit, fold_limit=fold_limit).collect()
         for t, boxes in tiles.items():
             assert {(r.x1, r.y1, r.x2, r.y2, r.confidence) for r in got if r.tile_id == t} == greedy(boxes, limit)

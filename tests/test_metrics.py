@@ -74,13 +74,28 @@ def test_matching_fold_and_rounds_agree_with_greedy(spark):
         tiles[t] = (boxes(14, t % 3), boxes(12, t % 2))
     pred = spark.createDataFrame([(t, i, *b) for t, (p, _) in tiles.items() for i, b in enumerate(p)], OBJ)
     gt = spark.createDataFrame([(t, i, *b) for t, (_, g) in tiles.items() for i, b in enumerate(g)], OBJ)
-    for limit in (10_000, 0):
+    for limit in (10_000, 60, 0):  # all folded, both kinds in one table, all in rounds
         got = matching.match(pred, gt, cell=8.0, fold_limit=limit).collect()
         for t, (p, g) in tiles.items():
             found = sorted(round(r.iou, 9) for r in got if r.tile_id == t for _ in range(r.matches))
             assert found == greedy(p, g)
 
 
+def test_polygons_match_by_their_exact_overlap(spark):
+    ring = "tile_id int, idx int, rings array<array<struct<x:double,y:double>>>"
+    def poly(*pts):
+        return [[tuple(map(float, p)) for p in (*pts, pts[0])]]
+    lower, upper = poly((0, 0), (8, 0), (0, 8)), poly((8, 8), (0, 8), (8, 0))
+    square = poly((0, 0), (8, 0), (8, 8), (0, 8))
+    # The triangles share a bounding box with each other but no area; each covers half of the square.
+    pred = spark.createDataFrame([(1, 0, lower), (1, 1, upper), (2, 0, lower), (2, 1, lower)], ring)
+    gt = spark.createDataFrame([(1, 0, upper), (1, 1, square), (2, 0, upper), (2, 1, lower), (2, 2, lower)], ring)
+    for limit in (100, 0):
+        got = matching.match(pred, gt, iou_min=0.5, cell=4.0, fold_limit=limit, rings="rings").collect()
+        found = {t: sorted(round(r.iou, 6) for r in got if r.tile_id == t for _ in range(r.matches)) for t in (1, 2)}
+        assert found == {1: [0.5, 1.0], 2: [1.0, 1.0]}
+
+
 def test_match_metrics_edges(spark):
     pred = spark.createDataFrame([(1, 0, 0.0, 0.0, 4.0, 4.0), (2, 0, 0.0, 0.0, 1.0, 1.0)], OBJ)
     gt = spark.createDataFrame([(1, 0, 0.0, 0.0, 4.0, 4.0), (1, 1, 0.0, 1.0, 4.0, 5.0), (3, 0, 0.0, 0.0, 1.0, 1.0)], OBJ)

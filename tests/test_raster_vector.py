@@ -45,14 +45,12 @@ def test_labels_against_flood_fill(spark, eight, chunk):
         assert {(r.row, r.col): r.component for r in got if r.source_id == key} == flood(a, eight)
 
 
-def test_components_of_a_star_and_a_path(spark, monkeypatch):
+def test_components_of_a_star_and_a_path(spark):
     star = [("s", 0, i) for i in range(1, 300)]
     path = [("p", i, i + 1) for i in range(500, 560)]
     edges = spark.createDataFrame(star + path + [("p", 1, 0)], "g string, u long, v long")
-    for fold, heavy in ((10**6, 10**6), (100, 10**6), (0, 50)):  # bounded groups, the star in rounds, its centre a heavy key
-        monkeypatch.setattr(components, "HEAVY_MIN_ROWS", heavy)
-        got = components.connected_components(edges, ["g"], fold).groupBy("g", "component").count().collect()
-        assert {(r.g, r.component, r["count"]) for r in got} == {("s", 0, 300), ("p", 500, 61), ("p", 0, 2)}
+    got = components.connected_components(edges, ["g"]).groupBy("g", "component").count().collect()
+    assert {(r.g, r.component, r["count"]) for r in got} == {("s", 0, 300), ("p", 500, 61), ("p", 0, 2)}
 
 
 def ring_mask():
@@ -67,10 +65,8 @@ def random_masks():
     return {f"n{i}": rng.integers(0, 3, (9, 10)) for i in range(4)}
 
 
-@pytest.mark.parametrize("whole,fold", [(True, None), (False, 60)])
-def test_polygonize_round_trip(spark, monkeypatch, whole, fold):
-    if fold is not None:  # some components stitched as groups, the larger ones traced by joins
-        monkeypatch.setattr(vectorize.component_polygons, "__defaults__", (fold,))
+@pytest.mark.parametrize("whole", [True, False])
+def test_polygonize_round_trip(spark, whole):
     masks = {**random_masks(), "ring": ring_mask(), "diag": np.eye(8, dtype=int)}
     cells = cells_frame(spark, masks)
     shapes = vectorize.polygonize(cells, ["source_id"], None, min_area=0.0, tolerance=0.0, whole_tile=whole, chunk=4).cache()
