@@ -203,7 +203,7 @@ def scores(page: Page) -> dict[int, int]:
         if worth <= 0:
             continue
         own = page.nodes[leaf].name in ("div", "section", "td", "article", "main", "body", "center")
-        first = _container(page, leaf if own else page.nodes[leaf].parent)
+        first = _container(page, leaf if own else max(0, page.nodes[leaf].parent))
         second = _container(page, page.nodes[first].parent) if first > 0 else 0
         raw[first] = raw.get(first, 0) + worth
         if second != first:
