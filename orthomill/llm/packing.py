@@ -7,6 +7,7 @@ level 0. When the rows are used up, open windows top each other up, since texts
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -18,52 +19,76 @@ from pyspark.sql import functions as F
 
 #: Fixed values of the packed form.
 WINDOW, END_ID = 4096, 2
-#: Words a worker remembers the ids of; any further word is encoded each time.
-REMEMBERED = 300_000
+#: Words, and words stripped of case and marks, that a worker remembers the ids of; any further one is encoded each time.
+REMEMBERED, REMEMBERED_BODIES = 250_000, 750_000
 
 
 class Encoder:
     """Ids of a text as little-endian unsigned 32-bit bytes, word by word.
 
     Words end at ASCII white space, which the tokenizer drops and never encodes across, so a text's ids
-    are its words' ids in order. Frequent words are remembered, whole and stripped of marks.
+    are its words' ids in order. Words are remembered, whole and without case and marks. A text's
+    unknown words of letters only are encoded in one call: each ends at the one id whose token closes a word.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-        # In lower-case letters of these alphabets only, a word and the marks after it are encoded apart.
+        self.tokenizer, self.known, self.bodies = Tokenizer.from_file(path), {}, {}
+        # Of letters of these alphabets and marks only, a word and the marks after it are encoded apart.
         self.marks = {m: self._ids(m) for m in (".", ",", "|", "!!", "###", "***", "$$$", "%%%", "&&&")}
-
-    def _ids(self, word: str) -> bytes:
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def word(self, word: str) -> bytes:
-        """The ids of a word not remembered as it stands."""
-        body, mark = word, b""
-        if not word.isalpha():
-            for m, ids in self.marks.items():
-                if word.endswith(m) and word[:-len(m)].isalpha():
-                    body, mark = word[:-len(m)], ids
-                    break
-        lower = body.lower() if body.isalpha() and max(body) < "ƀ" else body
-        ids = self.known.get(lower)
-        if ids is None:
-            ids = self._ids(lower)
-            self._remember(lower, ids)
-        ids += mark
-        self._remember(word, ids)
-        return ids
-
-    def _remember(self, word: str, ids: bytes) -> None:
-        if len(self.known) < REMEMBERED and len(word) < 64:
-            self.known[word] = ids
+        self.closing = {i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")}
+
+    def _ids(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _split(self, word: str) -> tuple[str, bytes]:
+        """A word's lower-case letters and the ids of the marks after them, or the word as it is."""
+        if word.isalpha():
+            return (word.lower(), b"") if max(word) < "ƀ" else (word, b"")
+        for m, ids in self.marks.items():
+            if word.endswith(m) and word[:-len(m)].isalpha():
+                body = word[:-len(m)]
+                return (body.lower(), ids) if max(body) < "ƀ" else (body, ids)
+        return word, b""
+
+    def _encode_new(self, bodies: list[str]) -> dict[str, bytes]:
+        letters = [b for b in bodies if b.isalpha()]
+        out, word, flat = {}, array("I"), []
+        for i in self.tokenizer.encode(" ".join(letters), add_special_tokens=False).ids if letters else ():
+            word.append(i)
+            if i in self.closing:
+                flat.append(word.tobytes())
+                word = array("I")
+        if len(flat) == len(letters) and not word:
+            out.update(zip(letters, flat))
+        for b in bodies:
+            if b not in out:
+                out[b] = self._ids(b)
+        return out
+
+    def _learn(self, words: set[str]) -> dict[str, bytes]:
+        """The ids of words not remembered as they stand."""
+        split = {w: self._split(w) for w in words}
+        new = self._encode_new(list({b for b, _ in split.values() if b not in self.bodies}))
+        out = {w: (self.bodies.get(b) or new.get(b, b"")) + mark for w, (b, mark) in split.items()}
+        if len(self.bodies) < REMEMBERED_BODIES:
+            self.bodies.update((b, ids) for b, ids in new.items() if len(b) < 64)
+        if len(self.known) < REMEMBERED:
+            self.known.update((w, ids) for w, ids in out.items() if len(w) < 64)
+        return out
 
     def encode(self, text: bytes) -> bytes:
-        known, rest = self.known, self.word
         # Splitting bytes takes ASCII white space only, unlike splitting a string.
-        words = str(b"\x00".join(text.split()), "utf-8").split("\x00") if b"\x00" not in text else [str(w, "utf-8") for w in text.split()]
-        return b"".join([known.get(w) or rest(w) for w in words if w])
+        if b"\x00" in text:
+            words = [str(w, "utf-8") for w in text.split()]
+        else:
+            words = [w for w in str(b"\x00".join(text.split()), "utf-8").split("\x00") if w]
+        get = self.known.get
+        ids = [get(w) for w in words]
+        if None in ids:
+            learned = self._learn({w for w, i in zip(words, ids) if i is None})
+            ids = [learned[w] if i is None else i for w, i in zip(words, ids)]
+        return b"".join(ids)
 
 
 @cache
