@@ -54,11 +54,11 @@ def tile_polygons(decisions: DataFrame, mask: DataFrame, seg_confidence: DataFra
     covered, parts = None, []
     if refined is not None:
         cells = refined_cells(decisions, refined, tile).withColumn("_on", F.lit(1))
-        shapes = polygonize(cells.select(tile, "cand", "row", "col", "_on"), [tile, "cand"], transforms, "_on", min_area, tolerance)
+        shapes = polygonize(cells.select(tile, "cand", "row", "col", "_on"), [tile, "cand"], transforms, "_on", min_area, tolerance, whole_tile=True)
         info = decisions.select(tile, "class_id", F.col("confidence_val").alias("confidence"))
         covered = shapes.join(info, tile).withColumn("source_masks", F.array(F.lit(fixed.REFINED_TAG)))
         parts.append(covered.select(*columns))
-    shapes = polygonize(segmentation_cells(decisions, mask, covered, tile), [tile], transforms, "class_id", min_area, tolerance)
+    shapes = polygonize(segmentation_cells(decisions, mask, covered, tile), [tile], transforms, "class_id", min_area, tolerance, whole_tile=True)
     parts.append(shapes.join(seg_confidence.select(tile, "confidence"), tile, "left")
                  .withColumn("confidence", F.coalesce("confidence", F.lit(fixed.DEFAULT_CONFIDENCE)))
                  .withColumn("source_masks", F.array(F.lit(fixed.SEG_TAG))).select(*columns))

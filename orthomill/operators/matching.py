@@ -32,6 +32,11 @@ def _candidates(pred: DataFrame, gt: DataFrame, keys: list[str], iou_min: float,
     if shape == BOX:
         iou = geo.box_iou({c: F.col(c) for c in BOX}, {c: F.col(f"r_{c}") for c in BOX})
     else:
+        # What the shared box and the areas allow at most is tested first; few pairs need their exact overlap.
+        a, b = geo.polygon_area(F.col(shape[0])), geo.polygon_area(F.col(f"r_{shape[0]}"))
+        box = (F.least("x2", "r_x2") - F.greatest("x1", "r_x1")) * (F.least("y2", "r_y2") - F.greatest("y1", "r_y1"))
+        most = F.least(box, a, b)
+        pairs = pairs.filter(most * (1 + iou_min) >= (a + b) * iou_min * (1 - 1e-9))
         iou = polygon_iou(F.col(shape[0]), F.col(f"r_{shape[0]}"))
     return pairs.withColumn("iou", iou).filter(F.col("iou") >= iou_min).select(
         *keys, F.struct(*shape).alias("p"), F.struct(*[F.col(f"r_{c}").alias(c) for c in shape]).alias("g"), "iou",

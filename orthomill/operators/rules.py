@@ -93,14 +93,12 @@ def _height_measures(samples: DataFrame, tile: str, source: str, bounded: bool)
 
 
 def heights_from_points(points: DataFrame, mask: DataFrame, transform: Column | None = None,
-                        tile: str = "tile_id", bounded: bool = True) -> DataFrame:
+                        tile: str = "tile_id", bounded: bool = False) -> DataFrame:
     """Height statistics of the points that fall on mask cells.
 
     Points are counted per (cell, height) before the join, and per height after
-    it, so a tile with very many points is combined early; the exact median sees
-    one entry per distinct height. Heights stored with a fixed step have few
-    distinct values; otherwise pass ``bounded=False``, and no tile's heights meet in
-    one task.
+    it, so a tile with very many points is combined early, and no tile's heights meet in one task. Heights stored with
+    a fixed step have few distinct values: ``bounded`` says so, and the exact median sees one entry of each.
     """
     if transform is None:
         col, row = F.col("x"), F.col("y")

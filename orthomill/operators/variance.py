@@ -48,13 +48,13 @@ def global_variance(pixels: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def tile_variance(pixels: DataFrame, keys: Sequence[str], window: int = fixed.LOCAL_WINDOW,
-                  whole_tile: bool = True) -> DataFrame:
+                  whole_tile: bool = False) -> DataFrame:
     """Global variance and median block variance per tile, in one pass over the pixels.
 
     ``row``/``col`` count from the tile's corner. Only full ``window`` x
     ``window`` blocks enter the median; a tile too small for any falls back to
-    its global variance. With ``whole_tile=False`` the keys are rasters of any size:
-    the block table is materialised and its median taken without one-task groups.
+    its global variance. The keys are rasters of any size: the block table is materialised and its
+    median taken without one-task groups. ``whole_tile`` says that every key is tile-sized and takes its median in one go.
     """
     v = gray_sum()
     blocks = pixels.groupBy(*keys, F.expr(f"row div {window}").alias("_br"), F.expr(f"col div {window}").alias("_bc")) \

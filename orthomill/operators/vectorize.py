@@ -203,14 +203,13 @@ def geo_reference(rings: Column, transform: Column) -> Column:
 
 def polygonize(cells: DataFrame, keys: Sequence[str], transforms: DataFrame | None = None, value: str = "class_id",
                min_area: float = fixed.MIN_POLYGON_AREA, tolerance: float = fixed.SIMPLIFY_TOLERANCE,
-               whole_tile: bool = True, chunk: int = 256) -> DataFrame:
+               whole_tile: bool = False, chunk: int = 256) -> DataFrame:
     """Class cells of tile masks to polygons with pixel count, area, perimeter and validity.
 
     4-connected; holes are kept; area is tested before simplification, measures
     are taken after it. ``transforms`` holds one ``transform`` per key (or per
-    leading key); without it the result stays in pixel space. With ``whole_tile`` a
-    key's mask is tile-sized; otherwise components are labelled block-wise and rings
-    traced by joins.
+    leading key); without it the result stays in pixel space. Components are labelled
+    block-wise; ``whole_tile`` says that every key's mask is tile-sized and labels it as one block.
     """
     keys = list(keys)
     labelled = label_cells(cells.filter(F.col(value) > 0), keys, value, 4, None if whole_tile else chunk)
@@ -230,8 +229,22 @@ def polygonize(cells: DataFrame, keys: Sequence[str], transforms: DataFrame | No
 
 
 def is_valid(rings: Column) -> Column:
-    """Closed rings of at least four points around a positive area."""
-    return F.coalesce(_closed(rings) & (geo.polygon_area(rings) > 0), F.lit(False))
+    """Closed rings of at least four points without crossing edges around a positive area."""
+    return F.coalesce(_closed(rings) & (geo.polygon_area(rings) > 0) & ~F.exists(rings, _crosses_itself), F.lit(False))
+
+
+def _crosses_itself(ring: Column) -> Column:
+    """Whether two edges of a closed ring cross properly; every pair of edges is tested once."""
+    def side(a: Column, b: Column, c: Column) -> Column:
+        return (b["x"] - a["x"]) * (c["y"] - a["y"]) - (b["y"] - a["y"]) * (c["x"] - a["x"])
+
+    def crossing(i: Column, j: Column) -> Column:
+        a, b, c, d = F.get(ring, i), F.get(ring, i + 1), F.get(ring, j), F.get(ring, j + 1)
+        return (j > i + 1) & (side(a, b, c) * side(a, b, d) < 0) & (side(c, d, a) * side(c, d, b) < 0)
+
+    edges = F.sequence(F.lit(0), F.size(ring) - 2)
+    # A triangle cannot cross itself, and a ring too short for one has no edges to test.
+    return (F.size(ring) > 4) & F.exists(edges, lambda i: F.exists(edges, lambda j: crossing(i, j)))
 
 
 def _closed(rings: Column) -> Column:
@@ -240,11 +253,15 @@ def _closed(rings: Column) -> Column:
 
 
 def sanitize(parts: DataFrame, keys: Sequence[str], column: str = "parts") -> DataFrame:
-    """Polygon parts to one polygon per key: invalid parts dropped, the largest kept, nothing left = no row."""
-    exploded = parts.select(*keys, F.posexplode_outer(column).alias("pos", "rings")) \
-        .withColumn("_area", geo.polygon_area(F.col("rings"))).filter((F.col("_area") > 0) & _closed(F.col("rings")))
-    rank = F.struct("_area", (-F.col("pos")).alias("first"))
-    return exploded.groupBy(*keys).agg(F.max_by("rings", rank).alias("rings"))
+    """Polygon parts, one row per key, to one polygon per key: invalid parts dropped, the largest kept, the first of equal ones, nothing left = no row.
+
+    A part is picked inside its row, so nothing is shuffled.
+    """
+    measured = F.transform(column, lambda rings, i: F.struct(
+        geo.polygon_area(rings).alias("area"), (-i).alias("first"), rings.alias("rings")))
+    ranked = F.filter(measured, lambda p: (p["area"] > 0) & _closed(p["rings"]) & ~F.exists(p["rings"], _crosses_itself))
+    # Exploded rather than filtered: a filter would be pushed down and work everything out twice.
+    return parts.select(*keys, F.explode(F.filter(F.array(F.array_max(ranked)["rings"]), lambda r: r.isNotNull())).alias("rings"))
 
 
 def _douglas_peucker(pts: np.ndarray, tolerance: float) -> np.ndarray:
@@ -303,11 +320,10 @@ def outer_vertices(rings: Column) -> Column:
     return F.when(rings.isNull() | (F.size(rings) == 0), F.lit(0)).otherwise(F.size(F.get(rings, 0)))
 
 
-def simplification_report(before: DataFrame, after: DataFrame, column: str = "rings") -> DataFrame:
-    """Outer-ring vertices before and after, and the reduction in percent."""
-    n_before = before.agg(F.coalesce(F.sum(outer_vertices(F.col(column))), F.lit(0)).alias("vertices_before"))
-    n_after = after.agg(F.coalesce(F.sum(outer_vertices(F.col(column))), F.lit(0)).alias("vertices_after"))
+def simplification_report(polygons: DataFrame, tolerance: float, column: str = "rings") -> DataFrame:
+    """Outer-ring vertices before and after simplification, and the reduction in percent; one pass over the polygons."""
+    both = simplify(polygons.select(F.col(column), F.col(column).alias("_after")), tolerance, "_after")
+    counts = both.agg(*[F.coalesce(F.sum(outer_vertices(F.col(c))), F.lit(0)).alias(name)
+                        for c, name in ((column, "vertices_before"), ("_after", "vertices_after"))])
     share = 1 - F.col("vertices_after") / F.greatest("vertices_before", F.lit(1))
-    tagged = n_before.withColumn("_k", F.lit(1)).join(n_after.withColumn("_k", F.lit(1)), "_k").drop("_k")
-    return tagged.withColumn("reduction_pct", share * 100)
-
+    return counts.withColumn("reduction_pct", share * 100)

@@ -249,7 +249,7 @@ def heights(spark, sf):
     pts = tb.points(spark, sf)
     on_mask = pts.select("tile_id", F.floor("y").alias("row"), F.floor("x").alias("col")) \
         .filter("(col * 3 + row) % 4 <> 0")
-    return rules.heights_from_points(pts, on_mask)
+    return rules.heights_from_points(pts, on_mask, bounded=True)
 
 
 @query("d14_heights", with_ctes(HEIGHT, select="""

@@ -9,7 +9,6 @@ from orthomill.functions import geometry as geo
 from orthomill.operators import components, rasterize, spatial_join, tiling, vectorize, views
 from orthomill.plans.base_sql import LAYER, MASKS, RAS
 from orthomill.plans.registry import query, with_ctes
-from orthomill.session import spread
 from orthomill.sources import layers
 from orthomill.sources import testbed as tb
 
@@ -118,9 +117,7 @@ def c7(spark, sf):
         return F.format_string("((%d %d, %d %d, %d %d, %d %d, %d %d))", x, y, x + s, y, x + s, y + s, x, y + s, x, y)
 
     text = F.concat(F.lit("MULTIPOLYGON ("), F.concat_ws(", ", part(0), part(1), part(2)), F.lit(")"))
-    # Parsing costs far more than the bytes suggest; the grouping by key then needs no second shuffle.
-    parts = spread(tb.table(spark, sf, "orders"), "o_orderkey").select(
-        "o_orderkey", geo.parts_from_wkt(text).alias("parts"))
+    parts = tb.table(spark, sf, "orders").select("o_orderkey", geo.parts_from_wkt(text).alias("parts"))
     return vectorize.sanitize(parts, ["o_orderkey"]).select(
         "o_orderkey", geo.polygon_area(F.col("rings")).alias("area"))
 
@@ -128,7 +125,7 @@ def c7(spark, sf):
 @query("c8_simplified_shapes")
 def c8(spark, sf):
     cells = tb.masks(spark, sf).select("source_id", "row", "col", (F.col("b0") % 2).alias("class_id"))
-    shapes = vectorize.polygonize(cells, ["source_id"], None, min_area=1.0, tolerance=0.0)
+    shapes = vectorize.polygonize(cells, ["source_id"], None, min_area=1.0, tolerance=0.0, whole_tile=True)
     return vectorize.simplify(shapes, 1.0).select(
         "source_id", "component", vectorize.outer_vertices(F.col("rings")).alias("vertices"),
         F.round(geo.polygon_area(F.col("rings")), 6).alias("area"))
@@ -217,7 +214,7 @@ def c12(spark, sf):
     affine = F.array(*[F.lit(v) for v in (0.5, 0.0, 1000.0, 0.0, -0.5, 2000.0)])
     cells = tb.masks(spark, sf).select("source_id", "row", "col", F.col("pred").alias("class_id"))
     transforms = tb.table(spark, sf, "embeddings").select(F.col("vec_id").alias("source_id"), affine.alias("transform"))
-    shapes = vectorize.polygonize(cells, ["source_id"], transforms, min_area=0.75, tolerance=0.0)
+    shapes = vectorize.polygonize(cells, ["source_id"], transforms, min_area=0.75, tolerance=0.0, whole_tile=True)
     return shapes.select(
         "source_id", "class_id", F.floor(F.col("component") / components.ROW_STEP).alias("first_row"),
         (F.col("component") % components.ROW_STEP).alias("first_col"), "area", "perimeter", "valid")
@@ -361,5 +358,5 @@ def a12(spark, sf):
 @query("e14_simplification_report")
 def e14(spark, sf):
     cells = tb.masks(spark, sf).select("source_id", "row", "col", (F.col("b0") % 2).alias("class_id"))
-    shapes = vectorize.polygonize(cells, ["source_id"], None, min_area=1.0, tolerance=0.0)
-    return vectorize.simplification_report(shapes, vectorize.simplify(shapes, 1.0))
+    shapes = vectorize.polygonize(cells, ["source_id"], None, min_area=1.0, tolerance=0.0, whole_tile=True)
+    return vectorize.simplification_report(shapes, 1.0)

@@ -470,7 +470,7 @@ def records(spark, sf):
         F.col("source_id").alias("tile_id"), F.when(F.col("source_id") % 4 == 0, 0).otherwise(F.col("label") % 6)
         .alias("class_id")))
     pts = tb.points(spark, sf)
-    heights = rules.heights_from_points(pts, pts.select("tile_id", F.floor("y").alias("row"), F.floor("x").alias("col")))
+    heights = rules.heights_from_points(pts, pts.select("tile_id", F.floor("y").alias("row"), F.floor("x").alias("col")), bounded=True)
     return mlprep.fusion_records(tiles, seg, detections.feature_vectors(tiles, dets), detections.summary(dets), heights,
                                  stats, truth)
 

@@ -122,7 +122,7 @@ def b9(spark, sf):
 @query("b10_local_variance", with_ctes(VAR, select="""
 SELECT source_id, round(gv, 6) AS global_variance, round(lv, 6) AS local_variance FROM st"""))
 def b10(spark, sf):
-    return variance.tile_variance(tb.pixels(spark, sf), ["source_id"], 3).select(
+    return variance.tile_variance(tb.pixels(spark, sf), ["source_id"], 3, whole_tile=True).select(
         "source_id", F.round("global_variance", 6).alias("global_variance"),
         F.round("local_variance", 6).alias("local_variance"))
 
@@ -135,7 +135,7 @@ blk AS (SELECT source_id, CAST(count(*) * sum(v * v) - sum(v) * sum(v) AS DOUBLE
 loc AS (SELECT source_id, median(bv) AS lv FROM blk GROUP BY 1)""", select="""
 SELECT source_id, round(gv, 6) AS global_variance, round(lv, 6) AS local_variance FROM gl JOIN loc USING (source_id)"""))
 def b10_rasters(spark, sf):
-    return variance.tile_variance(tb.mosaic_pixels(spark, sf), ["source_id"], 5, whole_tile=False).select(
+    return variance.tile_variance(tb.mosaic_pixels(spark, sf), ["source_id"], 5).select(
         "source_id", F.round("global_variance", 6).alias("global_variance"),
         F.round("local_variance", 6).alias("local_variance"))
 
@@ -146,7 +146,7 @@ SELECT source_id, round(gv, 6) AS global_variance, round(lv, 6) AS local_varianc
        CASE WHEN gv < 125e0 AND lv < 110e0 THEN 'low_variance' ELSE 'accepted' END AS reason
 FROM st"""))
 def b11(spark, sf):
-    stats = variance.tile_variance(tb.pixels(spark, sf), ["source_id"], 3)
+    stats = variance.tile_variance(tb.pixels(spark, sf), ["source_id"], 3, whole_tile=True)
     return variance.variance_decision(stats, 125.0, 110.0).select(
         "source_id", F.round("global_variance", 6).alias("global_variance"),
         F.round("local_variance", 6).alias("local_variance"), "accepted", "reason")
@@ -160,7 +160,7 @@ SELECT count(*) AS total, count(*) FILTER (reason = 'accepted') AS accepted,
        count(*) FILTER (reason <> 'accepted') AS rejected, count(*) FILTER (reason = 'load_error') AS load_errors
 FROM d"""))
 def b12(spark, sf):
-    stats = variance.tile_variance(tb.pixels(spark, sf), ["source_id"], 3)
+    stats = variance.tile_variance(tb.pixels(spark, sf), ["source_id"], 3, whole_tile=True)
     images = tb.table(spark, sf, "embeddings").select(F.col("vec_id").alias("source_id"))
     spine = images.unionByName(images.filter("source_id % 10 = 0").select((-1 - F.col("source_id")).alias("source_id")))  # no such images
     decided = variance.with_load_errors(variance.variance_decision(stats, 125.0, 110.0), spine, ["source_id"])

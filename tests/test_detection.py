@@ -159,7 +159,7 @@ def test_heights_from_points_and_sources(spark):
     r = h.first()
     assert (r.z_mean, r.z_median, r.z_min, r.z_max) == (3.0, 2.0, 1.0, 7.0)
     assert r.z_std == pytest.approx(np.std([1, 2, 2, 7]))
-    assert tuple(rules.heights_from_points(pts, mask, bounded=False).first()) == tuple(r)
+    assert tuple(rules.heights_from_points(pts, mask, bounded=True).first()) == tuple(r)
     moved = pts.withColumn("x", F.col("x") * 2 + 100).withColumn("y", 50 - F.col("y") * 2)
     affine = F.array(*[F.lit(v) for v in (2.0, 0.0, 100.0, 0.0, -2.0, 50.0)])
     assert tuple(rules.heights_from_points(moved, mask, affine).first()) == tuple(r)

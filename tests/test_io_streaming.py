@@ -142,3 +142,36 @@ def test_flagship_plan(spark, sf):
     docs = preprocess.tile_documents(tiles).collect()
     assert docs and all(d.tile_size == 32 and len(d.transform) == 6 for d in docs)
     assert sorted(d.tile_id for d in docs)[0].endswith("_t00000")
+
+
+def test_features_keep_every_part_and_drop_heights(spark):
+    from orthomill.sources import sinks
+    texts = ["POLYGON ((0 0, 1 0, 1 1, 0 0))", "MULTIPOLYGON (((0 0, 1 0, 1 1, 0 0)), ((5 5, 6 5, 6 6, 5 5)))", "POLYGON Z ((0 0 7, 1 0 7, 1 1 7, 0 0 7))",
+             "MULTIPOLYGON Z (((0 0 7, 1 0 7, 1 1 7, 0 0 7)))", "POLYGON EMPTY", "POLYGON ((0 0, 1", None]
+    item = "struct<class_id:int,geometry_wkt:string,confidence:double,source_masks:array<string>,z_mean:double,area:double,perimeter:double>"
+    docs = spark.createDataFrame([("t", [(1, t, 0.5, ["swin"], None, 1.0, 1.0) for t in texts])], f"tile_id string, polygons array<{item}>")
+    got = sinks.features(docs).collect()
+    assert [(len(r.parts), len(r.rings)) for r in got] == [(1, 1), (2, 2), (1, 1), (1, 1)] and got[2].rings[0][1] == (1.0, 0.0)
+
+
+def test_class_raster_has_a_frame_and_one_file_per_block(spark, tmp_path):
+    import glob
+    from orthomill.sources import sinks
+    square = [[(float(x), float(y)) for x, y in ((0, 0), (8, 0), (8, 4), (0, 4), (0, 0))]]
+    rows = spark.createDataFrame([(1, 1, square), (2, 3, square)], "ord int, class_id int, rings array<array<struct<x:double,y:double>>>")
+    sinks.write_class_raster(rows, f"{tmp_path}/r", 256)
+    frame = sinks.read_raster_frame(spark, f"{tmp_path}/r").first()
+    assert (frame.min_x, frame.max_y, frame.width, frame.height) == (0.0, 4.0, 800, 400) and frame.transform == [0.01, 0.0, 0.0, 0.0, -0.01, 4.0]
+    folders = glob.glob(f"{tmp_path}/r/crow=*/ccol=*")
+    assert len(folders) == 8 and all(len(glob.glob(f"{f}/*.parquet")) == 1 for f in folders)
+
+
+def test_run_state_does_not_depend_on_arrival(spark):
+    from datetime import datetime
+    from orthomill.streaming import jobs
+    rows = [("r", "a", "error", 0), ("r", "a", "complete", 1), ("r", "b", "failed", 0), ("r", "b", "skipped", 1), ("f", "a", "error", 0), ("f", "b", "error", 1), ("f", "b", "failed", 2)]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame([(*r, datetime(2024, 1, 1 + i % 2, 5)) for i, r in enumerate(order)], "run_id string, tile_id string, status string, attempt int, ts timestamp")
+        runs = spark.createDataFrame([("r", 2), ("f", 2), ("n", 1)], "run_id string, tiles_total long")
+        got = jobs.with_run_state(jobs.run_progress(jobs.final_states(jobs.tile_states(df))), runs).collect()
+        assert {r.run_id: r.state for r in got} == {"r": "COMPLETED", "f": "FAILED", "n": "IDLE"}

@@ -98,8 +98,7 @@ def test_transform_area_and_simplify(spark):
     affine = spark.createDataFrame([("stairs", [2.0, 0.0, 10.0, 0.0, -2.0, 50.0])], "source_id string, transform array<double>")
     raw = vectorize.polygonize(cells, ["source_id"], affine, tolerance=0.0)
     assert raw.first().area == 4.0 * a.sum()
-    smooth = vectorize.simplify(raw, 3.0)
-    report = vectorize.simplification_report(raw, smooth).first()
+    report = vectorize.simplification_report(raw, 3.0).first()
     assert report.vertices_after < report.vertices_before and 0 < report.reduction_pct < 100
     assert vectorize.simplify(raw, 0.0) is raw
     assert vectorize.polygonize(cells, ["source_id"], affine, min_area=4.0 * a.sum() + 1).count() == 0
@@ -122,10 +121,11 @@ def test_wkt_text(spark):
 
 def test_sanitize_keeps_largest_valid_part(spark):
     rows = [("two", "MULTIPOLYGON (((0 0, 1 0, 1 1, 0 1, 0 0)), ((5 5, 8 5, 8 8, 5 8, 5 5)))"), ("line", "POLYGON ((0 0, 1 0, 2 0, 0 0))"),
-            ("open", "POLYGON ((0 0, 1 0, 1 1, 0 1))"), ("bad", "nothing")]
+            ("open", "POLYGON ((0 0, 1 0, 1 1, 0 1))"), ("bad", "nothing"), ("bow tie", "POLYGON ((0 0, 2 2, 2 0, 0 3, 0 0))"),
+            ("heights", "POLYGON Z ((0 0 1, 1 0 2, 1 1 3, 0 0 1))"), ("concave", "MULTIPOLYGON (((0 0, 4 0, 4 4, 2 1, 0 4, 0 0)))")]
     df = spark.createDataFrame(rows, "k string, t string").select("k", geo.parts_from_wkt(F.col("t")).alias("parts"))
     got = vectorize.sanitize(df, ["k"]).select("k", geo.polygon_area(F.col("rings")).alias("a")).collect()
-    assert [(r.k, r.a) for r in got] == [("two", 9.0)]
+    assert sorted((r.k, r.a) for r in got) == [("concave", 10.0), ("heights", 0.5), ("two", 9.0)]
 
 
 def test_polygon_stats_of_nothing(spark):
