@@ -35,8 +35,8 @@ def suppress(dets: DataFrame, conf_min: float = fixed.DETECTION_CONFIDENCE_MIN,
     with the same result.
     """
     keys = list(keys)
-    boxes = dets.filter(F.col("confidence") >= conf_min).groupBy(*keys, *BOX).agg(
-        F.max("confidence").alias("confidence"))
+    boxes = cut_lineage(dets.filter(F.col("confidence") >= conf_min).groupBy(*keys, *BOX).agg(
+        F.max("confidence").alias("confidence")))
     large = boxes.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > fold_limit).select(*keys)
     if large.isEmpty():
         kept = _fold(boxes, keys, iou_max)

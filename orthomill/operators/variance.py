@@ -7,6 +7,7 @@ aggregated twice at most: pixel to block, block to window.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -77,13 +78,17 @@ def padded_window_variance(pixels: DataFrame, keys: Sequence[str], size: int, st
 
     Padding counts as black pixels: the window always has ``size``^2 pixels and
     ``(size // window)``^2 blocks, absent ones having variance 0. The block list
-    of a window is bounded by that constant.
+    of a window is bounded by that constant. Pixels are summed to cells first whose side divides size, stride
+    and window; only a cell's sums, not its pixels, are repeated for the windows that cover it.
     """
     per_side = size // window
     v = gray_sum()
-    assigned = assign_windows(pixels, size, stride)
+    side = math.gcd(size, stride, window)
+    cells = pixels.groupBy(*keys, (F.expr(f"row div {side}") * side).alias("row"), (F.expr(f"col div {side}") * side).alias("col")).agg(
+        F.sum(v).alias("s"), F.sum(v * v).alias("q"))
+    assigned = assign_windows(cells, size, stride)
     inner = [F.expr(f"(row - row_off) div {window}").alias("_br"), F.expr(f"(col - col_off) div {window}").alias("_bc")]
-    blocks = assigned.groupBy(*keys, "row_off", "col_off", *inner).agg(F.sum(v).alias("s"), F.sum(v * v).alias("q"))
+    blocks = assigned.groupBy(*keys, "row_off", "col_off", *inner).agg(F.sum("s").alias("s"), F.sum("q").alias("q"))
     inside = (F.col("_br") < per_side) & (F.col("_bc") < per_side)
     block_var = _variance(F.lit(window * window), F.col("s"), F.col("q"), 9.0)
     tiles = blocks.groupBy(*keys, "row_off", "col_off").agg(

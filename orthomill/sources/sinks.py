@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from orthomill.functions import geometry as geo
 from orthomill.functions import ids
 from orthomill.operators.rasterize import export_raster, export_raster_frame
 
+#: The columns of the QA table.
 QA_COLUMNS = ["tile_id", "precision", "recall", "f1", "mIoU", "num_bboxes", "avg_confidence"]
 
 
@@ -35,13 +37,19 @@ def features(outputs: DataFrame, class_names: Sequence[str] | None = None) -> Da
         F.coalesce(p["perimeter"], F.lit(0.0)).alias("perimeter"), "rings", "parts")
 
 
+def _gathered(rows: DataFrame, parts: Sequence[str], files: int = 32) -> DataFrame:
+    """Rows by partition folder, each folder's rows dealt over at most ``files`` tasks, so not every task opens every folder."""
+    deal = F.pmod(F.xxhash64(*[c for c in ("tile_id", "class_id") if c in rows.columns] or [F.rand()]), F.lit(files))
+    return rows.repartition(*parts, deal)
+
+
 def write_layers(rows: DataFrame, path: str, class_names: Sequence[str] | None = None) -> None:
     """Features split into one layer per class; the whole folder is the layer of all classes.
 
     An unknown class goes to layer ``class_{id}``.
     """
     names = list(class_names or fixed.CLASS_NAMES[:fixed.NUM_CLASSES])
-    rows.withColumn("layer", ids.class_name(F.col("class_id"), names, "class_")) \
+    _gathered(rows.withColumn("layer", ids.class_name(F.col("class_id"), names, "class_")), ["layer"]) \
         .write.mode("overwrite").partitionBy("layer").parquet(path)
 
 
@@ -99,7 +107,7 @@ def persist_detections(rows: DataFrame, path: str, batch_id: int | None = None)
     parts = ["run_id"]
     if batch_id is not None:
         rows, parts = rows.withColumn("batch_id", F.lit(batch_id)), ["run_id", "batch_id"]
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
+    _gathered(rows, parts).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
 
 
 def persist_detections_jdbc(rows: DataFrame, url: str, table: str, properties: dict[str, str]) -> None:
@@ -114,8 +122,13 @@ def write_qa_csv(rows: DataFrame, path: str) -> None:
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+    try:
+        spark.read.parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+    return True
 
 
 def merge_villages(spark: SparkSession, paths: Sequence[str], default_crs: str = fixed.EXPORT_CRS) -> DataFrame:
