@@ -39,7 +39,7 @@ def features(outputs: DataFrame, class_names: Sequence[str] | None = None) -> Da
 
 def _gathered(rows: DataFrame, parts: Sequence[str], files: int = 32) -> DataFrame:
     """Rows by partition folder, each folder's rows dealt over at most ``files`` tasks, so not every task opens every folder."""
-    deal = F.pmod(F.xxhash64(*[c for c in ("tile_id", "class_id") if c in rows.columns] or [F.rand()]), F.lit(files))
+    deal = F.pmod(F.xxhash64(*[c for c in ("tile_id", "class_id") if c in rows.columns] or [F.lit(0)]), F.lit(files))
     return rows.repartition(*parts, deal)
 
 
