@@ -56,9 +56,10 @@ def _spans(measured: DataFrame, min_words: int) -> DataFrame:
     kind = measured.schema["tile_id"].dataType.simpleString()
     unit = measured.select("row_no", F.coalesce(F.col("tile_id").cast("long"), F.lit((1 << 63) - 1)).alias("rank"), F.explode("units").alias("x")).select(
         "row_no", "rank", *[F.col(f"x.{c}").alias(c) for c in _FIELDS])
-    shared = unit.groupBy("hash").agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    # Stored, as the keepers are below: the joins then stand on plain exchanges, whose large partitions can be split.
+    shared = stored(unit.groupBy("hash").agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "repeat-shared")
     met = stored(unit.join(shared, "hash"), "repeat-met")
-    keepers = met.filter("rank = first").groupBy("hash").agg(F.min("row_no").alias("keeper"))
+    keepers = stored(met.filter("rank = first").groupBy("hash").agg(F.min("row_no").alias("keeper")), "repeat-keepers")
     again = met.join(keepers, "hash").filter("row_no != keeper or again")
     # Numbers of units that follow one another differ from their rank among the row's repeated units by the same amount.
     place = F.row_number().over(Window.partitionBy("row_no").orderBy("no"))
