@@ -170,13 +170,18 @@ def fit(values: np.ndarray, labels: np.ndarray, features: Sequence[str], bins: i
     return model
 
 
-def fit_rows(records: DataFrame, features: Sequence[str], label: str, fit_limit: int = FIT_ROWS) -> Gam:
-    """Fit on at most ``fit_limit`` rows of ``records``, those whose features hash lowest, if there are more.
+def fit_rows(records: DataFrame, features: Sequence[str], label: str, fit_limit: int = FIT_ROWS, key: str | None = None) -> Gam:
+    """Fit on at most ``fit_limit`` rows of ``records``, those whose ``key`` (or features) hashes lowest, if there are more.
 
-    Rows without a label are left out; with no labelled row the model scores 0.5 everywhere.
+    Rows without a label are left out; with no labelled row the model scores 0.5 everywhere. The rows are counted first and
+    thinned by their hash where they are, so what is sorted and sent on doesn't grow with the table.
     """
-    rows = records.filter(F.col(label).isNotNull()).select(*[F.col(c).cast("double") for c in features], F.col(label).cast("double"))
-    sample = rows.orderBy(F.xxhash64(*features), *features, label).limit(fit_limit).toPandas().to_numpy(float)
+    drawn = F.shiftrightunsigned(F.xxhash64(*([key] if key else features)), 24)
+    rows = records.filter(F.col(label).isNotNull()).select(
+        *[F.col(c).cast("double") for c in features], F.col(label).cast("double"), drawn.alias("_drawn"))
+    share = min(1.0, 1.1 * fit_limit / max(1, rows.count()))
+    thinned = rows.filter(F.col("_drawn") < int(share * (1 << 40)))
+    sample = thinned.orderBy("_drawn", *features, label).limit(fit_limit).drop("_drawn").toPandas().to_numpy(float)
     if not len(sample):
         sample = np.array([[0.0] * len(features) + [0.0], [0.0] * len(features) + [1.0]])
     return fit(sample[:, :-1], sample[:, -1], features)
@@ -199,7 +204,7 @@ def _judged(feedback: DataFrame, labels: DataFrame, label: str, held_out: int, f
     known = (labels.filter(F.col("tile_id").isNotNull() & F.col(label).isNotNull())
              .groupBy("tile_id").agg(F.max(label).alias("_label")))
     learned = measured.select("tile_id", *NOTE_FEATURES).filter(~out).join(known, "tile_id")
-    return score(measured, fit_rows(learned, NOTE_FEATURES, "_label", fit_limit), "_score").withColumn("_held_out", out)
+    return score(measured, fit_rows(learned, NOTE_FEATURES, "_label", fit_limit, "tile_id"), "_score").withColumn("_held_out", out)
 
 
 def grade_notes(feedback: DataFrame, labels: DataFrame, label: str = "gt_label", held_out: int = 5, threshold: float = 0.3,

@@ -123,6 +123,9 @@ def test_fusion_records_are_scored_by_their_own_features(spark):
     model = gam.fit_rows(records, ["mask_area", "z_mean"], "gt_has_object")
     got = gam.score(records, model).collect()
     assert len(got) == 601 and np.mean([(r.score > 0.5) == (r.gt_has_object == 1) for r in got if r.gt_has_object is not None]) > 0.98
+    # A fit on few of the rows is a fit on a sample of them.
+    few = gam.score(records, gam.fit_rows(records, ["mask_area", "z_mean"], "gt_has_object", fit_limit=80, key="tile_id")).collect()
+    assert np.mean([(r.score > 0.5) == (r.gt_has_object == 1) for r in few if r.gt_has_object is not None]) > 0.9
     empty = gam.fit_rows(records.filter("false"), ["mask_area", "z_mean"], "gt_has_object")
     assert {round(r.score, 6) for r in gam.score(records, empty).collect()} == {0.5}
 
