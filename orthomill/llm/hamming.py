@@ -48,8 +48,8 @@ def nearest_tiles(records: DataFrame, queries: DataFrame, k: int = 10, segments:
     ``distance``; ties go to the smaller neighbour, then are arbitrary among equal rows. A query's own row, where it is in ``records``,
     is a row like any other. Rows without a vector are neither found nor searched for; fewer than ``k`` rows
     give fewer ranks; repeated queries are answered each, repeated records count each. No rows on either side give none; other columns are not read.
-    ``segments`` is by default as many as make a segment about log2 of the number of codes wide, which
-    keeps buckets short; it does not change the result. Equal codes are searched for once and indexed once, with their
+    ``segments`` is by default as many as make a segment two bits narrower than log2 of the number of codes: a bucket then holds about
+    four codes, and probes, whose number grows steeply with the width, stay fewer than what they find. It does not change the result. Equal codes are searched for once and indexed once, with their
     ``k`` smallest ids, so a vector that a third of all rows share costs no more than any other. The number of
     rounds is at most a segment's width.
     """
@@ -58,7 +58,7 @@ def nearest_tiles(records: DataFrame, queries: DataFrame, k: int = 10, segments:
     codes = stored(coded.groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.min("tile_id").alias("least")), "mih-index")
     total = codes.count()
     if segments is None:
-        segments = min(8, max(1, round(BITS / max(8.0, log2(total + 1)))))
+        segments = min(8, max(1, round(BITS / max(8.0, log2(total + 1) - 2))))
     bounds = _bounds(segments)
     index = stored(codes.withColumn("s", F.explode(_segments(F.col("code"), bounds))).select(
         F.col("s.segment").alias("segment"), F.col("s.value").alias("value"), "code", "n", "least"), "mih-segments")
