@@ -1,15 +1,18 @@
-"""Repeated passages by unit hashing: the earliest occurrence stays, later ones are spans to remove.
+"""Repeated passages: the earliest occurrence stays, later ones are spans to remove.
 
-A unit is a line, cut further after sentence ends and before capitals, so that a passage set into other text
-keeps units of its own. Units are normalised and hashed, digests are grouped over all notes, and
-repeated units that follow one another make up spans, given as offsets into the original text.
+A word repeats where it lies in a window of ten words that stands earlier; repeated words that follow one another make up
+spans, given as offsets into the original text. Sparse anchors find the places: whole units of ten words or more (a unit is a
+line, cut further after sentence ends and before capitals) and the least hash of every 24 windows in a row, so any
+33 words that two texts share hold a common one wherever they start. All windows around shared anchors are then compared.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
@@ -18,8 +21,10 @@ from pyspark.sql import functions as F
 from orthomill.llm.tables import fresh, stored
 
 _CUT = re.compile(r"\s*\n\s*|(?<=[.!?])\s+|\s+(?=[A-ZÀ-ÖØ-Þ])")
-_UNIT = "array<struct<no:int,hash:bigint,words:int,start:int,stop:int,again:boolean>>"
-_FIELDS = ("no", "hash", "words", "start", "stop", "again")
+_WORD = re.compile(r"\S+")
+#: Words of a window, and windows in a row of which one is an anchor.
+WINDOW, REACH = 10, 24
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def units_of(text: str | None) -> list[dict]:
@@ -37,34 +42,92 @@ def units_of(text: str | None) -> list[dict]:
     return out
 
 
-def units(numbered: DataFrame, row: str) -> DataFrame:
-    """``row_no`` (column ``row``), ``tile_id`` and the ``units`` of every row's whole ``notes``."""
-    kind = numbered.schema["tile_id"].dataType.simpleString()
-    types = pa.list_(pa.struct(list(zip(_FIELDS, (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_())))))
+def _windows(text: str) -> tuple[list[re.Match], np.ndarray]:
+    """The words of a text and the hash of every ``WINDOW`` of them."""
+    words = list(_WORD.finditer(text))
+    n = len(words) - WINDOW + 1
+    if n < 1:
+        return words, np.zeros(0, np.uint64)
+    digests = np.fromiter((xxhash.xxh64_intdigest(w.group().lower()) for w in words), np.uint64, len(words))
+    out = np.zeros(n, np.uint64)
+    for i in range(WINDOW):
+        out = (out * _ODD) + digests[i:i + n]
+    out = (out ^ (out >> np.uint64(31))) * _ODD
+    return words, out ^ (out >> np.uint64(29))
+
+
+def _anchors(text: str, hashes: np.ndarray) -> list[tuple[int, int, int]]:
+    """(hash, first window, last window) of units of ``WINDOW`` words or more and of the least window of every ``REACH`` in a row."""
+    out, at = [], 0
+    for u in units_of(text):
+        if u["words"] >= WINDOW:
+            out.append((u["hash"], at, at + u["words"] - WINDOW))
+        at += u["words"]
+    if len(hashes) >= REACH:
+        rows = np.lib.stride_tricks.sliding_window_view(hashes, REACH)
+        for i in np.unique(rows.argmin(axis=1) + np.arange(len(rows))).tolist():
+            out.append((int(hashes[i].view(np.int64)), i, i))
+    return out
+
+
+def _shared_anchors(numbered: DataFrame, row: str) -> DataFrame:
+    """``row_no`` and the ``shared`` anchors of every row that has one which stands elsewhere too."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for t in batch.column(1):
+                text = t.as_py() or ""
+                counts = Counter(h for h, *_ in _anchors(text, _windows(text)[1]))
+                found.append([{"hash": h, "n": min(n, 2)} for h, n in counts.items()])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, types)], ["row_no", "anchors"])
+
+    types = pa.list_(pa.struct([("hash", pa.int64()), ("n", pa.int32())]))
+    anchor = stored(numbered.select(F.col(row), F.col("notes").cast("string")).mapInArrow(run, "row_no long, anchors array<struct<hash:bigint,n:int>>")
+                    .select("row_no", F.explode("anchors").alias("x")).select("row_no", "x.hash", "x.n"), "repeat-anchors")
+    shared = stored(anchor.groupBy("hash").agg(F.sum("n").alias("n")).filter("n > 1").select("hash"), "repeat-shared")
+    return stored(anchor.join(shared, "hash").groupBy("row_no").agg(F.collect_list("hash").alias("shared")), "repeat-near")
+
+
+def _near_windows(numbered: DataFrame, row: str) -> DataFrame:
+    """The windows within ``REACH`` of a shared anchor: ``row_no``, ``rank`` and each one's hash, number and code point span."""
+    fields = ("hash", "no", "start", "stop")
+    types = pa.list_(pa.struct(list(zip(fields, (pa.int64(), pa.int32(), pa.int32(), pa.int32())))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = pa.array([units_of(t.as_py()) for t in batch.column(2)], types)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found], ["row_no", "tile_id", "units"])
-
-    return numbered.select(F.col(row), "tile_id", F.col("notes").cast("string")).mapInArrow(
-        run, f"row_no long, tile_id {kind}, units {_UNIT}")
-
-
-def _spans(measured: DataFrame, min_words: int) -> DataFrame:
-    """The spans of ``repeated_spans`` from stored units."""
-    kind = measured.schema["tile_id"].dataType.simpleString()
-    unit = measured.select("row_no", F.coalesce(F.col("tile_id").cast("long"), F.lit((1 << 63) - 1)).alias("rank"), F.explode("units").alias("x")).select(
-        "row_no", "rank", *[F.col(f"x.{c}").alias(c) for c in _FIELDS])
-    # Stored, as the keepers are below: the joins then stand on plain exchanges, whose large partitions can be split.
-    shared = stored(unit.groupBy("hash").agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "repeat-shared")
-    met = stored(unit.join(shared, "hash"), "repeat-met")
-    keepers = stored(met.filter("rank = first").groupBy("hash").agg(F.min("row_no").alias("keeper")), "repeat-keepers")
-    again = met.join(keepers, "hash").filter("row_no != keeper or again")
-    # Numbers of units that follow one another differ from their rank among the row's repeated units by the same amount.
-    place = F.row_number().over(Window.partitionBy("row_no").orderBy("no"))
-    spans = again.withColumn("run", F.col("no") - place).groupBy("row_no", "rank", "run").agg(
-        F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("words").cast("int").alias("words"), F.min("first").alias("kept"))
+            found = []
+            for t, s in zip(batch.column(2), batch.column(3)):
+                words, hashes = _windows(t.as_py())
+                shared, near = set(s.as_py()), np.zeros(len(hashes), bool)
+                for h, first, last in _anchors(t.as_py(), hashes):
+                    if h in shared:
+                        near[max(0, first - REACH):last + REACH + 1] = True
+                signed = hashes.view(np.int64).tolist()
+                found.append([{"hash": signed[i], "no": i, "start": words[i].start(), "stop": words[i + WINDOW - 1].end()}
+                              for i in np.flatnonzero(near).tolist()])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, types)], ["row_no", "rank", "windows"])
+
+    rank = F.coalesce(F.col("tile_id").cast("long"), F.lit((1 << 63) - 1))
+    texts = (numbered.select(F.col(row).alias("row_no"), rank.alias("rank"), F.col("notes").cast("string").alias("notes"))
+             .join(_shared_anchors(numbered, row), "row_no"))
+    return stored(
+        texts.select("row_no", "rank", "notes", "shared").mapInArrow(run, "row_no long, rank long, windows array<struct<hash:bigint,no:int,start:int,stop:int>>")
+        .select("row_no", "rank", F.explode("windows").alias("x")).select("row_no", "rank", *[F.col(f"x.{c}").alias(c) for c in fields]), "repeat-windows")
+
+
+def _spans(numbered: DataFrame, row: str, min_words: int) -> DataFrame:
+    """The spans of ``repeated_spans`` from stored notes with row numbers."""
+    kind = numbered.schema["tile_id"].dataType.simpleString()
+    window = _near_windows(numbered, row)
+    # Stored: the join then stands on plain exchanges, whose large partitions can be split.
+    first = stored(window.groupBy("hash").agg(F.min(F.struct("rank", "row_no", "no")).alias("first"), F.count(F.lit(1)).alias("n"))
+                   .filter("n > 1").select("hash", "first"), "repeat-first")
+    again = window.join(first, "hash").filter("row_no != first.row_no or no != first.no").withColumn("kept", F.col("first.rank"))
+    # Windows that touch or overlap make a run.
+    order = Window.partitionBy("row_no").orderBy("no")
+    opens = F.coalesce((F.col("no") - F.lag("no").over(order) > WINDOW).cast("int"), F.lit(1))
+    spans = again.withColumn("opens", opens).withColumn("run", F.sum("opens").over(order)).groupBy("row_no", "rank", "run").agg(
+        F.min("start").alias("start"), F.max("stop").alias("stop"), (F.max("no") - F.min("no") + WINDOW).alias("words"), F.min("kept").alias("kept"))
 
     def named(rank: str) -> Column:
         return F.when(F.col(rank) != (1 << 63) - 1, F.col(rank)).cast(kind)
@@ -76,14 +139,14 @@ def repeated_spans(feedback: DataFrame, min_words: int = 40) -> DataFrame:
     """Spans of ``notes`` that repeat what stands earlier, in the order of ``tile_id``: one row per span to remove.
 
     Returns ``tile_id``, ``row_no`` (the row within this result's reading of the table), ``start`` and ``length`` (code points of the original text), ``words``,
-    ``kept_tile_id`` (the smallest tile that keeps one of its units). Units repeated singly or in runs of under ``min_words`` words stay, so
-    common lines and phrases are left alone. A unit's earliest occurrence is that of the smallest ``tile_id`` (null last),
-    then of the first row of that tile, then the first in the text. Null, empty and blank notes have no units. A repeated row's text is
+    ``kept_tile_id`` (the smallest tile that keeps one of its windows). Runs of under ``min_words`` repeated words stay, so
+    common lines and phrases are left alone. A window's earliest occurrence is that of the smallest ``tile_id`` (null last),
+    then of the first row of that tile, then the first in the text. Null, empty and blank notes have no windows. A repeated row's text is
     removed from all but one row. No rows give no rows; other columns are not read. Digests group by
     combining before the shuffle and a digest that many rows share is only joined, never gathered.
     """
-    numbered = feedback.select("tile_id", "notes", F.monotonically_increasing_id().alias("row_no"))
-    return _spans(stored(units(numbered, "row_no"), "repeat-units"), min_words)
+    numbered = stored(feedback.select("tile_id", "notes", F.monotonically_increasing_id().alias("row_no")), "repeat-notes")
+    return _spans(numbered, "row_no", min_words)
 
 
 def without_repeats(feedback: DataFrame, min_words: int = 40) -> DataFrame:
@@ -94,7 +157,7 @@ def without_repeats(feedback: DataFrame, min_words: int = 40) -> DataFrame:
     """
     row = fresh(feedback, "_row")
     numbered = stored(feedback.withColumn(row, F.monotonically_increasing_id()), "repeat-notes")
-    spans = _spans(stored(units(numbered, row), "repeat-units"), min_words)
+    spans = _spans(numbered, row, min_words)
     gone = fresh(numbered, "_gone")
     cut = spans.groupBy(F.col("row_no").alias(row)).agg(F.sort_array(F.collect_list(F.struct(
         F.col("start").cast("int").alias("start"), (F.col("start") + F.col("length")).cast("int").alias("stop")))).alias(gone))
