@@ -8,3 +8,10 @@ def test_passages_that_start_and_end_inside_a_sentence_are_cut(feedback):
             (3, " ".join(words(51, 1)[:25]) + ". Neu " + " ".join(words(40, 6)))]
     got = repeats.repeated_spans(feedback(*[(t, x, "a") for t, x in rows])).collect()
     assert [(r.tile_id, rows[1][1][r.start:r.start + r.length], r.words, r.kept_tile_id) for r in got] == [(2, passage, 51, 1)]
+
+
+def test_words_that_repeat_one_by_one_are_no_passage(feedback):
+    names = [w.upper() for w in words(60, 1)]
+    shuffled = names[::7] + names[1::7] + names[2::7] + names[3::7] + names[4::7] + names[5::7] + names[6::7]
+    assert repeats.repeated_spans(feedback((1, " ".join(names), "a"), (2, " ".join(shuffled), "a"))).count() == 0
+    assert [r.words for r in repeats.repeated_spans(feedback((1, " ".join(names), "a"), (2, " ".join(names), "a"))).collect()] == [60]
