@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orthomill.llm import consensus, gam, hamming, line_frequency, mixing, packing, pseudonyms, repeats, simhash, warc
+from orthomill.llm import consensus, gam, hamming, line_dedup, line_frequency, mixing, packing, pseudonyms, repeats, simhash, warc
 from orthomill.llm.tables import word_count
 
 QUERIES: dict[str, Callable] = {}
@@ -151,3 +151,19 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM f""")
 def op8(spark, sf):
     return warc.archive_pages(spark, spark.read.parquet(f"{sf}/pages.parquet"))
+
+
+@query("op13_line_dedup", """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT rid, doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS no FROM d),
+k AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM l),
+shared AS (SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+m AS (SELECT k.*, keeper IS NOT NULL AND doc_id IS DISTINCT FROM keeper AS gone FROM k LEFT JOIN shared USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY rid, doc_id""")
+def op13(spark, sf):
+    return line_dedup.without_shared_lines(feedback_of(spark, sf)).select(
+        F.col("tile_id").alias("doc_id"), "n_lines", "n_dropped", F.sha2(F.coalesce("notes", F.lit("")), 256).alias("kept_sha256"))
