@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orthomill.llm import consensus, gam, hamming, line_dedup, line_frequency, mixing, packing, pseudonyms, repeats, simhash, warc
+from orthomill.llm import consensus, gam, hamming, line_dedup, line_frequency, manifest, mixing, packing, pseudonyms, repeats, simhash, warc
 from orthomill.llm.tables import word_count
 
 QUERIES: dict[str, Callable] = {}
@@ -167,3 +167,55 @@ FROM m GROUP BY rid, doc_id""")
 def op13(spark, sf):
     return line_dedup.without_shared_lines(feedback_of(spark, sf)).select(
         F.col("tile_id").alias("doc_id"), "n_lines", "n_dropped", F.sha2(F.coalesce("notes", F.lit("")), 256).alias("kept_sha256"))
+
+
+@query("op12_merkle_manifest", r"""
+WITH RECURSIVE
+b AS (
+  SELECT *, list_reduce(list_transform(range(0, length(CAST(doc_id AS VARCHAR))), lambda i: CAST(ascii(substr(CAST(doc_id AS VARCHAR), i + 1, 1)) AS BIGINT)),
+           lambda c, x: list_reduce(range(0, 8), lambda y, k: CASE WHEN y % 2 = 1 THEN xor(y // 2, 3988292384) ELSE y // 2 END, xor(c, x)),
+           CAST(4294967295 AS BIGINT)) AS register
+  FROM documents),
+e AS (
+  SELECT doc_id, source,
+         coalesce(octet_length(encode(CAST(doc_id AS VARCHAR))) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-')
+           || coalesce(octet_length(encode(lang)) || ':' || lang, '-') || coalesce(octet_length(encode(CAST(n_chars AS VARCHAR))) || ':' || n_chars, '-') AS head,
+         text, CASE WHEN xor(register, 4294967295) % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS found
+  FROM b),
+l AS (
+  SELECT doc_id, source, sha256(head || coalesce(octet_length(encode(text)) || ':' || text, '-')) AS leaf,
+         sha256(head || coalesce(octet_length(encode(found)) || ':' || found, '-')) AS seen
+  FROM e),
+p AS (SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS grp, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM l),
+lv(grp, lvl, idx, h) AS (
+  SELECT grp, 0, pos, leaf FROM p
+  UNION ALL
+  SELECT grp, lvl + 1, idx // 3, sha256(string_agg(h, '' ORDER BY idx)) FROM (SELECT *, count(*) OVER (PARTITION BY grp) AS c FROM lv) WHERE c > 1
+  GROUP BY grp, lvl, idx // 3),
+sub AS (SELECT grp, lvl, h FROM lv QUALIFY lvl = max(lvl) OVER (PARTITION BY grp)),
+tv(lvl, idx, h) AS (
+  SELECT 0, grp, h FROM sub
+  UNION ALL
+  SELECT lvl + 1, idx // 3, sha256(string_agg(h, '' ORDER BY idx)) FROM (SELECT *, count(*) OVER () AS c FROM tv) WHERE c > 1 GROUP BY lvl, idx // 3),
+root AS (SELECT h AS root, lvl AS height FROM tv QUALIFY lvl = max(lvl) OVER ()),
+node AS (SELECT lv.*, sub.lvl AS height FROM lv JOIN sub USING (grp) UNION ALL SELECT -1, tv.lvl, idx, h, height FROM tv, root),
+sib AS (
+  SELECT a.grp, a.lvl, a.idx, coalesce(string_agg(b.h, '' ORDER BY b.idx) FILTER (b.idx < a.idx), '') AS l,
+         coalesce(string_agg(b.h, '' ORDER BY b.idx) FILTER (b.idx > a.idx), '') AS r
+  FROM node a JOIN node b ON a.grp = b.grp AND a.lvl = b.lvl AND a.idx // 3 = b.idx // 3 WHERE a.lvl < a.height GROUP BY ALL),
+up(grp, pos, lvl, idx, f, proof) AS (
+  SELECT grp, pos, 0, pos, seen, '' FROM p
+  UNION ALL
+  SELECT up.grp, up.pos, up.lvl + 1, up.idx // 3, sha256(l || f || r), proof || l || r FROM up JOIN sib ON sib.grp = up.grp AND sib.lvl = up.lvl AND sib.idx = up.idx),
+mid AS (SELECT up.* FROM up JOIN sub ON up.grp = sub.grp AND up.lvl = sub.lvl),
+out(grp, pos, lvl, idx, f, proof) AS (
+  SELECT grp, pos, 0, grp, f, proof FROM mid
+  UNION ALL
+  SELECT o.grp, o.pos, o.lvl + 1, o.idx // 3, sha256(l || f || r), proof || l || r FROM out o JOIN sib ON sib.grp = -1 AND sib.lvl = o.lvl AND sib.idx = o.idx)
+SELECT p.doc_id, p.leaf, sub.h AS subroot, root.root, sha256(out.proof) AS proof_sha256, out.f AS folded_root, out.f = root.root AS verified
+FROM p JOIN out ON out.grp = p.grp AND out.pos = p.pos JOIN sub ON sub.grp = p.grp JOIN root ON out.lvl = root.height""")
+def op12(spark, sf):
+    tampered = F.crc32(F.col("tile_id").cast("string")) % 2 == 0
+    found = F.when(tampered, F.replace("notes", F.lit("\n"), F.lit(""))).otherwise(F.col("notes"))
+    built = manifest.build(feedback_of(spark, sf), ("tile_id", "source_file", "lang", "n_chars", "notes"), {"notes": found})
+    return manifest.audit(built).withColumnRenamed("tile_id", "doc_id")
