@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orthomill.llm import consensus, gam, hamming, line_dedup, line_frequency, manifest, mixing, packing, pseudonyms, repeats, simhash, warc
-from orthomill.llm.tables import word_count
+from orthomill.llm import consensus, gam, hamming, line_dedup, line_frequency, manifest, mixing, packing, periodic, pseudonyms, repeats, simhash, warc
+from orthomill.llm.tables import word_array, word_count
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
@@ -219,3 +219,26 @@ def op12(spark, sf):
     found = F.when(tampered, F.replace("notes", F.lit("\n"), F.lit(""))).otherwise(F.col("notes"))
     built = manifest.build(feedback_of(spark, sf), ("tile_id", "source_file", "lang", "n_chars", "notes"), {"notes": found})
     return manifest.audit(built).withColumnRenamed("tile_id", "doc_id")
+
+
+def with_planted_runs(feedback: DataFrame) -> DataFrame:
+    """The texts of the contract: where crc32 of the id ends in 0, the words from a on repeat those at a with period p."""
+    words, n = F.col("words"), F.size("words").cast("long")
+    planted = feedback.withColumns({"words": word_array(F.col("notes")), "h": F.crc32(F.col("tile_id").cast("string"))})
+    planted = planted.withColumn("g", F.floor(F.col("h") / 10))
+    planted = planted.withColumn("a", F.when((F.col("h") % 10 == 0) & (n > 0), F.col("g") % n))
+    planted = planted.withColumn("p", F.floor((n - F.col("a")) / (F.col("g") % 8 + 3)) + 1)
+    again = F.transform(words, lambda w, i: F.when(i < F.col("a"), w).otherwise(
+        F.get(words, (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))))
+    return planted.select("tile_id", F.when(F.col("a").isNull(), F.col("notes")).otherwise(F.array_join(again, " ")).alias("notes"))
+
+
+@query("op11_periodic_runs")
+def op11(spark, sf):
+    found = periodic.periodic_runs(with_planted_runs(feedback_of(spark, sf)))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    best = found.withColumn("best", F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period")))))
+    return best.select(
+        F.col("tile_id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"), (-F.col("best.less")).alias("length"),
+        F.col("best.period").alias("period"), F.floor(-F.col("best.less") * 1000 / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"), F.sha2("notes", 256).alias("collapsed_sha256"))
