@@ -16,7 +16,7 @@ from orthomill.llm.tables import fresh, stored
 SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows of one line's hash that one stream holds; a line with more is dealt over several streams by its notes.
-STREAM_ROWS = 50_000
+STREAM_ROWS = 2_000
 WORD_BITS = 64
 
 
