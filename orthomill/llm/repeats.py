@@ -1,148 +1,197 @@
 """Repeated passages: the earliest occurrence stays, later ones are spans to remove.
 
-A word repeats where it lies in a window of ten words that stands earlier; repeated words that follow one another make up
-spans, given as offsets into the original text. Sparse anchors find the places: whole units of ten words or more (a unit is a
-line, cut further after sentence ends and before capitals) and the least hash of every 24 windows in a row, so any
-33 words that two texts share hold a common one wherever they start. All windows around shared anchors are then compared.
+A text's paragraphs are cut into units at sentence ends, whatever its lines; long sentences are cut further at the words whose hash is
+least around them, so a copy has the same cuts wherever it begins and ends. Digests of the normalised units are grouped over all texts and
+the earliest stays. Runs of repeated units that could make up a passage are then compared with the texts that keep them, word by word, a
+unit's length beyond both edges. Spans are offsets into the original text.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orthomill.llm.tables import fresh, stored
 
-_CUT = re.compile(r"\s*\n\s*|(?<=[.!?])\s+|\s+(?=[A-ZÀ-ÖØ-Þ])")
 _WORD = re.compile(r"\S+")
-#: Words of a window, and windows in a row of which one is an anchor.
-WINDOW, REACH = 10, 24
-_ODD = np.uint64(0x9E3779B97F4A7C15)
+_ENDS = (".", "!", "?")
+#: Words of a sentence that stays whole, words in a row of which the least hash is a cut in longer ones, words of a unit at least.
+LONG, REACH, LEAST = 20, 5, 6
+#: Words read beyond both edges of a run (what is left of a passage there is shorter), and words of a match that counts.
+EDGE, MATCH = 40, 10
 
 
-def units_of(text: str | None) -> list[dict]:
-    """The units of a whole text that hold a word: number, hash of the normalised unit, words, code point span, seen before here."""
-    if not text:
+def units_of(words: list[tuple[int, int, str]]) -> list[tuple[int, int, int]]:
+    """``(hash, first word, words)`` of a text's units, from its words ``(start, stop, lower case)``.
+
+    A unit begins at each sentence or cut; a sentence with under ``LEAST`` words goes on into the next ones, a unit from a cut
+    reaches to the second cut after it or on to that many words. Where a unit begins and ends depends on the words from 5 before it to its end alone.
+    """
+    n = len(words)
+    if not n:
         return []
-    out, seen, at = [], set(), 0
-    for start, stop in [(m.start(), m.end()) for m in _CUT.finditer(text)] + [(len(text), len(text))]:
-        words = text[at:start].lower().split()
-        if words:
-            digest = xxhash.xxh64_intdigest(" ".join(words)) - (1 << 63)
-            out.append({"no": len(out), "hash": digest, "words": len(words), "start": at, "stop": start, "again": digest in seen})
-            seen.add(digest)
-        at = stop
-    return out
-
-
-def _windows(text: str) -> tuple[list[re.Match], np.ndarray]:
-    """The words of a text and the hash of every ``WINDOW`` of them."""
-    words = list(_WORD.finditer(text))
-    n = len(words) - WINDOW + 1
-    if n < 1:
-        return words, np.zeros(0, np.uint64)
-    digests = np.fromiter((xxhash.xxh64_intdigest(w.group().lower()) for w in words), np.uint64, len(words))
-    out = np.zeros(n, np.uint64)
-    for i in range(WINDOW):
-        out = (out * _ODD) + digests[i:i + n]
-    out = (out ^ (out >> np.uint64(31))) * _ODD
-    return words, out ^ (out >> np.uint64(29))
-
-
-def _anchors(text: str, hashes: np.ndarray) -> list[tuple[int, int, int]]:
-    """(hash, first window, last window) of units of ``WINDOW`` words or more and of the least window of every ``REACH`` in a row."""
-    out, at = [], 0
-    for u in units_of(text):
-        if u["words"] >= WINDOW:
-            out.append((u["hash"], at, at + u["words"] - WINDOW))
-        at += u["words"]
-    if len(hashes) >= REACH:
-        rows = np.lib.stride_tricks.sliding_window_view(hashes, REACH)
-        for i in np.unique(rows.argmin(axis=1) + np.arange(len(rows))).tolist():
-            out.append((int(hashes[i].view(np.int64)), i, i))
-    return out
-
-
-def _shared_anchors(numbered: DataFrame, row: str) -> DataFrame:
-    """``row_no`` and the ``shared`` anchors of every row that has one which stands elsewhere too."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for t in batch.column(1):
-                text = t.as_py() or ""
-                counts = Counter(h for h, *_ in _anchors(text, _windows(text)[1]))
-                found.append([{"hash": h, "n": min(n, 2)} for h, n in counts.items()])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, types)], ["row_no", "anchors"])
-
-    types = pa.list_(pa.struct([("hash", pa.int64()), ("n", pa.int32())]))
-    anchor = stored(numbered.select(F.col(row), F.col("notes").cast("string")).mapInArrow(run, "row_no long, anchors array<struct<hash:bigint,n:int>>")
-                    .select("row_no", F.explode("anchors").alias("x")).select("row_no", "x.hash", "x.n"), "repeat-anchors")
-    shared = stored(anchor.groupBy("hash").agg(F.sum("n").alias("n")).filter("n > 1").select("hash"), "repeat-shared")
-    return stored(anchor.join(shared, "hash").groupBy("row_no").agg(F.collect_list("hash").alias("shared")), "repeat-near")
-
-
-def _near_windows(numbered: DataFrame, row: str) -> DataFrame:
-    """The windows within ``REACH`` of a shared anchor: ``row_no``, ``rank`` and each one's hash, number and code point span."""
-    fields = ("hash", "no", "start", "stop")
+    opens = [0] + [i for i in range(1, n) if words[i - 1][2].endswith(_ENDS)] + [n]
+    spans = []
+    for at in range(len(opens) - 1):
+        first, stop = opens[at], opens[at + 1]
+        if stop - first > LONG:
+            order = np.fromiter((xxhash.xxh64_intdigest(words[i][2]) for i in range(first, stop)), np.uint64, stop - first)
+            rows = np.lib.stride_tricks.sliding_window_view(order, REACH)
+            cuts = sorted({first, *(np.unique(rows.argmin(axis=1) + np.arange(len(rows))) + first).tolist(), stop})
+            ends = np.maximum(np.searchsorted(cuts, np.array(cuts) + LEAST), np.arange(len(cuts)) + 2).clip(max=len(cuts) - 1)
+            spans += [(cuts[i], cuts[ends[i]]) for i in range(len(cuts) - 1)]
+        else:
+            last = at + 1
+            while opens[last] - first < LEAST and last < len(opens) - 1 and opens[last + 1] - opens[last] <= LONG:
+                last += 1
+            spans.append((first, opens[last]))
+    return [(xxhash.xxh64_intdigest(" ".join(w[2] for w in words[a:b])) - (1 << 63), a, b - a) for a, b in spans]
+
+
+def _words(text: str | None) -> list[tuple[int, int, str]]:
+    return [(m.start(), m.end(), m.group().lower()) for m in _WORD.finditer(text or "")]
+
+
+def _units(numbered: DataFrame, row: str) -> DataFrame:
+    """All units: ``hash, row_no, rank, pos, words``, and the words ``beside``: those of the units before and after."""
+    fields = ("hash", "pos", "words", "beside")
     types = pa.list_(pa.struct(list(zip(fields, (pa.int64(), pa.int32(), pa.int32(), pa.int32())))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for t, s in zip(batch.column(2), batch.column(3)):
-                words, hashes = _windows(t.as_py())
-                shared, near = set(s.as_py()), np.zeros(len(hashes), bool)
-                for h, first, last in _anchors(t.as_py(), hashes):
-                    if h in shared:
-                        near[max(0, first - REACH):last + REACH + 1] = True
-                signed = hashes.view(np.int64).tolist()
-                found.append([{"hash": signed[i], "no": i, "start": words[i].start(), "stop": words[i + WINDOW - 1].end()}
-                              for i in np.flatnonzero(near).tolist()])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, types)], ["row_no", "rank", "windows"])
+            for t in batch.column(2):
+                units = [(0, 0, 0), *units_of(_words(t.as_py())), (0, 0, 0)]
+                found.append([dict(zip(fields, (*units[i], units[i - 1][2] + units[i + 1][2]))) for i in range(1, len(units) - 1)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, types)], ["row_no", "rank", "units"])
 
     rank = F.coalesce(F.col("tile_id").cast("long"), F.lit((1 << 63) - 1))
-    texts = (numbered.select(F.col(row).alias("row_no"), rank.alias("rank"), F.col("notes").cast("string").alias("notes"))
-             .join(_shared_anchors(numbered, row), "row_no"))
-    return stored(
-        texts.select("row_no", "rank", "notes", "shared").mapInArrow(run, "row_no long, rank long, windows array<struct<hash:bigint,no:int,start:int,stop:int>>")
-        .select("row_no", "rank", F.explode("windows").alias("x")).select("row_no", "rank", *[F.col(f"x.{c}").alias(c) for c in fields]), "repeat-windows")
+    units = numbered.select(F.col(row).alias("row_no"), rank.alias("rank"), F.col("notes").cast("string")).mapInArrow(
+        run, "row_no long, rank long, units array<struct<hash:bigint,pos:int,words:int,beside:int>>")
+    return stored(units.select("row_no", "rank", F.explode("units").alias("x")).select("row_no", "rank", *[F.col(f"x.{c}").alias(c) for c in fields]), "repeat-units")
+
+
+def _places(numbered: DataFrame, row: str, min_words: int) -> DataFrame:
+    """What to compare: for each run of repeated units that may hold ``min_words``, the stretches of kept texts that its units stand in.
+
+    ``row_no, rank, own`` (where the stretch begins in the text, in words), ``kept_row, kept_rank, at, until`` (in words of the kept text).
+    """
+    unit = _units(numbered, row)
+    first = stored(unit.groupBy("hash").agg(F.min(F.struct("rank", "row_no", "pos")).alias("first"), F.count(F.lit(1)).alias("n"))
+                   .filter("n > 1").select("hash", "first"), "repeat-first")
+    again = (unit.join(first, "hash").filter("row_no != first.row_no or pos != first.pos")
+             .groupBy("row_no", "rank").agg(F.collect_list(F.struct("pos", "words", "beside", F.col("first.rank").alias("kr"), F.col("first.row_no").alias("kn"), F.col("first.pos").alias("kp"))).alias("units")))
+    names = ["row_no", "rank", "own", "kept_row", "kept_rank", "at", "until"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for row_no, rank, units in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                units.sort(key=lambda u: u["pos"])
+                at = 0
+                while at < len(units):
+                    start, stop, beside, groups = units[at]["pos"], units[at]["pos"], 0, {}
+                    while at < len(units) and units[at]["pos"] <= stop:
+                        u = units[at]
+                        stop, beside = max(stop, u["pos"] + u["words"]), max(beside, u["beside"])
+                        spot = groups.setdefault((u["kn"], u["kr"], u["pos"] - u["kp"]), [u["kp"], 0])
+                        spot[1] = max(spot[1], u["kp"] + u["words"])
+                        at += 1
+                    if stop - start + 2 * beside >= min_words:
+                        for (kn, kr, shift), (low, high) in groups.items():
+                            low = max(0, low - EDGE, -shift)
+                            out.append((row_no, rank, low + shift, kn, kr, low, high + EDGE))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(7)], names)
+
+    return stored(again.mapInArrow(run, ", ".join(f"{c} long" for c in names)), "repeat-places")
+
+
+def _slices(numbered: DataFrame, row: str, places: DataFrame) -> DataFrame:
+    """``(kept_row, at, until, slice)``: the wanted stretches of kept texts, lower-cased words joined by spaces; each stretch once."""
+    share = F.pmod(F.xxhash64("at", "until"), F.lit(8))
+    wanted = (places.select("kept_row", "at", "until").distinct().groupBy("kept_row", share.alias("share"))
+              .agg(F.collect_list(F.struct("at", "until")).alias("wanted")).drop("share"))
+    types = pa.list_(pa.struct([("at", pa.int64()), ("until", pa.int64()), ("slice", pa.string())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for text, parts in zip(batch.column(1), batch.column(2).to_pylist()):
+                words = text.as_py().lower().split()
+                found.append([{"at": p["at"], "until": p["until"], "slice": " ".join(words[p["at"]:p["until"]])} for p in parts])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, types)], ["kept_row", "parts"])
+
+    texts = numbered.select(F.col(row).alias("kept_row"), F.col("notes").cast("string").alias("notes"))
+    cut = texts.join(wanted, "kept_row").select("kept_row", "notes", "wanted").mapInArrow(run, "kept_row long, parts array<struct<at:bigint,until:bigint,slice:string>>")
+    return stored(cut.select("kept_row", F.explode("parts").alias("x")).select("kept_row", "x.at", "x.until", "x.slice"), "repeat-slices")
+
+
+def _agreeing(own: list[str], kept: list[str]) -> list[tuple[int, int]]:
+    """Stretches of ``MATCH`` words or more in which two word lists agree place by place."""
+    out, start = [], None
+    for i, (x, y) in enumerate(zip(own, kept)):
+        if x == y:
+            start = i if start is None else start
+        elif start is not None:
+            if i - start >= MATCH:
+                out.append((start, i))
+            start = None
+    end = min(len(own), len(kept))
+    return out + ([(start, end)] if start is not None and end - start >= MATCH else [])
 
 
 def _spans(numbered: DataFrame, row: str, min_words: int) -> DataFrame:
     """The spans of ``repeated_spans`` from stored notes with row numbers."""
     kind = numbered.schema["tile_id"].dataType.simpleString()
-    window = _near_windows(numbered, row)
-    # Stored: the join then stands on plain exchanges, whose large partitions can be split.
-    first = stored(window.groupBy("hash").agg(F.min(F.struct("rank", "row_no", "no")).alias("first"), F.count(F.lit(1)).alias("n"))
-                   .filter("n > 1").select("hash", "first"), "repeat-first")
-    again = window.join(first, "hash").filter("row_no != first.row_no or no != first.no").withColumn("kept", F.col("first.rank"))
-    # Windows that touch or overlap make a run.
-    order = Window.partitionBy("row_no").orderBy("no")
-    opens = F.coalesce((F.col("no") - F.lag("no").over(order) > WINDOW).cast("int"), F.lit(1))
-    spans = again.withColumn("opens", opens).withColumn("run", F.sum("opens").over(order)).groupBy("row_no", "rank", "run").agg(
-        F.min("start").alias("start"), F.max("stop").alias("stop"), (F.max("no") - F.min("no") + WINDOW).alias("words"), F.min("kept").alias("kept"))
+    places = _places(numbered, row, min_words)
+    slices = _slices(numbered, row, places)
+    per_row = (places.join(slices, ["kept_row", "at", "until"]).groupBy("row_no", "rank")
+               .agg(F.collect_list(F.struct("own", "kept_rank", "slice")).alias("parts")))
+    texts = numbered.select(F.col(row).alias("row_no"), F.col("notes").cast("string").alias("notes"))
+    names = ["row_no", "rank", "start", "length", "words", "kept"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for row_no, rank, text, parts in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                words = _words(text)
+                lower = [w[2] for w in words]
+                found = sorted({(p["own"] + a, p["own"] + b, p["kept_rank"]) for p in parts
+                                for kept in [p["slice"].split()] for a, b in _agreeing(lower[p["own"]:p["own"] + len(kept)], kept)})
+                at = 0
+                while at < len(found):
+                    start, stop, kept = found[at]
+                    while at < len(found) and found[at][0] <= stop:
+                        stop, kept = max(stop, found[at][1]), min(kept, found[at][2])
+                        at += 1
+                    if stop - start >= min_words:
+                        out.append((row_no, rank, words[start][0], words[stop - 1][1] - words[start][0], stop - start, kept))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(6)], names)
+
+    spans = per_row.join(texts, "row_no").select("row_no", "rank", "notes", "parts").mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
     def named(rank: str) -> Column:
         return F.when(F.col(rank) != (1 << 63) - 1, F.col(rank)).cast(kind)
-    return spans.filter(F.col("words") >= min_words).select(
-        named("rank").alias("tile_id"), "row_no", "start", (F.col("stop") - F.col("start")).alias("length"), "words", named("kept").alias("kept_tile_id"))
+    return spans.select(named("rank").alias("tile_id"), "row_no", F.col("start").cast("int").alias("start"), F.col("length").cast("int").alias("length"),
+                        F.col("words").cast("int").alias("words"), named("kept").alias("kept_tile_id"))
 
 
 def repeated_spans(feedback: DataFrame, min_words: int = 40) -> DataFrame:
     """Spans of ``notes`` that repeat what stands earlier, in the order of ``tile_id``: one row per span to remove.
 
     Returns ``tile_id``, ``row_no`` (the row within this result's reading of the table), ``start`` and ``length`` (code points of the original text), ``words``,
-    ``kept_tile_id`` (the smallest tile that keeps one of its windows). Runs of under ``min_words`` repeated words stay, so
-    common lines and phrases are left alone. A window's earliest occurrence is that of the smallest ``tile_id`` (null last),
-    then of the first row of that tile, then the first in the text. Null, empty and blank notes have no windows. A repeated row's text is
-    removed from all but one row. No rows give no rows; other columns are not read. Digests group by
+    ``kept_tile_id`` (the smallest tile that keeps one of its units). Runs of under ``min_words`` repeated words stay, so
+    common lines and phrases are left alone. Any 50 words that two texts share hold a common unit; what else of a passage stands in a text that
+    keeps one of its units goes with it. A unit's earliest occurrence is that of the smallest ``tile_id`` (null last),
+    then of the first row of that tile, then the first in the text. Null, empty and blank notes have no units. A repeated row's text of
+    ``min_words`` or more is removed from all but one row. Where earlier texts hold a passage in several lengths, under a unit of words can stay at its
+    edge, if they stand only in a text that keeps none of the passage's units. No rows give no rows; other columns are not read. Digests group by
     combining before the shuffle and a digest that many rows share is only joined, never gathered.
     """
     numbered = stored(feedback.select("tile_id", "notes", F.monotonically_increasing_id().alias("row_no")), "repeat-notes")

@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -9,42 +10,88 @@ from orthomill.llm import line_frequency, pseudonyms, repeats
 from tests.llm.conftest import words
 
 
+def standing(rows, size):
+    """Per row the numbers of the words that lie in a window of ``size`` words which stands earlier, in order of tiles."""
+    seen, out = set(), []
+    for _, text in rows:
+        w, hit = (text or "").lower().split(), set()
+        for i in range(len(w) - size + 1):
+            window = tuple(w[i:i + size])
+            if window in seen:
+                hit |= set(range(i, i + size))
+            seen.add(window)
+        out.append(hit)
+    return out
+
+
 def brute_repeats(rows, min_words=40):
-    """Spans from plain loops over the units in the order of tiles."""
-    seen, out = {}, []
-    for tile, text in rows:
-        runs = []
-        for u in repeats.units_of(text):
-            if u["hash"] not in seen:
-                seen[u["hash"]] = tile
-            elif runs and runs[-1]["no"] + 1 == u["no"]:
-                runs[-1] |= {"no": u["no"], "stop": u["stop"], "words": runs[-1]["words"] + u["words"], "kept": min(runs[-1]["kept"], seen[u["hash"]])}
+    """(tile, start, length, words) of runs of words in ten-word windows that stand earlier."""
+    out = []
+    for (tile, text), hit in zip(rows, standing(rows, 10)):
+        places = [m.span() for m in re.finditer(r"\S+", text or "")]
+        run = []
+        for i in range(len(places) + 1):
+            if i in hit:
+                run.append(i)
             else:
-                runs.append({"no": u["no"], "start": u["start"], "stop": u["stop"], "words": u["words"], "kept": seen[u["hash"]]})
-        out += [(tile, r["start"], r["stop"] - r["start"], r["words"], r["kept"]) for r in runs if r["words"] >= min_words]
+                if len(run) >= min_words:
+                    out.append((tile, places[run[0]][0], places[run[-1]][1] - places[run[0]][0], len(run)))
+                run = []
     return sorted(out)
 
 
 PASSAGE = "Dies ist " + " ".join(words(20, 1)) + ". Und das " + " ".join(words(25, 2)) + "."
 
 
-def test_units_keep_offsets_and_passages_keep_their_own():
-    text = "Eins zwei.\n\n  Drei vier fünf\nmitten drin " + PASSAGE + " weiter hier"
-    found = repeats.units_of(text)
-    assert ["".join(text[u["start"]:u["stop"]].split()) for u in found][:2] == ["Einszwei.", "Dreivierfünf"]
-    own = {u["hash"] for u in repeats.units_of(PASSAGE)}
-    assert own <= {u["hash"] for u in found}
-    assert repeats.units_of(None) == repeats.units_of("") == repeats.units_of(" \n ") == []
+def unit_hashes(text):
+    return {h for h, *_ in repeats.units_of(repeats._words(text))}
+
+
+def test_units_of_a_passage_do_not_depend_on_what_is_around():
+    assert unit_hashes("Eins zwei drei vier fünf sechs.\n\n  Drei vier fünf\nmitten drin.\n" + PASSAGE + " weiter hier") >= unit_hashes(PASSAGE)
+    assert unit_hashes("") == unit_hashes(" \n ") == set() and repeats._words(None) == []
+    rng = random.Random(3)
+    for _ in range(200):
+        passage = " ".join(rng.choice("abcdefghij") * rng.randrange(1, 4) + rng.choice(["", "", "", "", "", "."]) for _ in range(50))
+        around = [" ".join(f"{x}{rng.randrange(99)}" for _ in range(rng.randrange(60))) for x in "uv"]
+        assert unit_hashes(f"{around[0]} {passage} {around[1]}") & unit_hashes(f"{around[1]} {passage} {around[0]}"), passage
 
 
 def test_repeated_spans_equal_brute_force(spark, feedback):
     rng = np.random.default_rng(1)
     pool = [" ".join(rng.choice(words(300), 12)).capitalize() + "." for _ in range(30)]
     rows = [(i, " ".join(rng.choice(pool, int(rng.integers(0, 14))))) for i in range(60)]
-    got = repeats.repeated_spans(feedback(*[(t, x, "a") for t, x in rows])).drop("row_no").collect()
+    got = repeats.repeated_spans(feedback(*[(t, x, "a") for t, x in rows])).select("tile_id", "start", "length", "words").collect()
     assert sorted(map(tuple, got)) == brute_repeats(rows) and got
 
 
+@pytest.mark.parametrize("whole_first", [True, False])
+def test_random_passages_at_random_places(spark, feedback, whole_first):
+    rng = random.Random(5)
+    vocabulary = words(2000, 8)
+    passages = [[rng.choice(vocabulary) + rng.choice([""] * rng.choice([2, 9, 99]) + ["."]) for _ in range(rng.randrange(50, 140))] for _ in range(25)]
+    rows = [(i, " ".join(p)) for i, p in enumerate(passages)] if whole_first else []
+    for tile in range(len(rows), 150):
+        w = []
+        for _ in range(rng.randrange(1, 5)):
+            w += [rng.choice(vocabulary) for _ in range(rng.randrange(0, 80))]
+            p = rng.choice(passages)
+            at = rng.randrange(0, len(p) - 49)
+            w += p[at:at + rng.randrange(50, 200)] if rng.random() < 0.7 else []
+        rows.append((tile, rng.choice([" ", "\n", " \t "]).join(w) if not whole_first or rng.random() < 0.8 else " ".join(w).upper()))
+    found = {t: set() for t, _ in rows}
+    for r in repeats.repeated_spans(feedback(*[(t, x, "a") for t, x in rows])).collect():
+        first = len(rows[r.tile_id][1][:r.start].split())
+        found[r.tile_id] |= set(range(first, first + r.words))
+    must, may = standing(rows, 50), standing(rows, 10)
+    assert all(found[t] <= may[t] for t, _ in rows)
+    lost = {t: must[t] - found[t] for t, _ in rows}
+    if whole_first:
+        assert not any(lost.values()), lost
+    # Of versions of many lengths, less than a unit can stay at an edge.
+    assert all(not set(range(i, i + 24)) <= lost[t] for t in lost for i in lost[t])
+
+
 def test_passages_inside_other_text_are_cut_and_clean_notes_stay(spark, feedback):
     rows = [(1, "vorher steht " + PASSAGE, "a"), (2, "anderes steht " + PASSAGE + " danach kommt noch etwas", "a"), (3, "Nur dies ist hier.", "b"),
             (4, "Nur dies ist hier.", "b"), (5, None, "b"), (6, PASSAGE, None), (6, PASSAGE, None)]
