@@ -133,8 +133,8 @@ def build(feedback: DataFrame, fields: Sequence[str] = ("tile_id", "source_file"
     sizes = sources.agg(F.count(F.lit(1)).alias("sources"), F.max("n").alias("largest")).first()
     known = sources.select(F.col("source").alias("_s"), "first", "n", "grp")
     nodes = placed.join(known, F.col("source").eqNullSafe(F.col("_s"))).select(
-        "grp", (F.col("place") - F.col("first")).alias("at"), "digest", F.lit(1).cast("long").alias("leaves"), "n", "place", "tile_id", "seen")
-    tiers, tops = _tree(nodes, sizes.largest or 0, ("place", "tile_id", "seen"), "manifest-tier")
+        "grp", (F.col("place") - F.col("first")).alias("at"), "digest", F.lit(1).cast("long").alias("leaves"), "n", "tile_id", "seen")
+    tiers, tops = _tree(nodes, sizes.largest or 0, ("tile_id", "seen"), "manifest-tier")
     top_nodes = tops.select(F.lit(TOP).cast("long").alias("grp"), F.col("grp").alias("at"), "digest", "leaves", F.lit(sizes.sources).cast("long").alias("n"))
     top_tiers, root = _tree(top_nodes, sizes.sources, (), "manifest-top")
     above = [_linked(t) for t in [*tiers[1:], *top_tiers]]
@@ -144,22 +144,22 @@ def build(feedback: DataFrame, fields: Sequence[str] = ("tile_id", "source_file"
     shares = F.sequence(F.lit(0), F.ceil(F.col("leaves") / CLIMBERS).cast("int") - 1)
     final = root.first()
     return Manifest(
-        leaves=_linked(tiers[0], ("place", "tile_id", "digest", "seen")),
+        leaves=_linked(tiers[0], ("tile_id", "digest", "seen")),
         nodes=stored(all_above.withColumn("share", F.explode(shares)), "manifest-nodes"),
         root=final.digest.hex() if final else None)
 
 
 _CLIMB = """
 WITH RECURSIVE climb AS (
-  SELECT place, up_grp, up_tier, up_at, up_shares, folded, proof, subroot FROM {start}
+  SELECT tile_id, digest, up_grp, up_tier, up_at, up_shares, folded, proof, subroot FROM {start}
   UNION ALL
-  SELECT c.place, n.up_grp, n.up_tier, n.up_at, n.up_shares,
-         aggregate(n.steps, c.folded, (h, s) -> sha2(concat(lower(hex(s.left)), h, lower(hex(s.right))), 256)),
+  SELECT c.tile_id, c.digest, n.up_grp, n.up_tier, n.up_at, n.up_shares,
+         aggregate(n.steps, c.folded, (h, s) -> unhex(sha2(concat(lower(hex(s.left)), lower(hex(h)), lower(hex(s.right))), 256))),
          aggregate(n.steps, c.proof, (p, s) -> concat(p, s.left, s.right)),
          coalesce(c.subroot, n.top)
   FROM climb c JOIN {nodes} n
-    ON c.up_grp = n.grp AND c.up_tier = n.tier AND c.up_at = n.at AND pmod(xxhash64(c.place), c.up_shares) = n.share)
-SELECT place, folded, proof, subroot FROM climb WHERE up_grp IS NULL LIMIT ALL"""
+    ON c.up_grp = n.grp AND c.up_tier = n.tier AND c.up_at = n.at AND pmod(xxhash64(c.digest), c.up_shares) = n.share)
+SELECT tile_id, digest, folded, proof, subroot FROM climb WHERE up_grp IS NULL LIMIT ALL"""
 
 
 def audit(manifest: Manifest) -> DataFrame:
@@ -169,13 +169,12 @@ def audit(manifest: Manifest) -> DataFrame:
     the root) and folds what was found in the leaf's place over them. ``proof_sha256`` is the digest of the siblings' hex,
     ``folded_root`` what the row as found comes to and ``verified`` whether that is the root. One row per leaf; none without rows.
     """
-    spark = manifest.leaves.sparkSession
-    first = manifest.leaves.select(
-        "place", "tile_id", _hex(F.col("digest")).alias("leaf"), "up_grp", "up_tier", "up_at", "up_shares",
-        F.aggregate("steps", _hex(F.col("seen")), lambda h, s: F.sha2(F.concat(_hex(s["left"]), h, _hex(s["right"])), 256)).alias("folded"),
+    start = manifest.leaves.select(
+        "tile_id", "digest", "up_grp", "up_tier", "up_at", "up_shares",
+        F.aggregate("steps", F.col("seen"), lambda h, s: F.unhex(F.sha2(F.concat(_hex(s["left"]), _hex(h), _hex(s["right"])), 256))).alias("folded"),
         F.aggregate("steps", F.lit(b""), lambda p, s: F.concat(p, s["left"], s["right"])).alias("proof"), F.col("top").alias("subroot"))
-    climbed = stored(spark.sql(_CLIMB, start=first.drop("tile_id", "leaf"), nodes=manifest.nodes), "manifest-climbed")
+    climbed = stored(manifest.leaves.sparkSession.sql(_CLIMB, start=start, nodes=manifest.nodes), "manifest-climbed")
     root = F.lit(manifest.root).cast("string")
-    return first.select("place", "tile_id", "leaf").join(climbed, "place").select(
-        "tile_id", "leaf", _hex(F.col("subroot")).alias("subroot"), root.alias("root"), F.sha2(_hex(F.col("proof")), 256).alias("proof_sha256"),
-        F.col("folded").alias("folded_root"), (F.col("folded") == root).alias("verified"))
+    return climbed.select(
+        "tile_id", _hex(F.col("digest")).alias("leaf"), _hex(F.col("subroot")).alias("subroot"), root.alias("root"), F.sha2(_hex(F.col("proof")), 256).alias("proof_sha256"),
+        _hex(F.col("folded")).alias("folded_root"), (_hex(F.col("folded")) == root).alias("verified"))
