@@ -1,9 +1,9 @@
 """Repeated passages: the earliest occurrence stays, later ones are spans to remove.
 
-A text's paragraphs are cut into units at sentence ends, whatever its lines; long sentences are cut further at the words whose hash is
-least around them, so a copy has the same cuts wherever it begins and ends. Digests of the normalised units are grouped over all texts and
-the earliest stays. Runs of repeated units that could make up a passage are then compared with the texts that keep them, word by word, a
-unit's length beyond both edges. Spans are offsets into the original text.
+A text is cut into small paragraphs, units, at the words whose hash is least among the words around them, so a copy has the same cuts
+wherever it begins and ends, whatever its lines. Digests of the normalised units are grouped over all texts and the earliest stays. Runs of
+repeated units that could make up a passage are then compared with the texts that keep them, word by word, on beyond both edges. Spans are
+offsets into the original text.
 """
 
 from __future__ import annotations
@@ -20,38 +20,28 @@ from pyspark.sql import functions as F
 from orthomill.llm.tables import fresh, stored
 
 _WORD = re.compile(r"\S+")
-_ENDS = (".", "!", "?")
-#: Words of a sentence that stays whole, words in a row of which the least hash is a cut in longer ones, words of a unit at least.
-LONG, REACH, LEAST = 20, 5, 6
+#: Words in a row of which the least hash is a cut, and words of a unit at least; any 50 words in a row hold a whole unit.
+REACH, LEAST = 11, 8
 #: Words read beyond both edges of a run (what is left of a passage there is shorter), and words of a match that counts.
 EDGE, MATCH = 40, 10
 
 
-def units_of(words: list[tuple[int, int, str]]) -> list[tuple[int, int, int]]:
-    """``(hash, first word, words)`` of a text's units, from its words ``(start, stop, lower case)``.
+def units_of(words: list[str]) -> list[tuple[int, int, int]]:
+    """``(hash, first word, words)`` of a text's units, from its lower-case words.
 
-    A unit begins at each sentence or cut; a sentence with under ``LEAST`` words goes on into the next ones, a unit from a cut
-    reaches to the second cut after it or on to that many words. Where a unit begins and ends depends on the words from 5 before it to its end alone.
+    A unit begins at each cut, and at the first word, and reaches to the first cut ``LEAST`` words on or more, or to the end. Which
+    words are cuts depends on the ``REACH - 1`` words before and after alone.
     """
     n = len(words)
     if not n:
         return []
-    opens = [0] + [i for i in range(1, n) if words[i - 1][2].endswith(_ENDS)] + [n]
-    spans = []
-    for at in range(len(opens) - 1):
-        first, stop = opens[at], opens[at + 1]
-        if stop - first > LONG:
-            order = np.fromiter((xxhash.xxh64_intdigest(words[i][2]) for i in range(first, stop)), np.uint64, stop - first)
-            rows = np.lib.stride_tricks.sliding_window_view(order, REACH)
-            cuts = sorted({first, *(np.unique(rows.argmin(axis=1) + np.arange(len(rows))) + first).tolist(), stop})
-            ends = np.maximum(np.searchsorted(cuts, np.array(cuts) + LEAST), np.arange(len(cuts)) + 2).clip(max=len(cuts) - 1)
-            spans += [(cuts[i], cuts[ends[i]]) for i in range(len(cuts) - 1)]
-        else:
-            last = at + 1
-            while opens[last] - first < LEAST and last < len(opens) - 1 and opens[last + 1] - opens[last] <= LONG:
-                last += 1
-            spans.append((first, opens[last]))
-    return [(xxhash.xxh64_intdigest(" ".join(w[2] for w in words[a:b])) - (1 << 63), a, b - a) for a, b in spans]
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, n)
+    cuts = np.array([0, n])
+    if n >= REACH:
+        least = np.lib.stride_tricks.sliding_window_view(hashes, REACH).argmin(axis=1)
+        cuts = np.union1d(cuts, least + np.arange(len(least)))
+    ends = cuts[np.searchsorted(cuts, cuts[:-1] + LEAST).clip(max=len(cuts) - 1)]
+    return [(xxhash.xxh64_intdigest(" ".join(words[a:b])) - (1 << 63), a, b - a) for a, b in zip(cuts[:-1].tolist(), ends.tolist())]
 
 
 def _words(text: str | None) -> list[tuple[int, int, str]]:
@@ -67,7 +57,7 @@ def _units(numbered: DataFrame, row: str) -> DataFrame:
         for batch in batches:
             found = []
             for t in batch.column(2):
-                units = [(0, 0, 0), *units_of(_words(t.as_py())), (0, 0, 0)]
+                units = [(0, 0, 0), *units_of((t.as_py() or "").lower().split()), (0, 0, 0)]
                 found.append([dict(zip(fields, (*units[i], units[i - 1][2] + units[i + 1][2]))) for i in range(1, len(units) - 1)])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, types)], ["row_no", "rank", "units"])
 
@@ -83,8 +73,9 @@ def _places(numbered: DataFrame, row: str, min_words: int) -> DataFrame:
     ``row_no, rank, own`` (where the stretch begins in the text, in words), ``kept_row, kept_rank, at, until`` (in words of the kept text).
     """
     unit = _units(numbered, row)
-    first = stored(unit.groupBy("hash").agg(F.min(F.struct("rank", "row_no", "pos")).alias("first"), F.count(F.lit(1)).alias("n"))
-                   .filter("n > 1").select("hash", "first"), "repeat-first")
+    common = stored(unit.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash"), "repeat-common")
+    unit = stored(unit.join(common, "hash"), "repeat-met")
+    first = stored(unit.groupBy("hash").agg(F.min(F.struct("rank", "row_no", "pos")).alias("first")), "repeat-first")
     again = (unit.join(first, "hash").filter("row_no != first.row_no or pos != first.pos")
              .groupBy("row_no", "rank").agg(F.collect_list(F.struct("pos", "words", "beside", F.col("first.rank").alias("kr"), F.col("first.row_no").alias("kn"), F.col("first.pos").alias("kp"))).alias("units")))
     names = ["row_no", "rank", "own", "kept_row", "kept_rank", "at", "until"]
