@@ -2,7 +2,7 @@
 
 Every source's rows, in order of ``tile_id``, are the leaves of a tree in which three neighbours become their digest until one is left, the
 source's root; the sources' roots are the leaves of the top tree. Built levels are stored as node rows. A row stands for a
-node four levels below the node it links to and holds the siblings of those four steps, so a climb of a million rows needs five
+node six levels below the node it links to and holds the siblings of those six steps, so a climb of millions of rows needs four
 joins. What is compared per row is folded along the way by Spark's own recursive query.
 """
 
@@ -14,11 +14,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orthomill.llm.tables import stored
+from orthomill.llm.tables import let, stored
 from orthomill.operators.ordering import global_row_number
 
 #: Neighbours that become one digest, and levels that one node row spans.
-RUN, LEVELS = 3, 4
+RUN, LEVELS = 3, 6
 BLOCK = RUN ** LEVELS
 #: Climbing rows that one copy of a node serves; a node above more leaves is repeated.
 CLIMBERS = 50_000
@@ -76,17 +76,21 @@ def _tier(nodes: DataFrame, tier: int, payload: Sequence[str], name: str) -> Dat
     member = F.struct("at", "digest", "leaves", *payload)
     block = nodes.groupBy("grp", F.floor(F.col("at") / BLOCK).alias("block"), "n").agg(F.sort_array(F.collect_list(member)).alias("members"))
     ends = F.col("n") <= BLOCK
-    block = block.withColumn("l0", F.transform("members", lambda m: _hex(m["digest"])))
-    for i in range(LEVELS):
-        block = block.withColumn(f"l{i + 1}", _above(F.col(f"l{i}"), ends))
-    block = block.withColumn("served", F.aggregate("members", F.lit(0).cast("long"), lambda s, m: s + m["leaves"]))
-    steps = F.array_compact(F.array(*[
-        _siblings(F.col(f"l{i}"), F.floor(F.col("k") / RUN ** i).cast("int"), ends) for i in range(LEVELS)]))
-    rows = block.select("*", F.posexplode("members").alias("k", "m"))
-    return stored(rows.select(
-        "grp", F.lit(tier).alias("tier"), F.col("m.at").alias("at"), F.col("m.leaves").alias("leaves"), F.col("m.digest").alias("digest"), *[F.col(f"m.{p}").alias(p) for p in payload],
-        steps.alias("steps"), ends.alias("ends"), F.col("block").alias("up_at"), F.col("served").alias("served"), F.col("n"),
-        F.unhex(F.get(f"l{LEVELS}", 0)).alias("above")), name)
+
+    def read(levels: Column) -> Column:
+        def row(m: Column, k: Column) -> Column:
+            steps = F.array_compact(F.transform(F.slice(levels, 1, LEVELS), lambda level, i: _siblings(level, F.floor(k / F.pow(F.lit(RUN), i)).cast("int"), ends)))
+            return F.struct(*[m[c].alias(c) for c in ("at", "leaves", "digest", *payload)], steps.alias("steps"))
+        return F.struct(F.transform("members", row).alias("rows"), F.unhex(F.get(F.get(levels, LEVELS), 0)).alias("above"))
+
+    # All levels of a block are made once and read inside the block, so they are not copied to each of its rows.
+    levels = F.aggregate(F.sequence(F.lit(1), F.lit(LEVELS)), F.array(F.transform("members", lambda m: _hex(m["digest"]))),
+                         lambda made, i: F.concat(made, F.array(_above(F.get(made, i - 1), ends))))
+    served = F.aggregate("members", F.lit(0).cast("long"), lambda s, m: s + m["leaves"])
+    rows = block.select("grp", "block", "n", served.alias("served"), let(levels, read).alias("x"))
+    return stored(rows.select("grp", "block", "n", "served", F.col("x.above").alias("above"), F.explode("x.rows").alias("m")).select(
+        "grp", F.lit(tier).alias("tier"), *[F.col(f"m.{c}").alias(c) for c in ("at", "leaves", "digest", *payload, "steps")],
+        ends.alias("ends"), F.col("block").alias("up_at"), "served", "n", "above"), name)
 
 
 def _tree(nodes: DataFrame, largest: int, payload: Sequence[str], name: str) -> tuple[list[DataFrame], DataFrame]:

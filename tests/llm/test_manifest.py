@@ -67,11 +67,11 @@ def cut(tile, notes):
 @pytest.mark.parametrize("climbers", [50_000, 100])
 def test_equals_brute_force_over_several_tiers(feedback, monkeypatch, climbers):
     monkeypatch.setattr(manifest, "CLIMBERS", climbers)
-    sizes = {"a": 1, "b": 2, "c": 3, "d": 4, "é": 81, "f": 82, "g": 700, None: 7}
+    sizes = {"a": 1, "b": 2, "c": 3, "d": 4, "é": 81, "f": 82, "g": 760, None: 7}
     rows, tile = [], 0
     for source, n in sizes.items():
         for _ in range(n):
-            rows.append((tile * 7 % 1013, source, f"note {tile}\nline" if tile % 3 else None))
+            rows.append((tile * 7 % 1019, source, f"note {tile}\nline" if tile % 3 else None))
             tile += 1
     df = feedback(*[(t, n, s) for t, s, n in rows]).repartition(7)
     tampered = F.when(F.col("tile_id") % 2 == 0, F.replace("notes", F.lit("\n"), F.lit(""))).otherwise(F.col("notes"))
