@@ -9,10 +9,14 @@ from orthomill.plans.registry import query, with_ctes
 from orthomill.session import scratch_path
 from orthomill.sources import sinks
 from orthomill.sources import testbed as tb
-from orthomill.streaming import jobs
-
-TILES = DIAG.strip() + """,
-tt AS (SELECT DISTINCT run_id, tile_id FROM diag WHERE status <> 'failed')
+from orthomill.streaming import jobs, retries
+
+#: Tiles' outcomes from raw rows: the first that did not fail, unless three failed before it.
+OUTCOMES = """
+od AS (SELECT *, count(*) FILTER (status = 'failed') OVER (PARTITION BY run_id, tile_id ORDER BY ts, attempt, status ROWS UNBOUNDED PRECEDING) AS failures FROM {rows}),
+oc AS (
+  SELECT run_id, tile_id, status, attempt, failures FROM od WHERE status <> 'failed' OR failures >= 3
+  QUALIFY row_number() OVER (PARTITION BY run_id, tile_id ORDER BY ts, attempt, status) = 1)
 """
 
 
@@ -24,10 +28,12 @@ def diagnostics_stream(spark, sf):
 
 @query("g1_run_progress", with_ctes(DIAG, """
 dg AS (SELECT * REPLACE (run_id || strftime(ts, ' %H-') || CAST(substr(tile_id, 6) AS BIGINT) % 4 AS run_id) FROM diag),
-tot AS (SELECT run_id, count(DISTINCT tile_id) + CASE WHEN right(run_id, 1) = '3' THEN 3 ELSE 0 END AS tiles_total FROM dg GROUP BY 1),
-bst AS (SELECT run_id, tile_id, max(CASE status WHEN 'complete' THEN 3 WHEN 'skipped' THEN 2 ELSE 1 END) AS k FROM dg WHERE status <> 'failed' GROUP BY 1, 2),
-dn AS (SELECT run_id, count(*) AS tiles_done, count(*) FILTER (k = 1) AS errors FROM bst GROUP BY 1)""", select="""
-SELECT run_id, tiles_total, coalesce(tiles_done, 0) AS tiles_done, coalesce(errors, 0) AS errors,
+tot AS (SELECT run_id, count(DISTINCT tile_id) + CASE WHEN right(run_id, 1) = '3' THEN 3 ELSE 0 END AS tiles_total FROM dg GROUP BY 1)""",
+    OUTCOMES.format(rows="dg"), """
+dn AS (
+  SELECT run_id, count(*) AS tiles_done, count(*) FILTER (status IN ('error', 'failed')) AS errors, count(*) FILTER (status = 'failed') AS given_up
+  FROM oc GROUP BY 1)""", select="""
+SELECT run_id, tiles_total, coalesce(tiles_done, 0) AS tiles_done, coalesce(errors, 0) AS errors, coalesce(given_up, 0) AS given_up,
        CASE WHEN coalesce(tiles_done, 0) = 0 THEN 'IDLE' WHEN tiles_done < tiles_total THEN 'RUNNING' WHEN errors = tiles_done THEN 'FAILED'
             ELSE 'COMPLETED' END AS state
 FROM tot LEFT JOIN dn USING (run_id)"""))
@@ -36,17 +42,25 @@ def g1(spark, sf):
         part = F.regexp_extract("tile_id", r"(\d+)$", 1).cast("long") % 4
         return diagnostics.withColumn("run_id", F.concat("run_id", F.date_format("ts", " HH-"), part))
 
-    states = jobs.run_updates(jobs.tile_states(hourly(diagnostics_stream(spark, sf)), "60 days"), ["day", "run_id", "tile_id"], "states")
+    found = retries.run_outcomes(hourly(diagnostics_stream(spark, sf)), "run-outcomes", lateness="60 days")
     runs = hourly(tb.diagnostics(spark, sf)).groupBy("run_id").agg(F.countDistinct("tile_id").alias("n")).select(
         "run_id", (F.col("n") + F.when(F.col("run_id").endswith("3"), 3).otherwise(0)).alias("tiles_total"))
-    return jobs.with_run_state(jobs.run_progress(jobs.final_states(states)), runs).select(
-        "run_id", "tiles_total", "tiles_done", "errors", "state")
+    return jobs.with_run_state(retries.outcome_progress(found), runs).select(
+        "run_id", "tiles_total", "tiles_done", "errors", F.coalesce("given_up", F.lit(0)).alias("given_up"), "state")
 
 
-@query("g2_terminal_tiles", with_ctes(TILES, select="SELECT * FROM tt"))
+@query("g2_terminal_tiles", with_ctes(DIAG, OUTCOMES.format(rows="diag"), select="SELECT * FROM oc"))
 def g2(spark, sf):
-    stream = jobs.unique_tiles(diagnostics_stream(spark, sf), "60 days").select("run_id", "tile_id")
-    return jobs.run_to_table(stream, "terminal-tiles")
+    found = retries.run_outcomes(diagnostics_stream(spark, sf), "terminal-tiles", lateness="60 days")
+    return found.select("run_id", "tile_id", "status", "attempt", "failures")
+
+
+@query("g2_unbroken_failures", with_ctes(DIAG, """
+fd AS (SELECT run_id || ' ' || attempt AS run_id, tile_id, ts, attempt, status FROM diag WHERE status IN ('failed', 'error'))""",
+    OUTCOMES.format(rows="fd"), select="SELECT status, failures, count(*) AS tiles FROM oc GROUP BY ALL"))
+def g2_failures(spark, sf):
+    bad = diagnostics_stream(spark, sf).filter("status in ('failed', 'error')").withColumn("run_id", F.concat_ws(" ", "run_id", "attempt"))
+    return retries.run_outcomes(bad, "unbroken-failures", lateness="60 days").groupBy("status", "failures").agg(F.count(F.lit(1)).alias("tiles"))
 
 
 @query("g2_best_attempts", with_ctes(DIAG, """
