@@ -64,7 +64,7 @@ def _units(numbered: DataFrame, row: str) -> DataFrame:
     rank = F.coalesce(F.col("tile_id").cast("long"), F.lit((1 << 63) - 1))
     units = numbered.select(F.col(row).alias("row_no"), rank.alias("rank"), F.col("notes").cast("string")).mapInArrow(
         run, "row_no long, rank long, units array<struct<hash:bigint,pos:int,words:int,beside:int>>")
-    return stored(units.select("row_no", "rank", F.explode("units").alias("x")).select("row_no", "rank", *[F.col(f"x.{c}").alias(c) for c in fields]), "repeat-units")
+    return stored(units.select("row_no", "rank", F.explode("units").alias("x")).select("row_no", "rank", *[F.col(f"x.{c}").alias(c) for c in fields]), "repeat-units", "zstd")
 
 
 def _places(numbered: DataFrame, row: str, min_words: int) -> DataFrame:
@@ -120,7 +120,7 @@ def _slices(numbered: DataFrame, row: str, places: DataFrame) -> DataFrame:
 
     texts = numbered.select(F.col(row).alias("kept_row"), F.col("notes").cast("string").alias("notes"))
     cut = texts.join(wanted, "kept_row").select("kept_row", "notes", "wanted").mapInArrow(run, "kept_row long, parts array<struct<at:bigint,until:bigint,slice:string>>")
-    return stored(cut.select("kept_row", F.explode("parts").alias("x")).select("kept_row", "x.at", "x.until", "x.slice"), "repeat-slices")
+    return stored(cut.select("kept_row", F.explode("parts").alias("x")).select("kept_row", "x.at", "x.until", "x.slice"), "repeat-slices", "zstd")
 
 
 def _agreeing(own: list[str], kept: list[str]) -> list[tuple[int, int]]:
@@ -185,7 +185,7 @@ def repeated_spans(feedback: DataFrame, min_words: int = 40) -> DataFrame:
     edge, if they stand only in a text that keeps none of the passage's units. No rows give no rows; other columns are not read. Digests group by
     combining before the shuffle and a digest that many rows share is only joined, never gathered.
     """
-    numbered = stored(feedback.select("tile_id", "notes", F.monotonically_increasing_id().alias("row_no")), "repeat-notes")
+    numbered = stored(feedback.select("tile_id", "notes", F.monotonically_increasing_id().alias("row_no")), "repeat-notes", "zstd")
     return _spans(numbered, "row_no", min_words)
 
 
@@ -196,7 +196,7 @@ def without_repeats(feedback: DataFrame, min_words: int = 40) -> DataFrame:
     a text that repeats as a whole becomes empty. The text is stored once and meets its spans in one join.
     """
     row = fresh(feedback, "_row")
-    numbered = stored(feedback.withColumn(row, F.monotonically_increasing_id()), "repeat-notes")
+    numbered = stored(feedback.withColumn(row, F.monotonically_increasing_id()), "repeat-notes", "zstd")
     spans = _spans(numbered, row, min_words)
     gone = fresh(numbered, "_gone")
     cut = spans.groupBy(F.col("row_no").alias(row)).agg(F.sort_array(F.collect_list(F.struct(
