@@ -2,7 +2,8 @@
 
 Every page's containers are scored by the text they hold; the scores are votes for the container's
 generalised tag-class path, summed per host in Spark. Pages are then read again and the text is taken from
-the containers on their host's winning path. The project has no page records, so the interface is general.
+the containers on their host's winning path. A path is named by a digest of its parent's digest and its own step, so deep pages
+stay small. The project has no page records, so the interface is general.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from hashlib import blake2b
 from html import unescape
 
 import pyarrow as pa
@@ -21,7 +23,7 @@ from orthomill.llm.tables import stored
 _TAG = re.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[(?P<data>.*?)(?:\]\]>|$)|<[!?][^>]*(?:>|$)"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"'<]++|\"[^\"<]*+\"|'[^'<]*+')*+|[^>]*+)(?:>|$)", re.S)
-_ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_ATTR = re.compile(r"(?<![a-zA-Z-])([a-zA-Z-]++)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _DIGITS = re.compile(r"[0-9]+")
 _RAW = frozenset("script style noscript template textarea iframe svg math object canvas select title".split())
@@ -40,17 +42,20 @@ _NOISE = frozenset(
     "comments reply replies respond disqus discussion related recommended breadcrumb breadcrumbs pagination pager toolbar widget widgets login search skip "
     "hidden".split())
 _REMARKS = frozenset("comment comments reply replies respond disqus discussion".split())
+_MAIN = ("article", "main", "section")
 _CORE = frozenset("content main article post entry story body text page".split())
 _SHUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar".split())
 
 
-@dataclass
+@dataclass(slots=True)
 class _Node:
+    """``path``: digest of a block's path; ``box``: the nearest element at or above that can hold text blocks."""
     parent: int
     name: str
     path: str
     dropped: bool
     block: bool
+    box: int
 
 
 @dataclass
@@ -81,9 +86,13 @@ def _noise(name: str, attrs: dict[str, str], inside_core: bool) -> bool:
 
 
 def parse(html: str) -> Page:
-    """Read a page, however broken, in one pass; unclosed elements end with their parent or the page."""
-    page, stack, pieces, link, linked = Page([_Node(-1, "", "", False, True)]), [0], [], 0, 0
-    nodes, tops = page.nodes, [0]
+    """Read a page, however broken, in one pass; unclosed elements end with their parent or the page.
+
+    Time and memory follow the page's length, however deep it is: ``depths`` knows where each open name stands.
+    """
+    page, stack, pieces, linked = Page([_Node(-1, "", "", False, True, 0)]), [0], [], 0
+    # Open blocks, their places in the stack, and the places of all open elements by name.
+    nodes, tops, floors, depths = page.nodes, [0], [0], {}
 
     def flush() -> None:
         nonlocal linked
@@ -94,19 +103,24 @@ def parse(html: str) -> Page:
                 page.blocks.append((tops[-1], text, min(linked, len(text))))
         linked = 0
 
-    def pop() -> None:
-        nonlocal link
-        node = nodes[stack.pop()]
-        if node.block:
-            tops.pop()
-        if node.name == "a":
-            link -= 1
+    def innermost(*names: str) -> int:
+        """The place in the stack of the last opened element of these names, 0 for none."""
+        return max((depths[n][-1] for n in names if depths.get(n)), default=0)
+
+    def cut(depth: int) -> None:
+        """End all elements from this place in the stack on."""
+        while len(stack) > depth:
+            node = nodes[stack.pop()]
+            depths[node.name].pop()
+            if node.block:
+                tops.pop()
+                floors.pop()
 
     def said(text: str) -> None:
         nonlocal linked
         if text and not nodes[stack[-1]].dropped:
             pieces.append(text)
-            if link > 0:
+            if depths.get("a"):
                 linked += len(text)
 
     at, end = 0, len(html)
@@ -130,11 +144,10 @@ def parse(html: str) -> Page:
                 continue
             if block:
                 flush()
-            depth = next((d for d in range(len(stack) - 1, 0, -1) if nodes[stack[d]].name == name), 0)
+            depth = innermost(name)
             # An inline end tag doesn't reach beyond its block.
-            if depth and (block or not any(nodes[i].block for i in stack[depth + 1:])):
-                while len(stack) > depth:
-                    pop()
+            if depth and (block or floors[-1] <= depth):
+                cut(depth)
             continue
         if name in _VOID:
             if name == "hr":
@@ -143,29 +156,22 @@ def parse(html: str) -> Page:
                 said(" ")
             continue
         attrs = {a.lower(): b or c or d or "" for a, b, c, d in _ATTR.findall(m["attrs"])} if m["attrs"] else {}
-        if re.search(r"\shidden(?=[\s/]|$)", m["attrs"] or ""):
+        if m["attrs"] and re.search(r"\shidden(?=[\s/]|$)", m["attrs"]):
             attrs["hidden"] = ""
         if block:
             flush()
-            closes = _CLOSES.get(name)
-            if closes:
-                for d in range(len(stack) - 1, 0, -1):
-                    n = nodes[stack[d]].name
-                    if n in closes[1]:
-                        break
-                    if n in closes[0]:
-                        while len(stack) > d:
-                            pop()
-            elif nodes[tops[-1]].name == "p" or any(nodes[i].name == "p" for i in stack[-6:]):
-                d = next((d for d in range(len(stack) - 1, 0, -1) if nodes[stack[d]].name == "p"), 0)
-                while d and len(stack) > d:
-                    pop()
+            if name in _CLOSES:
+                ended, fences = _CLOSES[name]
+                while innermost(*ended) > innermost(*fences):
+                    cut(innermost(*ended))
+            elif nodes[tops[-1]].name == "p" or innermost("p") >= max(1, len(stack) - 6):
+                cut(innermost("p"))
         parent = nodes[stack[-1]]
-        inside_core = any(nodes[i].name in ("article", "main", "section") for i in tops)
+        inside_core = innermost(*_MAIN) > 0
         dropped = parent.dropped or _noise(name, attrs, inside_core)
         if block:
             classes = ".".join(sorted(_DIGITS.sub("#", c.lower()) for c in attrs.get("class", "").split()))
-            path = f"{nodes[tops[-1]].path}>{name}{'.' + classes if classes else ''}"
+            path = blake2b(f"{nodes[tops[-1]].path}>{name}{'.' + classes if classes else ''}".encode("utf-8", "replace"), digest_size=16).hexdigest()
         else:
             path = ""
         if name in _RAW:
@@ -174,23 +180,17 @@ def parse(html: str) -> Page:
             if close:
                 at = (html.find(">", at) + 1) or end
             continue
-        nodes.append(_Node(stack[-1], name, path, dropped, block))
-        stack.append(len(nodes) - 1)
+        here = len(nodes)
+        nodes.append(_Node(stack[-1], name, path, dropped, block, here if block and name in _TEXT_CONTAINERS else parent.box))
+        depths.setdefault(name, []).append(len(stack))
         if block:
-            tops.append(len(nodes) - 1)
-        if name == "a":
-            link += 1
+            tops.append(here)
+            floors.append(len(stack))
+        stack.append(here)
     flush()
     return page
 
 
-def _container(page: Page, i: int) -> int:
-    """The nearest element at or above ``i`` that can hold text blocks."""
-    while i > 0 and not (page.nodes[i].block and page.nodes[i].name in _TEXT_CONTAINERS):
-        i = page.nodes[i].parent
-    return i
-
-
 def scores(page: Page) -> dict[int, int]:
     """Score of each container in thousandths of the page's best.
 
@@ -203,8 +203,8 @@ def scores(page: Page) -> dict[int, int]:
         if worth <= 0:
             continue
         own = page.nodes[leaf].name in ("div", "section", "td", "article", "main", "body", "center")
-        first = _container(page, leaf if own else max(0, page.nodes[leaf].parent))
-        second = _container(page, page.nodes[first].parent) if first > 0 else 0
+        first = page.nodes[leaf if own else max(0, page.nodes[leaf].parent)].box
+        second = page.nodes[page.nodes[first].parent].box if first > 0 else 0
         raw[first] = raw.get(first, 0) + worth
         if second != first:
             raw[second] = raw.get(second, 0) + (worth * 0.9 if own else worth * 0.5)
@@ -246,7 +246,7 @@ def host_of(url: Column) -> Column:
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """``(host, path)``: the path with the most votes of a host's pages; ties go to the path that sorts last."""
+    """``(host, path)``: the path (its digest) with the most votes of a host's pages; ties go to the digest that sorts last."""
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []

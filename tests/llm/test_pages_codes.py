@@ -1,6 +1,7 @@
 import gzip
 import json
 import os
+import time
 import zlib
 from collections import Counter
 
@@ -98,6 +99,15 @@ def test_broken_and_deep_pages_take_linear_time(piece):
     consensus.main_text(consensus.parse(piece * 3000), None)
 
 
+@pytest.mark.parametrize("page", [
+    "<div class='a'>x" * 100_000, "<ul>x" * 100_000, "<div>" * 100_000 + "</p>x" * 100_000, "<i>" * 100_000 + "<li>x" * 100_000,
+    "<b>" * 100_000 + "</i>x" * 100_000, "<a " + "b" * 500_000 + ">x"])
+def test_a_hundred_thousand_nested_elements_are_read_in_one_pass(page):
+    started = time.process_time()
+    text = consensus.main_text(consensus.parse(page), None)
+    assert len(text.replace("\n", "").replace("x", "")) == 0 and time.process_time() - started < 8
+
+
 def test_archives_round_trip(spark, tmp_path):
     big, small = "<p>" + "é" * 200, "tiny"
     rows = [(5, "http://a/5", big), (3, "http://a/3 x\r\nX: y", big), (9, None, big), (None, "http://a/n", big), (3, "http://a/3b", big), (1, "u", small), (2, "u", small),
