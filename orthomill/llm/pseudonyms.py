@@ -7,7 +7,10 @@ equal values stay equal across notes, different values stay different, and a key
 
 from __future__ import annotations
 
+from calendar import isleap, monthrange
 from collections.abc import Callable
+from datetime import date
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +29,14 @@ SOCIAL = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 CARD = r"(?<![0-9])[0-9]{4}(?:[ -][0-9]{4}){2}[ -][0-9]{1,7}(?![0-9])|(?<![0-9])[0-9]{13,19}(?![0-9])"
 FOUND = "|".join(f"(?:{p})" for p in (MAIL, SECRET, IBAN, DATE, ADDRESS, PHONE, SOCIAL, CARD))
 ROUNDS = 8
+#: Dates are those of the pattern's years, 1900 to 2099.
+FIRST_DAY = (date(1900, 1, 1) - date(1970, 1, 1)).days
+DAYS = (date(2100, 1, 1) - date(1900, 1, 1)).days
+LEAP_YEARS = sum(map(isleap, range(1900, 2100)))
+#: Days from the 13th on, numbered through a leap year: where each month starts, how many there are, and the 29th of February's place.
+LATE_STARTS = [0, *accumulate(monthrange(2000, m)[1] - 12 for m in range(1, 12))]
+LATE_DAYS = 366 - 12 * 12
+LEAP_PLACE = LATE_STARTS[1] + 29 - 13
 _LOWER, _UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -68,12 +79,39 @@ def permute_digits(digits: Column, key: str, tweak: str, sign: int = 1) -> Colum
     return let(digits, of)
 
 
+def _walk(left: Column, right: Column, left_size: int, right_size: int, valid: Callable[[Column], Column], outside: int,
+          key: str, tweak: str, sign: int) -> Column:
+    """A permutation of the ``valid`` pairs alone: the network is applied until its result is one of them.
+
+    ``outside`` is how many pairs below the sizes are not valid, so no walk takes more than one turn above it.
+    """
+    def turn(s: Column) -> Column:
+        return _network(s.l, s.r, F.lit(left_size), F.lit(right_size), key, F.lit(tweak), sign)
+
+    first = let(F.struct(left.cast("long").alias("l"), right.cast("long").alias("r")), turn)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(outside)), first, lambda s, _: F.when(valid(s), s).otherwise(turn(s)))
+
+
 def permute_days(days: Column, key: str, sign: int = 1) -> Column:
-    """A permutation of day numbers within stretches of 65,536 days; the first runs from 1900-01-01 to 2079-06-06."""
-    since = days.cast("long") + 25_567
-    moved = _network(F.pmod(F.floor(since / 256), F.lit(256)), F.pmod(since, F.lit(256)), F.lit(256), F.lit(256), key,
-                     F.concat(F.lit("day"), F.floor(since / 65_536).cast("string")), sign)
-    return let(moved, lambda s: F.floor(since / 65_536) * 65_536 + s.l * 256 + s.r - 25_567)
+    """A permutation of the day numbers from 1900-01-01 to 2099-12-31."""
+    side = 271
+    since = days.cast("long") - FIRST_DAY
+    moved = _walk(F.floor(since / side), F.pmod(since, F.lit(side)), side - 1, side, lambda s: s.l * side + s.r < DAYS,
+                  (side - 1) * side - DAYS, key, "day", sign)
+    return let(moved, lambda s: s.l * side + s.r + FIRST_DAY)
+
+
+def _permute_late_days(month: Column, day: Column, year: Column, key: str, sign: int) -> Column:
+    """A permutation of the dates from 1900 to 2099 whose day is 13 or later: struct ``month``, ``day``, ``year``."""
+    starts = F.array(*[F.lit(x) for x in LATE_STARTS])
+
+    def leap(y: Column) -> Column:
+        return (y % 4 == 0) & ((y % 100 != 0) | (y % 400 == 0))
+
+    moved = _walk(F.get(starts, month - 1) + day - 13, year - 1900, LATE_DAYS, 200,
+                  lambda s: (s.l != LEAP_PLACE) | leap(s.r + 1900), 200 - LEAP_YEARS, key, "late", sign)
+    return let(moved, lambda s: let(F.size(F.filter(starts, lambda x: x <= s.l)), lambda m: F.struct(
+        m.cast("long").alias("month"), (s.l - F.get(starts, m - 1) + 13).alias("day"), (s.r + 1900).alias("year"))))
 
 
 def permute_text(text: Column, key: str, tweak: str, letters: int = 26, sign: int = 1, rounds: int = 4) -> Column:
@@ -150,14 +188,31 @@ def _address(value: Column, key: str, sign: int) -> Column:
     return let(F.split(value, r"\."), of)
 
 
+def _slash_date(value: Column, key: str, sign: int) -> Column:
+    """Dates with slashes may be read either way, so those that fit only one way, or both, are permuted among their like."""
+    def of(p: Column) -> Column:
+        a, b, year = (F.get(p, i).cast("long") for i in range(3))
+        month, day = F.least(a, b), F.greatest(a, b)
+
+        def written(x: Column, y: Column, z: Column) -> Column:
+            return F.concat_ws("/", F.lpad(x.cast("string"), 2, "0"), F.lpad(y.cast("string"), 2, "0"), z.cast("string"))
+
+        both = _network((a - 1) * 12 + b - 1, year - 1900, F.lit(144), F.lit(200), key, F.lit("early"), sign)
+        late = _permute_late_days(month, day, year, key, sign)
+        in_calendar = day <= F.day(F.last_day(F.try_to_timestamp(written(month, F.lit(1), year), F.lit("MM/dd/yyyy")).cast("date")))
+        return F.when((month < 1) | (month > 12), value).when(day < 13, let(both, lambda s: written(
+            F.floor(s.l / 12) + 1, s.l % 12 + 1, s.r + 1900))).when(in_calendar, let(late, lambda s: F.when(
+                a <= 12, written(s["month"], s["day"], s["year"])).otherwise(written(s["day"], s["month"], s["year"])))).otherwise(value)
+    return let(F.split(value, "/"), of)
+
+
 def _date(value: Column, key: str, sign: int) -> Column:
-    forms = [(r"^[0-9]{4}-", "yyyy-MM-dd"), (r"^[0-9]{2}\.", "dd.MM.yyyy"), (r"^[0-9]{2}/", "dd/MM/yyyy"), (r"^[0-9]{2}/", "MM/dd/yyyy")]
     out = value
-    for pattern, form in reversed(forms):
+    for pattern, form in ((r"^[0-9]{2}\.", "dd.MM.yyyy"), (r"^[0-9]{4}-", "yyyy-MM-dd")):
         day = F.try_to_date(value, form) if hasattr(F, "try_to_date") else F.try_to_timestamp(value, F.lit(form)).cast("date")
         moved = F.date_format(F.date_from_unix_date(permute_days(F.unix_date(day), key, sign).cast("int")), form)
         out = F.when(value.rlike(pattern) & day.isNotNull(), moved).otherwise(out)
-    return out
+    return F.when(value.contains("/"), _slash_date(value, key, sign)).otherwise(out)
 
 
 def _mail(value: Column, key: str, sign: int) -> Column:
@@ -166,9 +221,17 @@ def _mail(value: Column, key: str, sign: int) -> Column:
 
 
 def _social(value: Column, key: str, sign: int) -> Column:
-    """Area, group and serial numbers that are never given out make a number invalid; what it becomes may be one of them."""
+    """Permuted among the numbers that can be given out: area not 000, 666 or from 900, group not 00, serial not 0000."""
     valid = ~value.rlike("^(000|666|9)|-00-|-0000$")
-    return F.when(valid, _refill(value, permute_digits(_digits(value), key, "social", sign))).otherwise(value)
+
+    def of(d: Column) -> Column:
+        area, group, serial = (F.substring(d, at, n).cast("long") for at, n in ((1, 3), (4, 2), (6, 4)))
+        moved = _network(area - F.when(area > 666, F.lit(2)).otherwise(F.lit(1)), (group - 1) * 9999 + serial - 1,
+                         F.lit(898), F.lit(99 * 9999), key, F.lit("social"), sign)
+        return let(moved, lambda s: F.concat_ws(
+            "-", F.lpad((s.l + F.when(s.l >= 665, F.lit(2)).otherwise(F.lit(1))).cast("string"), 3, "0"),
+            F.lpad((F.floor(s.r / 9999) + 1).cast("string"), 2, "0"), F.lpad((s.r % 9999 + 1).cast("string"), 4, "0")))
+    return F.when(valid, let(_digits(value), of)).otherwise(value)
 
 
 def _iban(value: Column, key: str, sign: int) -> Column:
