@@ -68,9 +68,12 @@ def measure(feedback: DataFrame) -> DataFrame:
     )
 
 
-def frequent_lines(measured: DataFrame, min_documents: int = 20, host_share: float = 0.05) -> DataFrame:
+def frequent_lines(measured: DataFrame, min_documents: int = 20, host_share: float = 0.001) -> DataFrame:
     """``(host, hash)`` of lines that stand in more than ``min_documents`` and ``host_share`` of a host's distinct texts.
 
+    The count decides on all but hosts of over ``min_documents / host_share`` texts (20,000 as given), where the small share
+    keeps a line that so many writers would come upon by themselves.
+
     Copies of a text, and repeated rows, count as one document. All occurrences are counted first, which
     combines before the shuffle and bounds the distinct count from above; only lines that
     pass so are counted over distinct texts.
@@ -87,7 +90,7 @@ def frequent_lines(measured: DataFrame, min_documents: int = 20, host_share: flo
         .groupBy("host", "hash", "texts").agg(F.count(F.lit(1)).alias("n")).filter(above).select("host", "hash"), "line-frequent")
 
 
-def judge_notes(feedback: DataFrame, min_documents: int = 20, host_share: float = 0.05, min_words: int = 20,
+def judge_notes(feedback: DataFrame, min_documents: int = 20, host_share: float = 0.001, min_words: int = 20,
                 max_repeated: int = 30, min_left_words: int = 10, min_left_share: float = 0.2) -> DataFrame:
     """Base counts and the line-frequency verdict of every row of ``feedback`` (``tile_id``, ``source_file``, ``notes``).
 

@@ -72,7 +72,7 @@ rep AS (SELECT rid, sum(least(8, coalesce(nxt - i, 8))) AS n_repeat_words FROM h
 host AS (SELECT source, count(DISTINCT t) AS texts FROM d GROUP BY source),
 freq AS (
   SELECT lx.source, norm FROM lx JOIN host ON lx.source IS NOT DISTINCT FROM host.source
-  GROUP BY lx.source, norm HAVING count(DISTINCT t) > 20 AND count(DISTINCT t) > 0.05e0 * any_value(texts)),
+  GROUP BY lx.source, norm HAVING count(DISTINCT t) > 20 AND count(DISTINCT t) > 0.001e0 * any_value(texts)),
 rem AS (
   SELECT rid, sum(len(words)) AS removed FROM lx JOIN freq ON lx.source IS NOT DISTINCT FROM freq.source AND lx.norm = freq.norm GROUP BY rid),
 b AS (
