@@ -13,6 +13,7 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, S
 from orthomill import fixed
 from orthomill.functions import geometry as geo
 from orthomill.operators.components import connected_components, label_cells
+from orthomill.operators.validity import largest_valid
 from orthomill.session import cut_lineage, spread
 
 FLAT = StructType([StructField("xs", ArrayType(DoubleType())), StructField("ys", ArrayType(DoubleType())),
@@ -228,40 +229,19 @@ def polygonize(cells: DataFrame, keys: Sequence[str], transforms: DataFrame | No
         .withColumn("valid", _closed(F.col("rings")) & (F.col("area") > 0))
 
 
-def is_valid(rings: Column) -> Column:
-    """Closed rings of at least four points without crossing edges around a positive area."""
-    return F.coalesce(_closed(rings) & (geo.polygon_area(rings) > 0) & ~F.exists(rings, _crosses_itself), F.lit(False))
-
-
-def _crosses_itself(ring: Column) -> Column:
-    """Whether two edges of a closed ring cross properly; every pair of edges is tested once."""
-    def side(a: Column, b: Column, c: Column) -> Column:
-        return (b["x"] - a["x"]) * (c["y"] - a["y"]) - (b["y"] - a["y"]) * (c["x"] - a["x"])
-
-    def crossing(i: Column, j: Column) -> Column:
-        a, b, c, d = F.get(ring, i), F.get(ring, i + 1), F.get(ring, j), F.get(ring, j + 1)
-        return (j > i + 1) & (side(a, b, c) * side(a, b, d) < 0) & (side(c, d, a) * side(c, d, b) < 0)
-
-    edges = F.sequence(F.lit(0), F.size(ring) - 2)
-    # A triangle cannot cross itself, and a ring too short for one has no edges to test.
-    return (F.size(ring) > 4) & F.exists(edges, lambda i: F.exists(edges, lambda j: crossing(i, j)))
-
-
 def _closed(rings: Column) -> Column:
     return (F.size(rings) > 0) & F.forall(
         rings, lambda ring: (F.size(ring) >= 4) & (F.element_at(ring, 1) == F.element_at(ring, -1)))
 
 
 def sanitize(parts: DataFrame, keys: Sequence[str], column: str = "parts") -> DataFrame:
-    """Polygon parts, one row per key, to one polygon per key: invalid parts dropped, the largest kept, the first of equal ones, nothing left = no row.
+    """Polygon parts, one row per key, to one polygon per key: invalid parts repaired, the largest kept, the first of equal ones, nothing left = no row.
 
     A part is picked inside its row, so nothing is shuffled.
     """
-    measured = F.transform(column, lambda rings, i: F.struct(
-        geo.polygon_area(rings).alias("area"), (-i).alias("first"), rings.alias("rings")))
-    ranked = F.filter(measured, lambda p: (p["area"] > 0) & _closed(p["rings"]) & ~F.exists(p["rings"], _crosses_itself))
+    picked = largest_valid(parts.select(*keys, F.col(column).alias("_parts")), "_parts")
     # Exploded rather than filtered: a filter would be pushed down and work everything out twice.
-    return parts.select(*keys, F.explode(F.filter(F.array(F.array_max(ranked)["rings"]), lambda r: r.isNotNull())).alias("rings"))
+    return picked.select(*keys, F.explode(F.filter(F.array("rings"), lambda r: r.isNotNull())).alias("rings"))
 
 
 def _douglas_peucker(pts: np.ndarray, tolerance: float) -> np.ndarray:

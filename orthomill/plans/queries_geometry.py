@@ -9,6 +9,7 @@ from orthomill.functions import geometry as geo
 from orthomill.operators import components, rasterize, spatial_join, tiling, vectorize, views
 from orthomill.plans.base_sql import LAYER, MASKS, RAS
 from orthomill.plans.registry import query, with_ctes
+from orthomill.session import spread
 from orthomill.sources import layers
 from orthomill.sources import testbed as tb
 
@@ -107,17 +108,21 @@ def c6(spark, sf):
 @query("c7_sanitize", """
 WITH p AS (SELECT o_orderkey, i, o_orderkey % 50 AS x, CASE WHEN (o_orderkey + i) % 4 = 0 THEN 0 ELSE (o_orderkey * (i + 3)) % 17 END AS s
            FROM orders, range(3) t(i))
-SELECT o_orderkey, CAST(max(s * s) AS DOUBLE) AS area FROM p WHERE s > 0 GROUP BY 1""")
+SELECT o_orderkey, max(CASE WHEN i = 1 AND o_orderkey % 3 = 0 THEN s * s / 4e0 ELSE CAST(s * s AS DOUBLE) END) AS area FROM p WHERE s > 0 GROUP BY 1""")
 def c7(spark, sf):
     key = F.col("o_orderkey")
 
     def part(i):
         s = F.when((key + i) % 4 == 0, 0).otherwise((key * (i + 3)) % 17)
         x, y = key % 50 + 100 * i, F.lit(0)
-        return F.format_string("((%d %d, %d %d, %d %d, %d %d, %d %d))", x, y, x + s, y, x + s, y + s, x, y + s, x, y)
+        square = F.format_string("((%d %d, %d %d, %d %d, %d %d, %d %d))", x, y, x + s, y, x + s, y + s, x, y + s, x, y)
+        # The two halves of a bow tie: either is a quarter of the square.
+        tie = F.format_string("((%d %d, %d %d, %d %d, %d %d, %d %d))", x, y, x + s, y + s, x + s, y, x, y + s, x, y)
+        return F.when(key % 3 == 0, tie).otherwise(square) if i == 1 else square
 
     text = F.concat(F.lit("MULTIPOLYGON ("), F.concat_ws(", ", part(0), part(1), part(2)), F.lit(")"))
-    parts = tb.table(spark, sf, "orders").select("o_orderkey", geo.parts_from_wkt(text).alias("parts"))
+    # Few bytes, much work: keys are dealt over all tasks before texts are made of them.
+    parts = spread(tb.table(spark, sf, "orders").select("o_orderkey"), "o_orderkey").select("o_orderkey", geo.parts_from_wkt(text).alias("parts"))
     return vectorize.sanitize(parts, ["o_orderkey"]).select(
         "o_orderkey", geo.polygon_area(F.col("rings")).alias("area"))
 
