@@ -1,12 +1,13 @@
 """Variance filters over pixels: how flat is a tile, and is it worth keeping.
 
 Sums are kept as integers (band values are bytes) and combined on the map side;
-a window's variance comes from its blocks' sums, so overlapped windows are
-aggregated twice at most: pixel to block, block to window.
+a window's variance comes from its blocks' sums. Overlapped windows share the sums of
+small cells, so a pixel is read into one sum only, whatever the overlap.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -77,13 +78,20 @@ def padded_window_variance(pixels: DataFrame, keys: Sequence[str], size: int, st
 
     Padding counts as black pixels: the window always has ``size``^2 pixels and
     ``(size // window)``^2 blocks, absent ones having variance 0. The block list
-    of a window is bounded by that constant.
+    of a window is bounded by that constant. Every edge of a window or block lies on the grid
+    of the largest common divisor of ``size``, ``stride`` and ``window``: pixels are summed
+    into that grid's cells once, and only cells are copied to the windows that cover
+    them. With a divisor of 1 a cell is a pixel.
     """
     per_side = size // window
+    unit = math.gcd(size, stride, window)
     v = gray_sum()
-    assigned = assign_windows(pixels, size, stride)
+    corner = [(F.expr(f"{c} div {unit}") * unit).cast(pixels.schema[c].dataType).alias(c) for c in ("row", "col")]
+    cells = pixels.groupBy(*keys, *corner).agg(F.sum(v).alias("s"), F.sum(v * v).alias("q"))
+    # One exchange by window serves both sums that follow.
+    assigned = assign_windows(cells, size, stride).repartition(*keys, "row_off", "col_off")
     inner = [F.expr(f"(row - row_off) div {window}").alias("_br"), F.expr(f"(col - col_off) div {window}").alias("_bc")]
-    blocks = assigned.groupBy(*keys, "row_off", "col_off", *inner).agg(F.sum(v).alias("s"), F.sum(v * v).alias("q"))
+    blocks = assigned.groupBy(*keys, "row_off", "col_off", *inner).agg(F.sum("s").alias("s"), F.sum("q").alias("q"))
     inside = (F.col("_br") < per_side) & (F.col("_bc") < per_side)
     block_var = _variance(F.lit(window * window), F.col("s"), F.col("q"), 9.0)
     tiles = blocks.groupBy(*keys, "row_off", "col_off").agg(

@@ -133,6 +133,32 @@ def test_grouped_median(spark, monkeypatch):
     assert got == pytest.approx({k: float(np.median(v)) for k, v in groups.items()})
 
 
+def test_medians_of_wide_groups_narrow_whatever_the_spread(spark):
+    rng = np.random.default_rng(13)
+    groups = {"outlier": np.concatenate([rng.normal(size=3000), [1e300, -1e200]]), "powers": 10.0 ** rng.uniform(-200, 200, 2501),
+              "heavy": np.concatenate([np.full(4000, 0.25), rng.normal(size=3000)]), "two": np.concatenate([np.arange(2000.0), np.arange(1e9, 1e9 + 2000)]),
+              "line": np.arange(4096.0), "small": rng.normal(size=6)}
+    df = spark.createDataFrame([(k, float(v)) for k, vs in groups.items() for v in vs], "k string, v double")
+    got = {r.k: r["median"] for r in medians.grouped_median(df, ["k"], "v", most=40).collect()}
+    assert got == pytest.approx({k: float(np.median(v)) for k, v in groups.items()})
+    left, settled = medians.narrowed(df.groupBy("k", "v").agg(F.count("*").alias("_c")), ["k"], "v", 40)
+    held = {r.k: r["count"] for r in left.groupBy("k").count().collect()}
+    assert max(held.values()) <= 40 and held.keys() | {r.k for r in settled.collect()} == groups.keys()
+
+
+@pytest.mark.parametrize("size, stride, window", [(16, 8, 4), (12, 9, 6), (7, 5, 3), (8, 12, 4), (4, 4, 9)])
+def test_shared_cells_give_every_window_its_own_sums(spark, size, stride, window):
+    image = np.random.default_rng(14).integers(0, 256, (29, 33, 3))
+    got = {(r.row_off, r.col_off): r for r in variance.padded_window_variance(image_frame(spark, {"a": image}), ["source_id"], size, stride, window).collect()}
+    for y, x in [(y, x) for y in range(0, 29, stride) for x in range(0, 33, stride)]:
+        gray = np.zeros((size, size))
+        part = image[y:y + size, x:x + size].mean(axis=2)
+        gray[:part.shape[0], :part.shape[1]] = part
+        r = got.pop((y, x))
+        assert r.global_variance == pytest.approx(gray.var(), abs=1e-9) and r.local_variance == pytest.approx(block_median(gray, window), abs=1e-9)
+    assert not got
+
+
 def test_raster_variance_equals_tile_variance(spark):
     rng = np.random.default_rng(12)
     pixels = image_frame(spark, {"a": rng.integers(0, 256, (23, 17, 3)), "tiny": rng.integers(0, 256, (3, 3, 3))})
