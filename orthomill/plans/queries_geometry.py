@@ -297,7 +297,22 @@ def c15(spark, sf):
         "feature_id", F.col("r_id").alias("other_id"), "iou")
 
 
-@query("c15_polygon_iou")
+@query("c15_polygon_iou", with_ctes(LAYER, """
+tp AS (SELECT t.source_id, t.feature_id, o.feature_id AS other_id, t.x1, t.y1, t.x2, t.y2, o.x1 AS bx1, o.y1 AS by1, o.x2 AS bx2, o.y2 AS by2,
+              greatest(t.y1, o.y1) AS lo, least(t.y2, o.y2) AS hi
+       FROM lay t JOIN lay o ON t.source_id = o.source_id AND t.x1 <= o.x2 AND o.x1 <= t.x2 AND t.y1 <= o.y2 AND o.y1 <= t.y2),
+-- Between the triangle's corners, the box's ends and the heights where a triangle's side passes a side of the box, the shared width is linear.
+br AS (SELECT *, list_sort(list_transform(
+           [lo, hi, y1 + 3] || flatten([[y1 + (v - x1) * (y2 - y1) / 2e0, y1 + 3e0 * (v - x1) / (x2 - x1), y1 + 3 + (v - x2) * (y2 - y1 - 3) / CAST(x1 + 2 - x2 AS DOUBLE)]
+                                        for v in [bx1, bx2]]),
+           lambda y: greatest(lo, least(hi, y)))) AS ys FROM tp),
+sl AS (SELECT feature_id, other_id, x1, y1, x2, y2, bx1, by1, bx2, by2, unnest(ys[2:]) - unnest(ys[:-2]) AS h, (unnest(ys[2:]) + unnest(ys[:-2])) / 2 AS y FROM br),
+ov AS (SELECT feature_id, other_id, ((x2 - x1) * (y2 - y1) - 6) / 2e0 + (bx2 - bx1) * (by2 - by1) AS total,
+              sum(h * greatest(0, least(bx2, CASE WHEN y < y1 + 3 THEN x1 + (y - y1) * (x2 - x1) / 3e0
+                                                  ELSE x2 + (x1 + 2 - x2) * (y - y1 - 3) / CAST(y2 - y1 - 3 AS DOUBLE) END)
+                                  - greatest(bx1, x1 + 2 * (y - y1) / CAST(y2 - y1 AS DOUBLE)))) AS shared
+       FROM sl GROUP BY ALL)""", select="""
+SELECT feature_id, other_id, round(shared / (total - shared), 6) AS iou FROM ov"""))
 def c15_polygons(spark, sf):
     tri = tb.triangles(spark, sf).select("source_id", "feature_id", "rings", "x1", "y1", "x2", F.greatest(
         F.col("y2"), F.col("y1") + 3.0).alias("y2"))
