@@ -47,36 +47,64 @@ def windows_hit(windows: DataFrame, shapes: DataFrame, size: int, stride: int,
     return windows.join(hits, [*keys, "row_off", "col_off"], "left_semi")
 
 
-def _cells(low: Column, high: Column, cell: float) -> Column:
-    return F.sequence(F.floor(low / cell).cast("long"), F.floor(high / cell).cast("long"))
+def _level(cell: float) -> Column:
+    """How often ``cell`` must be doubled to be as large as the box; a box covers few cells of its own level."""
+    side = F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
+    return F.greatest(F.lit(0), F.coalesce(F.ceil(F.log2(side / cell)), F.lit(0))).cast("int")
+
+
+def _cells(df: DataFrame, cell: float) -> DataFrame:
+    """Each row under the cells of level ``_m`` that its box covers."""
+    side = F.lit(float(cell)) * F.pow(F.lit(2.0), F.col("_m"))
+    for axis in ("x", "y"):
+        low, high = (F.floor(F.col(f"{axis}{end}") / side).cast("long") for end in (1, 2))
+        df = df.withColumn(f"_g{axis}", F.explode(F.sequence(low, high)))
+    return df
+
+
+def _at_home(df: DataFrame, cell: float) -> DataFrame:
+    return _cells(df.withColumn("_m", _level(cell)), cell)
+
+
+def _abroad(df: DataFrame, cell: float, levels: list[int]) -> DataFrame:
+    """Each row under the cells of those ``levels`` that are coarser than its own."""
+    listed = F.array(*[F.lit(m) for m in levels]).cast("array<int>")
+    own = df.withColumn("_own", _level(cell))
+    return _cells(own.withColumn("_m", F.explode(F.filter(listed, lambda m: m > F.col("_own")))).drop("_own"), cell)
 
 
 def box_join(left: DataFrame, right: DataFrame, cell: float, keys: Sequence[str] = (),
              rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
     """All pairs with intersecting boxes (``x1,y1,x2,y2`` each), each pair exactly once.
 
-    Both sides are listed under the grid cells they cover and joined on the cell.
-    A pair is kept only in the cell that holds the lower-left corner of its
-    overlap, so no de-duplication shuffle is needed. Cells busy on either side are salted by their own counts.
-    Right-hand columns other than ``keys`` get the prefix ``r_``.
+    Cells come in levels, each twice as large as the one below, from ``cell`` on. A box is at home in the few cells of the level of its
+    own size and visits those coarser levels at which the other side has boxes, so a box over everything takes as few cells as a small
+    one. Two boxes meet at the level of the larger: home rows meet home rows and visitors, visitors never meet each other.
+    A pair is kept only in the cell that holds the lower-left corner of its overlap, so no de-duplication shuffle is
+    needed. Cells busy on either side are salted by their own counts. Which levels there are, a few small numbers, is read first.
+    Right-hand columns other than ``keys`` get the prefix ``r_``. Rows with a null key or corner have no pairs.
     """
     keys = list(keys)
 
-    def keyed(df: DataFrame) -> DataFrame:
-        return df.withColumn("_gx", F.explode(_cells(F.col("x1"), F.col("x2"), cell))) \
-            .withColumn("_gy", F.explode(_cells(F.col("y1"), F.col("y2"), cell)))
+    def levels(df: DataFrame) -> list[int]:
+        return sorted(r[0] for r in df.select(_level(cell)).distinct().collect())
+
+    def named(df: DataFrame) -> DataFrame:
+        return df.withColumnsRenamed({c: f"r_{c}" for c in right.columns if c not in keys})
 
-    renamed = keyed(right)
-    for name in right.columns:
-        if name not in keys:
-            renamed = renamed.withColumnRenamed(name, f"r_{name}")
-    pairs = salted_join(keyed(left), renamed, [*keys, "_gx", "_gy"], rows_per_salt)
+    of_left, of_right = levels(left), levels(right)
+    home, meets = _at_home(right, cell), [*keys, "_m", "_gx", "_gy"]
+    reached = home.unionByName(_abroad(right, cell, of_left)) if of_left[-1:] > of_right[:1] else home
+    pairs = salted_join(_at_home(left, cell), named(reached), meets, rows_per_salt)
+    if of_right[-1:] > of_left[:1]:
+        pairs = pairs.unionByName(salted_join(_abroad(left, cell, of_right), named(home), meets, rows_per_salt))
     x = F.greatest("x1", "r_x1")
     y = F.greatest("y1", "r_y1")
+    side = F.lit(float(cell)) * F.pow(F.lit(2.0), F.col("_m"))
     return pairs.filter(
         (x <= F.least("x2", "r_x2")) & (y <= F.least("y2", "r_y2"))
-        & (F.floor(x / cell) == F.col("_gx")) & (F.floor(y / cell) == F.col("_gy"))
-    ).drop("_gx", "_gy")
+        & (F.floor(x / side) == F.col("_gx")) & (F.floor(y / side) == F.col("_gy"))
+    ).drop("_m", "_gx", "_gy")
 
 
 def _ring_edges(xs: np.ndarray, ys: np.ndarray, sizes: np.ndarray) -> np.ndarray:

@@ -175,6 +175,32 @@ def test_polygon_and_cell_iou(spark):
         assert r.iou == pytest.approx(r.want)
 
 
+def test_box_join_of_mixed_sizes(spark):
+    rng = np.random.default_rng(21)
+
+    def boxes(n, big, seed):
+        sides = np.random.default_rng(seed).choice([0.0, 0.5, 3.0, 20.0, 150.0], (n, 2))
+        corner = rng.uniform(-500, 500, (n, 2)).round(1)
+        rows = [(i, "k" if i % 3 else "l", *map(float, c), *map(float, c + s)) for i, (c, s) in enumerate(zip(corner, sides))]
+        hot = [(n + j, "k", 7.0, 7.0, 8.0, 8.0) for j in range(15)]
+        return rows + hot + [(n + 20 + j, "k", -1e6, -1e6, 1e6, 1e6) for j in range(big)] + [(n + 40, None, 0.0, 0.0, 9.0, 9.0), (n + 41, "k", None, 0.0, 9.0, 9.0)]
+
+    schema = "id int, k string, x1 double, y1 double, x2 double, y2 double"
+    for big_a, big_b in ((1, 1), (2, 0), (0, 1)):
+        a, b = boxes(150, big_a, 1), boxes(120, big_b, 2)
+        want = sorted((p[0], q[0]) for p in a for q in b if p[1] and p[1] == q[1] and None not in p and None not in q
+                      and p[2] <= q[4] and q[2] <= p[4] and p[3] <= q[5] and q[3] <= p[5])
+        left, right = spark.createDataFrame(a, schema), spark.createDataFrame(b, schema)
+        got = spatial_join.box_join(left, right, 1.0, ["k"], rows_per_salt=50)
+        assert sorted((r.id, r.r_id) for r in got.collect()) == want
+        assert got.columns == ["k", "id", "x1", "y1", "x2", "y2", "r_id", "r_x1", "r_y1", "r_x2", "r_y2"]
+        # A box over everything takes no more cells than others do.
+        most = spatial_join._at_home(left, 1.0).groupBy("id").count().agg(F.max("count")).first()[0]
+        assert most <= 9
+    empty = left.limit(0)
+    assert spatial_join.box_join(left, empty, 1.0, ["k"]).count() == spatial_join.box_join(empty, right, 1.0, ["k"]).count() == 0
+
+
 def test_box_join_under_skew(spark):
     rng = np.random.default_rng(5)
     def boxes(n, hot):
