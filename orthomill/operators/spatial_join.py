@@ -117,15 +117,22 @@ def _ring_edges(xs: np.ndarray, ys: np.ndarray, sizes: np.ndarray) -> np.ndarray
 
 
 def _crossing_heights(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """y of every proper crossing between two sets of edges."""
-    ax, ay, bx, by = (a[:, i][:, None] for i in range(4))
-    cx, cy, dx, dy = (b[:, i][None, :] for i in range(4))
-    den = (bx - ax) * (dy - cy) - (by - ay) * (dx - cx)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        t = ((cx - ax) * (dy - cy) - (cy - ay) * (dx - cx)) / den
-        u = ((cx - ax) * (by - ay) - (cy - ay) * (bx - ax)) / den
-    hit = (den != 0) & (t >= 0) & (t <= 1) & (u >= 0) & (u <= 1)
-    return (ay + t * (by - ay))[hit]
+    """y of every proper crossing between two sets of edges; edges of ``a``, lowest first, in bands of 256 against those of ``b`` that reach the band."""
+    a = a[np.argsort(np.minimum(a[:, 1], a[:, 3]), kind="stable")]
+    low, high = np.minimum(b[:, 1], b[:, 3]), np.maximum(b[:, 1], b[:, 3])
+    found = []
+    for at in range(0, len(a), 256):
+        band = a[at:at + 256]
+        near = b[(low <= band[:, [1, 3]].max()) & (high >= band[:, [1, 3]].min())]
+        ax, ay, bx, by = (band[:, i][:, None] for i in range(4))
+        cx, cy, dx, dy = (near[:, i][None, :] for i in range(4))
+        den = (bx - ax) * (dy - cy) - (by - ay) * (dx - cx)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            t = ((cx - ax) * (dy - cy) - (cy - ay) * (dx - cx)) / den
+            u = ((cx - ax) * (by - ay) - (cy - ay) * (bx - ax)) / den
+            hit = (den != 0) & (t >= 0) & (t <= 1) & (u >= 0) & (u <= 1)
+            found.append((ay + t * (by - ay))[hit])
+    return np.concatenate(found)
 
 
 def _widths(edges: np.ndarray, y: float) -> list[tuple[float, float]]:

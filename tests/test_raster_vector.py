@@ -175,6 +175,12 @@ def test_polygon_and_cell_iou(spark):
         assert r.iou == pytest.approx(r.want)
 
 
+def test_overlap_of_large_outlines():
+    turn = np.linspace(0, 2 * np.pi, 2001)
+    rings = [spatial_join._ring_edges(x + np.cos(turn), np.append(np.sin(turn[:-1]), 0.0), np.array([2001])) for x in (0.0, 1.0)]
+    assert spatial_join.overlap_area(*rings) == pytest.approx(2 * np.pi / 3 - np.sqrt(3) / 2, abs=1e-5)
+
+
 def test_box_join_of_mixed_sizes(spark):
     rng = np.random.default_rng(21)
 
